@@ -12,6 +12,7 @@ from linkweave.functions.text import parse_version, version_filename
 from linkweave.operators.chain import build_chain
 from linkweave.operators.ordered import with_order
 from linkweave.operators.state import STATE_KEY
+from linkweave.session import cut_lineage
 
 FAMILY = 31  # parts per include project: a full binary tree of depth five
 
@@ -33,15 +34,20 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_chain(conversation_bodies(spark, sf_dir))
 
 
-def tampered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversation log with misnamed, missing, edited and relinked changes."""
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a stored table, as logs are in use; for inputs that a query reads twice."""
+    return cut_lineage(df, "input")
+
+
+def tampered(log: DataFrame) -> DataFrame:
+    """A conversation log with misnamed, missing, edited and relinked changes."""
     chain, version = F.col("chain_id"), F.col("version")
     filename = (
         F.when((chain % 17 == 0) & (version == 3), "v3.sql")
         .when((chain % 19 == 4) & (version >= 3), version_filename(version + 1))
         .otherwise(F.col("filename"))
     )
-    changed = conversation_log(spark, sf_dir).select(
+    changed = log.select(
         "chain_id",
         filename.alias("filename"),
         F.when((chain % 13 == 0) & (version == 1), F.lit("a" * 64))
@@ -68,7 +74,7 @@ def conversation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(conversation_bodies(spark, sf_dir), 3).select("target_id", "chain_id")
 
 
-def conversation_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_applied(spark: SparkSession, sf_dir: str, log: DataFrame) -> DataFrame:
     """Histories of 0 to 8 changes per target, some longer than their chain, some altered."""
     planned = (
         _slots(conversation_bodies(spark, sf_dir), 3)
@@ -76,7 +82,7 @@ def conversation_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("prefix > 0")
         .select("target_id", "chain_id", "slot", F.explode(F.sequence(F.lit(1), F.col("prefix"))).alias("version"))
     )
-    log = conversation_log(spark, sf_dir).select("chain_id", "version", "hash", "previous_hash")
+    log = log.select("chain_id", "version", "hash", "previous_hash")
     unknown = F.sha2(F.concat_ws(":", F.col("chain_id").cast("string"), F.col("version").cast("string")), 256)
     altered = ((F.col("chain_id") + F.col("slot")) % 7 == 3) & (F.col("version") == 2)
     return planned.join(log, ["chain_id", "version"], "left").select(
@@ -291,12 +297,8 @@ def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_changes(spark, sf_dir).select("chain_id", "version", "key", "value")
-
-
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_chain(event_changes(spark, sf_dir))
+def event_effects(changes: DataFrame) -> DataFrame:
+    return changes.select("chain_id", "version", "key", "value")
 
 
 def _event_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +316,7 @@ def event_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_slots(spark, sf_dir).select("target_id", "chain_id")
 
 
-def event_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_applied(spark: SparkSession, sf_dir: str, log: DataFrame) -> DataFrame:
     """What the targets have applied; in some the first recorded hash was altered."""
     planned = _event_slots(spark, sf_dir).where("prefix > 0").select(
         "target_id", "chain_id", "slot",
@@ -322,7 +324,7 @@ def event_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     altered = (F.col("chain_id") % 10 == 3) & (F.col("slot") == 0) & (F.col("version") == 1)
     return planned.join(
-        event_log(spark, sf_dir).select("chain_id", "version", "filename", "hash", "previous_hash"),
+        log.select("chain_id", "version", "filename", "hash", "previous_hash"),
         ["chain_id", "version"],
     ).select(
         "target_id", "chain_id", "filename",
@@ -331,13 +333,13 @@ def event_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_state(spark: SparkSession, sf_dir: str, effects: DataFrame) -> DataFrame:
     """The state the applied changes left behind."""
     written = (
         _event_slots(spark, sf_dir)
         .where("prefix > 0")
         .select("target_id", "chain_id", "prefix")
-        .join(event_effects(spark, sf_dir), "chain_id")
+        .join(effects, "chain_id")
         .where("version <= prefix")
     )
     return written.groupBy(*STATE_KEY).agg(

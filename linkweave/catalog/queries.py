@@ -156,6 +156,10 @@ def env_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chains
 
 
+def _tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given.tampered(given.conversation_log(spark, sf_dir))
+
+
 @query
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.conversation_log(spark, sf_dir)
@@ -163,7 +167,7 @@ def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chain_head_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.chain_heads(chain.build_chain(given.event_changes(spark, sf_dir)))
+    return chain.fold_heads(given.event_changes(spark, sf_dir))
 
 
 @query
@@ -173,7 +177,7 @@ def chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def verify_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given.tampered_log(spark, sf_dir).select(
+    return _tampered(spark, sf_dir).select(
         "chain_id", "filename", hash_matches("previous_hash", "hash", "body").alias("hash_ok")
     )
 
@@ -209,31 +213,33 @@ def uniqueness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.broken_links(given.tampered_log(spark, sf_dir))
+    return chain.broken_links(given.stored(_tampered(spark, sf_dir)))
 
 
 @query
 def genesis_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.genesis_violations(given.tampered_log(spark, sf_dir))
+    return chain.genesis_violations(_tampered(spark, sf_dir))
 
 
 @query
 def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations.first_violation(log_violations(given.tampered_log(spark, sf_dir)))
+    return violations.first_violation(log_violations(given.stored(_tampered(spark, sf_dir))))
 
 
 @query
 def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit(given.tampered_log(spark, sf_dir), given.conversation_applied(spark, sf_dir))
+    log, applied, _ = _fleet(spark, sf_dir)
+    return audit(given.stored(given.tampered(log)), applied)
 
 
 # Histories
 
 
 def _fleet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    log = given.stored(given.conversation_log(spark, sf_dir))
     return (
-        given.conversation_log(spark, sf_dir),
-        given.conversation_applied(spark, sf_dir),
+        log,
+        given.stored(given.conversation_applied(spark, sf_dir, log)),
         given.conversation_targets(spark, sf_dir),
     )
 
@@ -270,8 +276,8 @@ def fleet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = given.tampered_log(spark, sf_dir)
-    _, applied, targets = _fleet(spark, sf_dir)
+    log, applied, targets = _fleet(spark, sf_dir)
+    changes = given.stored(given.tampered(log))
     return lifecycle.apply_summary(lifecycle.gated_progress(changes, applied, targets))
 
 
@@ -359,14 +365,14 @@ def _candidate_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 @query
 def shadow_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.shadow_validation(
-        given.tampered_log(spark, sf_dir), *_candidate_tables(spark, sf_dir)
+        given.stored(_tampered(spark, sf_dir)), *_candidate_tables(spark, sf_dir)
     )
 
 
 @query
 def commit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.commit_candidates(
-        given.tampered_log(spark, sf_dir), *_candidate_tables(spark, sf_dir)
+        given.stored(_tampered(spark, sf_dir)), *_candidate_tables(spark, sf_dir)
     ).added
 
 
@@ -398,44 +404,52 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Replay
 
 
-def _replay(spark: SparkSession, sf_dir: str) -> lifecycle.Applied:
+def _event_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The event log and the effects of its changes."""
+    changes = given.stored(given.event_changes(spark, sf_dir))
+    return given.stored(chain.build_chain(changes)), given.event_effects(changes)
+
+
+def _replay(
+    spark: SparkSession, sf_dir: str, log: DataFrame, effects: DataFrame
+) -> lifecycle.Applied:
     return lifecycle.apply_pending(
-        given.event_log(spark, sf_dir),
-        given.event_effects(spark, sf_dir),
-        given.event_state(spark, sf_dir),
-        given.event_applied(spark, sf_dir),
+        log,
+        effects,
+        given.event_state(spark, sf_dir, effects),
+        given.event_applied(spark, sf_dir, log),
         given.event_targets(spark, sf_dir),
     )
 
 
 @query
 def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.last_writes(given.event_effects(spark, sf_dir))
+    return state.last_writes(given.event_effects(given.event_changes(spark, sf_dir)))
 
 
 @query
 def rebuild_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.rebuild(
-        given.event_log(spark, sf_dir), given.event_effects(spark, sf_dir),
-        given.event_targets(spark, sf_dir), force=True,
-    ).state
+    log, effects = _event_history(spark, sf_dir)
+    return lifecycle.rebuild(log, effects, given.event_targets(spark, sf_dir), force=True).state
 
 
 @query
 def apply_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replay(spark, sf_dir).state
+    return _replay(spark, sf_dir, *_event_history(spark, sf_dir)).state
 
 
 @query
 def apply_pending_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replay(spark, sf_dir).applied
+    return _replay(spark, sf_dir, *_event_history(spark, sf_dir)).applied
 
 
 @query
 def rebuild_vs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differs exactly where an altered history kept a target from being brought up."""
+    log, effects = _event_history(spark, sf_dir)
+    rebuilt = lifecycle.rebuild(log, effects, given.event_targets(spark, sf_dir), force=True)
     return lifecycle.rebuild_vs_incremental(
-        apply_pending(spark, sf_dir), rebuild_state(spark, sf_dir)
+        _replay(spark, sf_dir, log, effects).state, rebuilt.state
     )
 
 
@@ -446,7 +460,8 @@ def run_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("value").alias("value")
     ).where("key in ('click', 'view')")
     failing = events.where("value > 200").select(F.col("user_id").alias("chain_id"))
-    return lifecycle.run_candidate(_replay(spark, sf_dir), effects, failing)
+    replayed = _replay(spark, sf_dir, *_event_history(spark, sf_dir))
+    return lifecycle.run_candidate(replayed, effects, failing)
 
 
 @query

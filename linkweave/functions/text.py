@@ -45,13 +45,9 @@ def has_changes(column: Column | str) -> Column:
     return trim_space(column) != ""
 
 
-def link_hash_of_normalized(previous: Column, normalized: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(previous, F.lit("")), F.lit("\n"), normalized), 256)
-
-
 def link_hash(previous: Column | str, body: Column | str) -> Column:
     """SHA-256 over the previous hash (or nothing), a line break and the normalised body."""
-    return link_hash_of_normalized(_col(previous), normalize(body))
+    return F.sha2(F.concat(F.coalesce(_col(previous), F.lit("")), F.lit("\n"), normalize(body)), 256)
 
 
 def hash_matches(previous: Column | str, recorded: Column | str, body: Column | str) -> Column:

@@ -5,40 +5,26 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linkweave.functions.text import (
-    hash_matches, link_hash_of_normalized, normalize, version_filename,
-)
+from linkweave.functions.text import hash_matches, normalize, version_filename
 from linkweave.operators.ordered import filename_block, with_order
 from linkweave.schemas import MAX_VERSION
 
-# A chain is folded inside one row only up to these sizes; longer ones are streamed.
-FOLD_ROWS = 512
-FOLD_BYTES = 16 * 1024 * 1024
+_CHAIN_LINKS = "chain_id bigint, version int, body string, previous_hash string, hash string"
+_CHAIN_HEADS = "chain_id bigint, links bigint, head_version int, head_hash string"
 
 
-def build_chain(
-    changes: DataFrame, fold_rows: int = FOLD_ROWS, fold_bytes: int = FOLD_BYTES
-) -> DataFrame:
+def build_chain(changes: DataFrame) -> DataFrame:
     """Hash ``(chain_id, version, body)`` rows into complete change rows.
 
     Each hash needs the one before it, so one chain is sequential by definition and only
-    chains run side by side. Short chains, nearly all of them, are gathered into one
-    row of proven size and folded in the JVM. A longer chain is never gathered: it is
-    sorted (spilling to disk if it must) and streamed through with one running hash.
+    chains run side by side. No chain is ever gathered: rows are shuffled once, sorted
+    (spilling to disk if they must), and streamed past one running hash. Arrow hands the
+    bodies over in batches and takes them back untouched.
     """
-    bodies = changes.select("chain_id", "version", normalize("body").alias("body"))
-    long_chains = (
-        bodies.groupBy("chain_id")
-        .agg(F.count("*").alias("links"), F.sum(F.octet_length("body")).alias("bytes"))
-        .where((F.col("links") > fold_rows) | (F.col("bytes") > fold_bytes))
-        .select("chain_id")
-    )
-    short = _fold(bodies.join(long_chains, "chain_id", "left_anti"))
-    streamed = _stream(bodies.join(long_chains, "chain_id", "left_semi"))
-    return short.unionByName(streamed).select(
+    return _in_chain_order(changes).mapInArrow(_hash_links, _CHAIN_LINKS).select(
         "chain_id",
         "version",
         version_filename("version").alias("filename"),
@@ -48,54 +34,64 @@ def build_chain(
     )
 
 
-def _fold(bodies: DataFrame) -> DataFrame:
-    gathered = bodies.groupBy("chain_id").agg(
-        F.array_sort(F.collect_list(F.struct("version", "body"))).alias("links")
-    )
-    hashes = F.aggregate(
-        "links",
-        F.array().cast("array<string>"),
-        lambda acc, link: F.array_append(
-            acc,
-            link_hash_of_normalized(F.try_element_at(acc, F.lit(-1)), link["body"]),
-        ),
-    )
+def fold_heads(changes: DataFrame) -> DataFrame:
+    """As ``chain_heads`` of the built chain, but only heads leave the Python workers."""
+    return _in_chain_order(changes).mapInArrow(_hash_heads, _CHAIN_HEADS)
+
+
+def _in_chain_order(changes: DataFrame) -> DataFrame:
     return (
-        gathered.withColumn("hashes", hashes)
-        .select(
-            "chain_id",
-            F.inline(
-                F.transform(
-                    "links",
-                    lambda link, i: F.struct(
-                        link["version"].alias("version"),
-                        F.when(i > 0, F.get(F.col("hashes"), i - 1)).alias("previous_hash"),
-                        F.get(F.col("hashes"), i).alias("hash"),
-                        link["body"].alias("body"),
-                    ),
-                )
-            ),
-        )
+        changes.select("chain_id", "version", normalize("body").alias("body"))
+        .repartition("chain_id")
+        .sortWithinPartitions("chain_id", "version")
     )
 
 
-def _stream(bodies: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, head = None, None
-        for batch in batches:
-            previous, hashes = [], []
-            for chain_id, body in zip(batch["chain_id"], batch["body"]):
-                if chain_id != chain:
-                    chain, head = chain_id, None
-                previous.append(head)
-                head = hashlib.sha256(f"{head or ''}\n{body}".encode()).hexdigest()
-                hashes.append(head)
-            yield batch.assign(previous_hash=previous, hash=hashes)
-
-    ordered = bodies.repartition("chain_id").sortWithinPartitions("chain_id", "version")
-    return ordered.mapInPandas(
-        run,
-        "chain_id bigint, version int, body string, previous_hash string, hash string",
+def _running_hashes(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[pa.RecordBatch, list[int], list[str | None], list[str]]]:
+    chain, head = None, None
+    for batch in batches:
+        chains = batch.column("chain_id").to_pylist()
+        previous, hashes = [], []
+        for chain_id, body in zip(chains, batch.column("body").cast(pa.binary()).to_pylist()):
+            if chain_id != chain:
+                chain, head = chain_id, None
+            previous.append(head)
+            digest = hashlib.sha256(f"{head or ''}\n".encode())
+            digest.update(body)
+            head = digest.hexdigest()
+            hashes.append(head)
+        yield batch, chains, previous, hashes
+
+
+def _hash_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, _, previous, hashes in _running_hashes(batches):
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(previous, pa.string()), pa.array(hashes, pa.string())],
+            names=["chain_id", "version", "body", "previous_hash", "hash"],
+        )
+
+
+def _hash_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    head: tuple[int, int, int, str] | None = None
+    for batch, chains, _, hashes in _running_hashes(batches):
+        done = []
+        for chain_id, version, link in zip(chains, batch.column("version").to_pylist(), hashes):
+            if head is not None and head[0] != chain_id:
+                done.append(head)
+                head = None
+            head = (chain_id, head[1] + 1 if head else 1, version, link)
+        yield _heads(done)
+    yield _heads([head] if head else [])
+
+
+def _heads(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[], [], [], []]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(column), kind) for column, kind in zip(columns, kinds)],
+        names=["chain_id", "links", "head_version", "head_hash"],
     )
 
 

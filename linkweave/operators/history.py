@@ -36,28 +36,38 @@ def compare_histories(changes: DataFrame, applied: DataFrame) -> DataFrame:
     )
 
 
-def applied_summary(changes: DataFrame, applied: DataFrame) -> DataFrame:
-    """Per target with applied rows: how many, how many committed, first difference, code."""
-    differs = F.when(F.col("known") & ~F.col("same"), F.struct("position", "filename"))
-    per_target = (
-        compare_histories(changes, applied)
-        .groupBy(*TARGET)
-        .agg(F.count("*").alias("applied_count"), F.min(differs).alias("first"))
-    )
-    totals = changes.groupBy("chain_id").agg(F.count("*").alias("total_committed"))
+def _totals(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("chain_id").agg(F.count("*").alias("total_committed"))
+
+
+def _judged(per_target: DataFrame, changes: DataFrame) -> DataFrame:
+    """Add committed totals and the history error to counts per target."""
+    count = F.coalesce(F.col("applied_count"), F.lit(0))
     total = F.coalesce(F.col("total_committed"), F.lit(0))
-    return per_target.join(totals, "chain_id", "left").select(
+    return per_target.join(_totals(changes), "chain_id", "left").select(
         *TARGET,
-        "applied_count",
+        count.alias("applied_count"),
         total.alias("total_committed"),
         F.col("first.position").alias("diverged_position"),
         F.col("first.filename").alias("diverged_filename"),
-        F.when(F.col("applied_count") > total, "E20")
-        .when(F.col("first").isNotNull(), "E21")
-        .alias("error_code"),
+        F.when(count > total, "E20").when(F.col("first").isNotNull(), "E21").alias("error_code"),
+    )
+
+
+def _applied_counts(changes: DataFrame, applied: DataFrame) -> DataFrame:
+    differs = F.when(F.col("known") & ~F.col("same"), F.struct("position", "filename"))
+    return (
+        compare_histories(changes, applied)
+        .groupBy(*TARGET)
+        .agg(F.count("*").alias("applied_count"), F.min(differs).alias("first"))
     )
 
 
+def applied_summary(changes: DataFrame, applied: DataFrame) -> DataFrame:
+    """Per target with applied rows: how many, how many committed, first difference, code."""
+    return _judged(_applied_counts(changes, applied), changes)
+
+
 def history_divergence(changes: DataFrame, applied: DataFrame) -> DataFrame:
     """Targets whose applied history is not a prefix of the committed one."""
     return applied_summary(changes, applied).where(F.col("error_code").isNotNull())
@@ -76,22 +86,8 @@ def target_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame)
 
     A target without applied rows has an empty history, which is always a prefix.
     """
-    totals = changes.groupBy("chain_id").agg(F.count("*").alias("_total"))
-    seen = applied_summary(changes, applied).select(
-        *TARGET, "applied_count", "diverged_filename", "error_code"
-    )
-    return (
-        targets.select(*TARGET)
-        .join(seen, TARGET, "left")
-        .join(totals, "chain_id", "left")
-        .select(
-            *TARGET,
-            F.coalesce("applied_count", F.lit(0)).alias("applied_count"),
-            F.coalesce("_total", F.lit(0)).alias("total_committed"),
-            "diverged_filename",
-            "error_code",
-        )
-    )
+    counts = targets.select(*TARGET).join(_applied_counts(changes, applied), TARGET, "left")
+    return _judged(counts, changes)
 
 
 def pending_after(changes: DataFrame, progress: DataFrame) -> DataFrame:
@@ -127,11 +123,10 @@ def pending_changes(changes: DataFrame, applied: DataFrame, targets: DataFrame)
 def pending_by_offset(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:
     """What is left after skipping as many changes as are applied, with no history check."""
     counts = applied.groupBy(*TARGET).agg(F.count("*").alias("applied_count"))
-    totals = changes.groupBy("chain_id").agg(F.count("*").alias("total_committed"))
     progress = (
         targets.select(*TARGET)
         .join(counts, TARGET, "left")
-        .join(totals, "chain_id")
+        .join(_totals(changes), "chain_id")
         .select(*TARGET, F.coalesce("applied_count", F.lit(0)).alias("applied_count"), "total_committed")
     )
     return pending_after(changes, progress)

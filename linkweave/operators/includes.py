@@ -114,12 +114,11 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
     depth-first order than any before. That ends cycles and keeps the work per root at
     its number of fragments, yet everything ahead of a root's first fault is seen.
     """
-    edges = cut_lineage(include_edges(roots, fragments))
+    edges = cut_lineage(include_edges(roots, fragments), "edges")
     frontier = roots.select(
         *ROOT, F.array().cast("array<int>").alias("key"), F.col("root").alias("path")
     )
     levels: list[DataFrame] = []
-    best: DataFrame | None = None
     while True:
         found = (
             frontier.withColumnRenamed("path", "source")
@@ -128,29 +127,32 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
                 *ROOT, F.array_append("key", F.col("place")).alias("key"), "source", "path", "code"
             )
         )
-        level = cut_lineage(found)
-        levels.append(level)
-        arrived = (
-            level.where("code is null and path <> root")
-            .groupBy(*ROOT, "path")
-            .agg(F.min("key").alias("key"))
-        )
-        if best is None:
-            frontier = cut_lineage(arrived)
-            best = frontier
-        else:
-            known = best.groupBy(*ROOT, "path").agg(F.min("key").alias("best_key"))
-            frontier = cut_lineage(
-                arrived.join(known, [*ROOT, "path"], "left")
-                .where(F.col("best_key").isNull() | (F.col("key") < F.col("best_key")))
-                .drop("best_key")
-            )
-            best = best.unionByName(frontier)
-        if frontier.isEmpty():
+        level = cut_lineage(found, "level")
+        if levels and level.isEmpty():
             break
+        frontier = _first_met(level)
+        if levels:
+            known = _first_met(reduce(DataFrame.unionByName, levels))
+            frontier = (
+                frontier.join(
+                    known.withColumnRenamed("key", "known_key"), [*ROOT, "path"], "left"
+                )
+                .where(F.col("known_key").isNull() | (F.col("key") < F.col("known_key")))
+                .drop("known_key")
+            )
+        levels.append(level)
     return Traversal(reduce(DataFrame.unionByName, levels), edges)
 
 
+def _first_met(occurrences: DataFrame) -> DataFrame:
+    """Per root and fragment the earliest key; faulty places and the root itself end there."""
+    return (
+        occurrences.where("code is null and path <> root")
+        .groupBy(*ROOT, "path")
+        .agg(F.min("key").alias("key"))
+    )
+
+
 def expand_includes(roots: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Expanded roots ``(chain_id, root, text)`` and the faults of those left out."""
     nested = roots.where(F.col("text").rlike(INCLUDE_LINE))

@@ -4,7 +4,7 @@ A plain window over a key sorts all rows of that key in a single task, so one ho
 decides how long the job takes. Here rows are cut into blocks by an expression that
 grows along the order (a file-name prefix, a day). The bulk of the rows is shuffled once,
 by key and block; what crosses a block border - how many rows came before, and the last
-row before - is one small row per block.
+row before - is one small row per block, pre-aggregated where the rows are read.
 """
 
 from __future__ import annotations
@@ -39,26 +39,29 @@ def with_order(
         "*",
         F.sum(size).over(so_far).alias("_upto"),
         F.lag(carried).over(in_block).alias("_before"),
-        F.lead(F.lit(True)).over(in_block).alias("_more"),
     )
 
+    # Aggregated before its shuffle: one row per block and task leaves, not the bulk again.
+    ends = [F.sum(size).alias("_size")]
+    if carry:
+        ends.append(F.max_by(carried, F.struct(*order)).alias("_last"))
     per_key = Window.partitionBy(*keys).orderBy("_block")
     earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        local.where(F.col("_more").isNull())
-        .select(*keys, "_block", "_upto", carried.alias("_last"))
+        blocked.groupBy(*keys, "_block")
+        .agg(*ends)
         .select(
             *keys,
             "_block",
-            F.sum("_upto").over(earlier).alias("_offset"),
-            F.lag("_last").over(per_key).alias("_border"),
+            F.sum("_size").over(earlier).alias("_offset"),
+            *([F.lag("_last").over(per_key).alias("_border")] if carry else []),
         )
         .where(F.col("_offset").isNotNull())
     )
 
     joined = local.join(borders, [*keys, "_block"], "left")
     position = F.col("_upto") - size + F.coalesce(F.col("_offset"), F.lit(0)) + 1
-    before = F.coalesce(F.col("_before"), F.col("_border"))
+    before = F.coalesce(F.col("_before"), F.col("_border")) if carry else None
     return joined.select(
         *[F.col(c) for c in df.columns],
         position.cast("bigint").alias("position"),

@@ -22,6 +22,7 @@ from linkweave.operators.violations import first_violation, violation_rows
 from linkweave.plans.audit import log_violations
 from linkweave.plans.compile import CANDIDATE_PATH, expand_candidates
 from linkweave.schemas import MAX_VERSION
+from linkweave.session import cut_lineage
 
 
 def gated_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:
@@ -75,8 +76,12 @@ def apply_pending(
     applied: DataFrame,
     targets: DataFrame,
 ) -> Applied:
-    """Bring every sound target to the end of its chain; the others stay as they are."""
-    progress = gated_progress(changes, applied, targets)
+    """Bring every sound target to the end of its chain; the others stay as they are.
+
+    The gate is decided once and written down, so that the new state, the rows to record
+    and the summary all speak of the same targets.
+    """
+    progress = cut_lineage(gated_progress(changes, applied, targets), "progress")
     sound = progress.where(F.col("error_code").isNull())
     fresh = pending_after(changes, sound).select(*TARGET, "filename", "hash", "previous_hash")
     return Applied(
@@ -104,7 +109,7 @@ def rebuild(
     if not force:
         raise ValueError("E51 a rebuild replaces the targets; confirm it with force=True")
     faulty = first_violation(log_violations(changes)).select("chain_id", "error_code")
-    none_applied = (
+    none_applied = cut_lineage(
         targets.select(*TARGET)
         .join(changes.groupBy("chain_id").agg(F.count("*").alias("total_committed")), "chain_id", "left")
         .join(faulty, "chain_id", "left")
@@ -113,7 +118,8 @@ def rebuild(
             F.lit(0).cast("bigint").alias("applied_count"),
             F.coalesce("total_committed", F.lit(0)).alias("total_committed"),
             "error_code",
-        )
+        ),
+        "progress",
     )
     sound = none_applied.where(F.col("error_code").isNull())
     return Applied(
@@ -147,7 +153,7 @@ def candidate_violations(
     """
     expanded, faults = expand_candidates(candidates, fragments)
     # Read by several checks and the caller; expanding is the costly part.
-    expanded = expanded.select("chain_id", to_lf("body").alias("body"))
+    expanded = cut_lineage(expanded.select("chain_id", to_lf("body").alias("body")), "expanded")
 
     includes = violation_rows(
         faults,
@@ -213,8 +219,11 @@ def commit_candidates(
     expanded, found = candidate_violations(changes, candidates, fragments, bindings)
     versions = next_versions(changes)
     full = versions.where(F.col("error_code").isNotNull())
-    found = found.unionByName(
-        violation_rows(full, code=F.col("error_code"), chain_id=F.col("chain_id"))
+    found = cut_lineage(
+        found.unionByName(
+            violation_rows(full, code=F.col("error_code"), chain_id=F.col("chain_id"))
+        ),
+        "violations",
     )
     sound = expanded.join(found.select("chain_id").distinct(), "chain_id", "left_anti")
     heads = chain_heads(changes).select("chain_id", "head_hash")
