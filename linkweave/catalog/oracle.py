@@ -620,6 +620,7 @@ WITH seq AS (
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT * FROM seq WHERE previous_state IS DISTINCT FROM event_type"""
 
+ORACLE["change_points_stream"] = ORACLE["change_points"]
 ORACLE["replay_state"] = _with(_EVENTS, select="""
 SELECT chain_id, key, max(version) AS version, arg_max(value, version) AS value FROM changes GROUP BY chain_id, key""")
 _STATE_COLUMNS = "target_id, chain_id, key, version, value"
@@ -653,3 +654,6 @@ ORACLE["evolve_union"] = """
 SELECT event_id, user_id, NULL AS props, NULL AS value FROM events WHERE event_type IN ('click', 'view')
 UNION ALL BY NAME SELECT event_id, user_id, props FROM events WHERE event_type = 'error'
 UNION ALL BY NAME SELECT event_id, value, user_id FROM events WHERE event_type IN ('signup', 'purchase')"""
+ORACLE["apply_stream"] = _with(_EVENTS, select="""
+SELECT chain_id AS target_id, chain_id, key, max(version) AS version, arg_max(value, version) AS value
+FROM changes GROUP BY chain_id, key""")

@@ -18,7 +18,10 @@ from linkweave.operators import chain, history, includes, scripts, snapshots, st
 from linkweave.plans import lifecycle
 from linkweave.plans.audit import audit, log_violations
 from linkweave.plans.compile import compile_scripts as compile_candidates
+from linkweave.session import fresh_path
 from linkweave.sources.tables import applied_key_violations
+from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply
+from linkweave.streaming.detect import ChangeDetector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,6 +404,18 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def change_points_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the events file."""
+    columns = ["user_id", "ts", "event_id", "event_type"]
+    schema = given.event_rows(spark, sf_dir).select(*columns).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    root = fresh_path(spark, "detect")
+    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type", given.day_block())
+    detector.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return detector.points(spark, schema)
+
+
 # Replay
 
 
@@ -469,6 +484,23 @@ def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.replay_counts(apply_pending(spark, sf_dir))
 
 
+@query
+def apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State after the event chains came in as a stream of change rows."""
+    changes = given.stored(given.event_changes(spark, sf_dir))
+    rows = chain.build_chain(changes).join(
+        changes.select("chain_id", "version", "key", "value"), ["chain_id", "version"]
+    )
+    source = fresh_path(spark, "changes")
+    rows.select(*CHANGE_EVENTS.fieldNames()).write.parquet(source)
+    stream = spark.readStream.schema(CHANGE_EVENTS).parquet(source)
+    root = fresh_path(spark, "apply")
+    targets = rows.select(F.col("chain_id").alias("target_id"), "chain_id").distinct()
+    job = ContinuousApply(root, given.stored(targets))
+    job.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return job.state(spark)
+
+
 @query
 def evolve_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = given.event_rows(spark, sf_dir)

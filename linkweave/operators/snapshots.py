@@ -65,11 +65,28 @@ def snapshot_equality(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def change_points(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, block: Column
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    state: str,
+    block: Column,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows whose state differs from the state before it in the same key; the first counts."""
+    """Rows whose state differs from the state before it in the same key; the first counts.
+
+    ``earlier`` holds the last state of keys seen before these rows: ``keys`` and ``state``.
+    It is joined at position 1 only, so a key with many rows meets it once.
+    """
     placed = with_order(rows, keys, order, block, carry=[state])
-    changed = (F.col("position") == 1) | ~F.col(state).eqNullSafe(F.col(f"before_{state}"))
-    return placed.where(changed).drop("position").withColumnRenamed(
-        f"before_{state}", "previous_state"
-    )
+    previous = F.col(f"before_{state}")
+    first = F.col("position") == 1
+    changed = placed.where(first | ~F.col(state).eqNullSafe(previous))
+    if earlier is not None:
+        seen = earlier.select(
+            *keys, F.lit(1).cast("bigint").alias("position"), F.struct(state).alias("_seen")
+        )
+        changed = changed.join(seen, [*keys, "position"], "left").where(
+            F.col("_seen").isNull() | ~F.col("_seen")[state].eqNullSafe(F.col(state))
+        )
+        previous = F.coalesce(previous, F.col("_seen")[state])
+    return changed.select(*rows.columns, previous.alias("previous_state"))

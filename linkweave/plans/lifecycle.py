@@ -65,6 +65,7 @@ class Applied:
     """What applying pending changes gives."""
 
     state: DataFrame  # target_id, chain_id, key, version, value
+    writes: DataFrame  # the state rows that are new
     applied: DataFrame  # rows to record: target_id, chain_id, filename, hash, previous_hash
     summary: DataFrame  # per target: applied_count, total_committed, error_code
 
@@ -84,8 +85,10 @@ def apply_pending(
     progress = cut_lineage(gated_progress(changes, applied, targets), "progress")
     sound = progress.where(F.col("error_code").isNull())
     fresh = pending_after(changes, sound).select(*TARGET, "filename", "hash", "previous_hash")
+    writes = pending_writes(effects, sound)
     return Applied(
-        state=overlay(state, pending_writes(effects, sound)),
+        state=overlay(state, writes),
+        writes=writes,
         applied=fresh,
         summary=apply_summary(progress),
     )
@@ -122,8 +125,10 @@ def rebuild(
         "progress",
     )
     sound = none_applied.where(F.col("error_code").isNull())
+    state = rebuild_state(effects, sound)
     return Applied(
-        state=rebuild_state(effects, sound),
+        state=state,
+        writes=state,
         applied=pending_after(changes, sound).select(*TARGET, "filename", "hash", "previous_hash"),
         summary=apply_summary(none_applied),
     )
