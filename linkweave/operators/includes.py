@@ -30,7 +30,9 @@ def include_edges(roots: DataFrame, fragments: DataFrame) -> DataFrame:
     ``code`` is E35 for a path that leaves the fragment folder and E34 for one nothing
     is stored under.
     """
-    texts = roots.select("chain_id", F.col("root").alias("source"), "text").unionByName(
+    # A root below the fragment folder is among the fragments already.
+    outside = roots.where(~within("root"))
+    texts = outside.select("chain_id", F.col("root").alias("source"), "text").unionByName(
         fragments.select("chain_id", F.col("path").alias("source"), "text")
     )
     lines = texts.select(

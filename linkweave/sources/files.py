@@ -11,20 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from linkweave.functions.headers import parse_change, render_change
 from linkweave.functions.text import parse_version
 from linkweave.operators.violations import violation_rows
-from linkweave.schemas import CANDIDATES, SNIPPETS, STAMPS, VIOLATIONS
-
-_FILES = "path string, modificationTime timestamp, length bigint, content binary"
-
+from linkweave.schemas import CANDIDATES, SNIPPETS, STAMPS
+from linkweave.sources.listing import (
+    FILES, below, empty_files, folder_faults, project_folders,
+)
 
 def _files(spark: SparkSession, pattern: str, **options: str) -> DataFrame:
     try:
         return spark.read.format("binaryFile").options(**options).load(pattern)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], _FILES)
+            return spark.createDataFrame([], FILES)
         raise
 
 
+def _project_files(spark: SparkSession, root: str, name: str, **options: str) -> DataFrame:
+    """Files of ``<root>/*/<name>``, empty ones with them."""
+    folders = below(project_folders(spark, root), name)
+    recursive = options.get("recursiveFileLookup") == "true"
+    return _files(spark, f"{root}/*/{name}", **options).unionByName(empty_files(folders, recursive))
+
+
 def _chain_id(folder: str) -> Column:
     return F.regexp_extract("path", rf"/([0-9]+)/{folder}(?:/|\z)", 1).cast("bigint")
 
@@ -37,7 +44,8 @@ def _text() -> list[Column]:
 
 def scan_changes(spark: SparkSession, root: str) -> DataFrame:
     """Committed files ``(chain_id, filename, text)``; sub-folders are not entered."""
-    return _files(spark, f"{root}/*/committed", pathGlobFilter="*.sql").select(
+    found = _project_files(spark, root, "committed", pathGlobFilter="*.sql")
+    return found.where(F.col("path").endswith(".sql")).select(
         _chain_id("committed").alias("chain_id"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         *_text(),
@@ -94,8 +102,7 @@ def read_written_changes(spark: SparkSession, out: str) -> DataFrame:
     """Files of ``write_changes`` as ``(chain_id, filename, text)``."""
     return (
         spark.read.schema("value string, chain_id bigint, version int")
-        .option("wholetext", True)
-        .text(out)
+        .text(out, wholetext=True)
         .select(
             "chain_id",
             F.concat(F.lpad(F.col("version").cast("string"), 6, "0"), F.lit(".sql")).alias("filename"),
@@ -107,29 +114,27 @@ def read_written_changes(spark: SparkSession, out: str) -> DataFrame:
 def read_candidates(spark: SparkSession, root: str) -> DataFrame:
     """The candidate of each chain, whole."""
     return (
-        _files(spark, f"{root}/*/current.sql")
+        _project_files(spark, root, "current.sql")
         .select(_chain_id("current.sql").alias("chain_id"), *_text())
         .select("chain_id", F.col("text").alias("body"))
         .to(CANDIDATES)
     )
 
 
-def legacy_candidate_folders(spark: SparkSession, root: str) -> DataFrame:
-    """E38 for every chain that keeps files in a ``current`` folder."""
-    found = (
-        _files(spark, f"{root}/*/current", recursiveFileLookup="true")
-        .select(_chain_id("current").alias("chain_id"))
-        .distinct()
-    )
+def folder_violations(spark: SparkSession, root: str) -> DataFrame:
+    """E02 where there is no ``committed`` folder, E38 where candidates are in a folder."""
     return violation_rows(
-        found, code=F.lit("E38"), chain_id=F.col("chain_id"), filename=F.lit("current")
-    ).to(VIOLATIONS)
+        folder_faults(spark, root),
+        code=F.col("error_code"),
+        chain_id=F.col("chain_id"),
+        filename=F.col("filename"),
+    )
 
 
 def scan_snippets(spark: SparkSession, root: str) -> DataFrame:
     """Fragments below ``fixtures``, with their path inside the project."""
     return (
-        _files(spark, f"{root}/*/fixtures", recursiveFileLookup="true")
+        _project_files(spark, root, "fixtures", recursiveFileLookup="true")
         .select(
             _chain_id("fixtures").alias("chain_id"),
             F.regexp_extract("path", r"/[0-9]+/(fixtures/.*)\z", 1).alias("path"),
@@ -141,16 +146,12 @@ def scan_snippets(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_stamps(spark: SparkSession, roots: list[str], snapshot_id: int) -> DataFrame:
     """Path, change time and size of all files below ``roots``; contents are not read."""
-    found = [
-        _files(spark, root, recursiveFileLookup="true").select(
-            F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
-            "path",
-            F.unix_millis("modificationTime").alias("modified_ms"),
-            F.col("length").alias("size"),
-        )
-        for root in roots
-    ]
-    stamps = found[0]
-    for more in found[1:]:
-        stamps = stamps.unionByName(more)
-    return stamps.to(STAMPS)
+    found = empty_files(spark.createDataFrame([(r,) for r in roots], "folder string"), True)
+    for root in roots:
+        found = found.unionByName(_files(spark, root, recursiveFileLookup="true"))
+    return found.select(
+        F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
+        "path",
+        F.unix_millis("modificationTime").alias("modified_ms"),
+        F.col("length").alias("size"),
+    ).to(STAMPS)
