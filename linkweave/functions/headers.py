@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from linkweave.functions.text import (
-    HASH_SHAPE, normalize, to_lf, trim_space, version_filename,
+    HASH_SHAPE, let, normalize, to_lf, trim_space,
 )
 
 # How a header line looks.
@@ -23,45 +23,69 @@ def parse_change(text: Column | str) -> Column:
     The headers of one file are folded once, left to right: whether a header is a repeat
     depends on those before it, and the first faulty one decides the error.
     """
-    text = to_lf(text)
-    block = F.regexp_extract(text, HEADER_BLOCK, 1)
-    late_header = F.regexp_extract(text, HEADER_BLOCK, 3) != ""
-    body = normalize(F.substr(text, F.length(block) + 1))
-
-    lines = F.filter(F.split(block, "\n"), lambda line: line != "")
-    seen = F.aggregate(
-        lines,
-        F.struct(
-            F.lit(None).cast("string").alias("previous"),
-            F.lit(None).cast("string").alias("hash"),
-            F.lit(None).cast("string").alias("code"),
+    return let(
+        to_lf(text),
+        lambda lf: let(
+            F.struct(
+                lf.alias("text"),
+                F.regexp_extract(lf, HEADER_BLOCK, 1).alias("block"),
+                F.regexp_extract(lf, HEADER_BLOCK, 3).alias("late"),
+            ),
+            _parse_parts,
         ),
-        _take_header,
     )
-    code = F.coalesce(
-        seen["code"],
-        F.when(block == "", F.lit("E10")),
-        F.when(late_header, F.lit("E03")),
-        F.when(body == "", F.lit("E11")),
-        F.when(seen["hash"].isNull(), F.lit("E12")),
+
+
+def _parse_parts(parts: Column) -> Column:
+    block = parts["block"]
+    lines = F.filter(F.split(block, "\n"), lambda line: line != "")
+    nothing = F.lit(None).cast("string")
+    start = F.struct(nothing.alias("previous"), nothing.alias("hash"), nothing.alias("code"))
+    read = F.struct(
+        F.aggregate(lines, start, _take_header).alias("seen"),
+        normalize(F.substr(parts["text"], F.length(block) + 1)).alias("body"),
     )
-    sound = code.isNull()
-    return F.struct(
-        F.when(sound, seen["previous"]).alias("previous_hash"),
-        F.when(sound, seen["hash"]).alias("hash"),
-        F.when(sound, body).alias("body"),
-        code.alias("error_code"),
-    ).cast(PARSED)
+
+    def judge(read: Column) -> Column:
+        seen, body = read["seen"], read["body"]
+        return F.coalesce(
+            seen["code"],
+            F.when(block == "", F.lit("E10")),
+            F.when(parts["late"] != "", F.lit("E03")),
+            F.when(body == "", F.lit("E11")),
+            F.when(seen["hash"].isNull(), F.lit("E12")),
+        )
+
+    def result(read: Column, code: Column) -> Column:
+        sound = code.isNull()
+        return F.struct(
+            F.when(sound, read["seen"]["previous"]).alias("previous_hash"),
+            F.when(sound, read["seen"]["hash"]).alias("hash"),
+            F.when(sound, read["body"]).alias("body"),
+            code.alias("error_code"),
+        ).cast(PARSED)
+
+    return let(read, lambda r: let(judge(r), lambda code: result(r, code)))
 
 
 def _take_header(seen: Column, line: Column) -> Column:
     content = F.substr(line, F.lit(len(HEADER_MARK) + 1))
     colon = F.instr(content, ":")
-    key = trim_space(F.substr(content, F.lit(1), colon - 1))
-    value = trim_space(F.substr(content, colon + 1))
+    pair = F.struct(
+        (colon > 0).alias("has_colon"),
+        trim_space(F.substr(content, F.lit(1), colon - 1)).alias("key"),
+        trim_space(F.substr(content, colon + 1)).alias("value"),
+    )
+    return F.when(seen["code"].isNotNull(), seen).otherwise(
+        let(pair, lambda p: _judge_header(seen, p))
+    )
+
+
+def _judge_header(seen: Column, pair: Column) -> Column:
+    key, value = pair["key"], pair["value"]
     is_hash = value.rlike(HASH_SHAPE)
     code = (
-        F.when(colon == 0, "E04")
+        F.when(~pair["has_colon"], "E04")
         .when(key == "Previous",
               F.when(seen["previous"].isNotNull(), "E05")
               .when((value != "") & ~is_hash, "E06"))
@@ -70,14 +94,13 @@ def _take_header(seen: Column, line: Column) -> Column:
               .when(~is_hash, "E08"))
         .otherwise("E09")
     )
-    step = F.struct(
+    return F.struct(
         F.coalesce(
             seen["previous"], F.when((key == "Previous") & (value != ""), F.lower(value))
         ).alias("previous"),
         F.coalesce(seen["hash"], F.when(key == "Hash", F.lower(value))).alias("hash"),
         code.alias("code"),
-    )
-    return F.when(seen["code"].isNotNull(), seen).otherwise(step).cast(_SEEN)
+    ).cast(_SEEN)
 
 
 def render_change(previous: Column, recorded: Column, body: Column) -> Column:
@@ -91,8 +114,8 @@ def render_change(previous: Column, recorded: Column, body: Column) -> Column:
 
 def candidate_error(body: Column | str) -> Column:
     """E30 for a blank candidate, E31 for one with header lines, else null."""
-    text = normalize(to_lf(body))
-    return F.when(text == "", "E30").when(text.rlike(HEADER_LINE_ANYWHERE), "E31")
-
+    return let(
+        normalize(to_lf(body)),
+        lambda text: F.when(text == "", "E30").when(text.rlike(HEADER_LINE_ANYWHERE), "E31"),
+    )
 
-__all__ = ["candidate_error", "parse_change", "render_change", "version_filename"]

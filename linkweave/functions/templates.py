@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from linkweave.functions.text import _col
+from linkweave.functions.text import _col, let
 
 # Fixed value: how a script falls into stretches that stay (strings, comments, runs of
 # colons, other text) and placeholders. A stretch is as long as possible, so a script
@@ -13,7 +13,7 @@ PLACEHOLDER = r":[_A-Z][_0-9A-Z]*+"
 SCRIPT_TOKENS = (
     r"(?:'[^']*+(?:''[^']*+)*+'?"
     r"|--[^\n]*+"
-    r"|/\*[\s\S]*?(?:\*/|\z)"
+    r"|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
     r"|::++"
     r"|[^'\-/:]++"
     r"|(?!:[_A-Z])[\s\S])++"
@@ -57,9 +57,12 @@ def resolve(text: Column | str, bindings: Column, strict: bool = False) -> Colum
             )
         return F.when(token.rlike(_IS_PLACEHOLDER), value).otherwise(token)
 
-    filled = F.transform(_tokens(_col(text)), fill)
-    known = ~F.exists(filled, lambda piece: piece.isNull())
-    return F.when(known, F.array_join(filled, ""))
+    return let(
+        F.transform(_tokens(_col(text)), fill),
+        lambda filled: F.when(
+            ~F.exists(filled, lambda piece: piece.isNull()), F.array_join(filled, "")
+        ),
+    )
 
 
 def interpolate(text: Column | str, variables: Column) -> Column:
@@ -75,26 +78,34 @@ def interpolate(text: Column | str, variables: Column) -> Column:
         inner = F.substr(token, F.lit(3), F.length(token) - 3)
         mark = F.instr(inner, ":-")
         name = F.when(mark > 0, F.substr(inner, F.lit(1), mark - 1)).otherwise(inner)
-        default = F.when(mark > 0, F.substr(inner, mark + 2))
-        value = F.try_element_at(variables, name)
-        is_ref = token.startswith("${")
-        code = F.when(
-            is_ref,
+        found = F.struct(
+            name.alias("name"),
+            F.when(mark > 0, F.substr(inner, mark + 2)).alias("default"),
+            F.try_element_at(variables, name).alias("value"),
+        )
+        plain = F.struct(token.alias("piece"), F.lit(None).cast("string").alias("code"))
+        return F.when(token.startswith("${"), let(found, lambda f: judge(token, f))).otherwise(plain)
+
+    def judge(token: Column, found: Column) -> Column:
+        value, default = found["value"], found["default"]
+        code = (
             F.when(~token.endswith("}"), "E60")
-            .when(name == "", "E61")
+            .when(found["name"] == "", "E61")
             .when(value.isNull() & default.isNull(), "E62")
-            .when(value.isNull() & default.contains("${"), "E60"),
+            .when(value.isNull() & default.contains("${"), "E60")
         )
-        return F.struct(
-            F.when(is_ref, F.coalesce(value, default)).otherwise(token).alias("piece"),
-            code.alias("code"),
+        return F.struct(F.coalesce(value, default).alias("piece"), code.alias("code"))
+
+    def join(pieces: Column) -> Column:
+        codes = F.filter(F.transform(pieces, lambda p: p["code"]), lambda c: c.isNotNull())
+        return let(
+            F.try_element_at(codes, F.lit(1)),
+            lambda code: F.struct(
+                F.when(
+                    code.isNull(), F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+                ).alias("value"),
+                code.alias("error_code"),
+            ),
         )
 
-    pieces = F.transform(tokens, read)
-    code = F.try_element_at(
-        F.filter(F.transform(pieces, lambda p: p["code"]), lambda c: c.isNotNull()), F.lit(1)
-    )
-    joined = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
-    return F.struct(
-        F.when(code.isNull(), joined).alias("value"), code.alias("error_code")
-    )
+    return let(F.transform(tokens, read), join)

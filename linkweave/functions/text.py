@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the code points that count as white space at the edges of a body.
@@ -24,6 +26,15 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it.
+
+    Spark shares repeated expressions only where all of them are sure to be evaluated,
+    which is not so inside ``when`` or a lambda.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_space(column: Column | str) -> Column:
     """Strip Unicode white space from both ends (Spark's plain ``trim`` strips spaces only)."""
     return F.btrim(_col(column), F.lit(WHITE_SPACE))

@@ -168,6 +168,7 @@ def contiguity_violations(versions: DataFrame) -> DataFrame:
         ["version"],
         F.floor(F.col("version") / 1000),
         weight="n_rows",
+        counted_from=versions,
     )
     on_rank = (F.col("version") >= F.col("position")) & (
         F.col("version") < F.col("position") + F.col("n_rows")

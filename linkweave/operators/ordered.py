@@ -21,12 +21,14 @@ def with_order(
     block: Column,
     carry: Sequence[str] = (),
     weight: str | None = None,
+    counted_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``position`` (1-based) and, for each ``carry`` column, ``before_<column>``.
 
     ``block`` must never decrease along ``order``. ``before_*`` is null on the first row
     of a key. With ``weight``, a row stands for that many rows and ``position`` is the
-    first place it takes.
+    first place it takes; ``counted_from`` may then name the rows it was counted from,
+    which saves counting twice for the borders.
     """
     keys, order = list(keys), list(order)
     blocked = df.withColumn("_block", block)
@@ -42,13 +44,14 @@ def with_order(
     )
 
     # Aggregated before its shuffle: one row per block and task leaves, not the bulk again.
-    ends = [F.sum(size).alias("_size")]
+    ends = [F.sum(size if counted_from is None else F.lit(1)).alias("_size")]
     if carry:
         ends.append(F.max_by(carried, F.struct(*order)).alias("_last"))
     per_key = Window.partitionBy(*keys).orderBy("_block")
     earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        blocked.groupBy(*keys, "_block")
+        (blocked if counted_from is None else counted_from.withColumn("_block", block))
+        .groupBy(*keys, "_block")
         .agg(*ends)
         .select(
             *keys,
