@@ -400,7 +400,7 @@ def snapshot_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.change_points(
         given.event_rows(spark, sf_dir).drop("value", "props"),
-        ["user_id"], ["ts", "event_id"], "event_type", given.day_block(),
+        ["user_id"], ["ts", "event_id"], "event_type", given.hour_block(),
     )
 
 
@@ -411,7 +411,7 @@ def change_points_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = given.event_rows(spark, sf_dir).select(*columns).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     root = fresh_path(spark, "detect")
-    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type", given.day_block())
+    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type", given.hour_block())
     detector.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
     return detector.points(spark, schema)
 

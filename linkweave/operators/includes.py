@@ -132,26 +132,27 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
         level = cut_lineage(found, "level")
         if levels and level.isEmpty():
             break
-        frontier = _first_met(level)
-        if levels:
-            known = _first_met(reduce(DataFrame.unionByName, levels))
-            frontier = (
-                frontier.join(
-                    known.withColumnRenamed("key", "known_key"), [*ROOT, "path"], "left"
-                )
-                .where(F.col("known_key").isNull() | (F.col("key") < F.col("known_key")))
-                .drop("known_key")
-            )
+        frontier = _newly_first(level, levels)
         levels.append(level)
     return Traversal(reduce(DataFrame.unionByName, levels), edges)
 
 
-def _first_met(occurrences: DataFrame) -> DataFrame:
-    """Per root and fragment the earliest key; faulty places and the root itself end there."""
+def _newly_first(level: DataFrame, earlier: list[DataFrame]) -> DataFrame:
+    """Fragments of ``level`` met at an earlier key than ever before, or for the first time.
+
+    One aggregation over old and new occurrences decides; faulty places and the root
+    itself are not followed.
+    """
+    columns = [*ROOT, "path", "key"]
+    seen = level.where("code is null").select(*columns, F.lit(True).alias("new"))
+    for old in earlier:
+        seen = seen.unionByName(old.where("code is null").select(*columns, F.lit(False).alias("new")))
     return (
-        occurrences.where("code is null and path <> root")
+        seen.where("path <> root")
         .groupBy(*ROOT, "path")
-        .agg(F.min("key").alias("key"))
+        .agg(F.min("key").alias("key"), F.min(F.when(~F.col("new"), F.col("key"))).alias("known"))
+        .where(F.col("known").isNull() | (F.col("key") < F.col("known")))
+        .drop("known")
     )
 
 

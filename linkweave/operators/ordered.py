@@ -1,10 +1,11 @@
-"""Positions and predecessors inside a key, without one task per key.
+"""Positions and predecessors inside a key, without one task for a hot key.
 
-A plain window over a key sorts all rows of that key in a single task, so one hot key
-decides how long the job takes. Here rows are cut into blocks by an expression that
-grows along the order (a file-name prefix, a day). The bulk of the rows is shuffled once,
-by key and block; what crosses a block border - how many rows came before, and the last
-row before - is one small row per block, pre-aggregated where the rows are read.
+A plain window over a key sorts all rows of that key in a single task, so one key with a
+third of all rows would decide how long the job takes. Keys are therefore counted first,
+on the key columns alone. Rows of ordinary keys go through the plain window. Rows of hot
+keys are cut into blocks by an expression that grows along the order (a file-name prefix,
+an hour), and the window runs block by block; what crosses a block border - how many rows
+came before, and the last row before - is one small row per block.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Keys with more rows than this are cut into blocks. The set of such keys is broadcast:
+# it has at most (all rows / HOT_ROWS) members, a few megabytes for 10^11 rows.
+HOT_ROWS = 500_000
+
 
 def with_order(
     df: DataFrame,
@@ -22,35 +27,46 @@ def with_order(
     carry: Sequence[str] = (),
     weight: str | None = None,
     counted_from: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``position`` (1-based) and, for each ``carry`` column, ``before_<column>``.
 
     ``block`` must never decrease along ``order``. ``before_*`` is null on the first row
     of a key. With ``weight``, a row stands for that many rows and ``position`` is the
     first place it takes; ``counted_from`` may then name the rows it was counted from,
-    which saves counting twice for the borders.
+    which saves counting twice.
     """
     keys, order = list(keys), list(order)
-    blocked = df.withColumn("_block", block)
+    size = F.col(weight) if weight else F.lit(1).cast("bigint")
+    single = F.lit(1).cast("bigint")
+    rows, row_size = (df, size) if counted_from is None else (counted_from, single)
+    hot = F.broadcast(
+        rows.groupBy(*keys)
+        .agg(F.sum(row_size).alias("_rows"))
+        .where(F.col("_rows") > hot_rows)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+
+    blocked = df.join(hot, keys, "left").withColumn("_block", F.when(F.col("_hot"), block))
     in_block = Window.partitionBy(*keys, "_block").orderBy(*order)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.col(weight) if weight else F.lit(1).cast("bigint")
     carried = F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in carry])
-
     local = blocked.select(
-        "*",
+        *df.columns,
+        "_block",
         F.sum(size).over(so_far).alias("_upto"),
         F.lag(carried).over(in_block).alias("_before"),
     )
 
     # Aggregated before its shuffle: one row per block and task leaves, not the bulk again.
-    ends = [F.sum(size if counted_from is None else F.lit(1)).alias("_size")]
+    ends = [F.sum(row_size).alias("_size")]
     if carry:
         ends.append(F.max_by(carried, F.struct(*order)).alias("_last"))
     per_key = Window.partitionBy(*keys).orderBy("_block")
     earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        (blocked if counted_from is None else counted_from.withColumn("_block", block))
+        rows.join(hot, keys)
+        .withColumn("_block", block)
         .groupBy(*keys, "_block")
         .agg(*ends)
         .select(

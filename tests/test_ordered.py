@@ -8,12 +8,13 @@ from linkweave.operators.ordered import with_order
 from linkweave.operators.snapshots import change_points, snapshot_equality, stamp_diff
 
 
+@pytest.mark.parametrize("hot_rows", [0, 60, 10_000])
 @pytest.mark.parametrize("width", [1, 7, 1000])
-def test_blocks_give_what_a_plain_window_gives(spark, width):
+def test_blocks_give_what_a_plain_window_gives(spark, width, hot_rows):
     rng = random.Random(width)
     rows = [(0 if rng.random() < 0.4 else rng.randrange(5), i, rng.choice(["a", "b", None])) for i in rng.sample(range(900), 300)]
     df = spark.createDataFrame(rows, "k long, n int, s string")
-    ours = with_order(df, ["k"], ["n"], F.floor(F.col("n") / width), carry=["s"])
+    ours = with_order(df, ["k"], ["n"], F.floor(F.col("n") / width), carry=["s"], hot_rows=hot_rows)
     w = Window.partitionBy("k").orderBy("n")
     plain = df.select(
         "*", F.row_number().over(w).cast("bigint").alias("position"), F.lag("s").over(w).alias("before_s")
@@ -21,13 +22,16 @@ def test_blocks_give_what_a_plain_window_gives(spark, width):
     assert sorted(map(repr, ours.collect())) == sorted(map(repr, plain.collect()))
 
 
-def test_weights_count_as_rows(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_weights_count_as_rows(spark, hot_rows):
     df = spark.createDataFrame([(1, 1, 3), (1, 2, 1), (1, 9, 2)], "k long, n int, c long")
-    placed = with_order(df, ["k"], ["n"], F.col("n"), weight="c")
+    placed = with_order(df, ["k"], ["n"], F.col("n"), weight="c", hot_rows=hot_rows)
     assert {r.n: r.position for r in placed.collect()} == {1: 1, 2: 4, 9: 5}
 
 
-def test_contiguity_with_copies_and_gaps(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_contiguity_with_copies_and_gaps(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(with_order, "__defaults__", (*with_order.__defaults__[:-1], hot_rows))
     versions = [(1, 1), (1, 2), (1, 3), (2, 2), (3, 1), (3, 1), (3, 3), (4, 1), (4, 3)]
     got = contiguity_violations(spark.createDataFrame(versions, "chain_id long, version int"))
     assert sorted(tuple(r) for r in got.collect()) == [
@@ -35,7 +39,9 @@ def test_contiguity_with_copies_and_gaps(spark):
     ]
 
 
-def test_change_points_fire_once_per_state(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_change_points_fire_once_per_state(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(with_order, "__defaults__", (*with_order.__defaults__[:-1], hot_rows))
     rows = [(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "a"), (2, 1, None), (2, 2, None), (2, 3, "c")]
     df = spark.createDataFrame(rows, "k long, n int, s string")
     got = change_points(df, ["k"], ["n"], "s", F.floor(F.col("n") / 2))
