@@ -62,8 +62,9 @@ def link_hash(previous: Column | str, body: Column | str) -> Column:
 
 
 def hash_matches(previous: Column | str, recorded: Column | str, body: Column | str) -> Column:
-    """True when the recorded hash, in either case, is the one the row's content gives."""
-    return F.coalesce(F.lower(_col(recorded)) == link_hash(previous, body), F.lit(False))
+    """True when the recorded hash is the one the row's content gives; hex case is ignored."""
+    expected = link_hash(F.lower(_col(previous)), body)
+    return F.coalesce(F.lower(_col(recorded)) == expected, F.lit(False))
 
 
 def is_valid_hash(column: Column | str) -> Column:

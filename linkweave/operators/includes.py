@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from linkweave.functions.paths import (
     INCLUDE_LINE, fold_path, include_literals, include_paths, parent_folder, within,
 )
-from linkweave.session import cut_lineage
+from linkweave.session import cut_and_count, cut_lineage
 
 ROOT = ["chain_id", "root"]
 OCCURRENCE = [*ROOT, "key", "source", "path", "code"]
@@ -75,16 +75,12 @@ class Traversal:
 
     def duplicates(self) -> DataFrame:
         """Fragments that the root and its fragments name more than once, with the count."""
+        starts = self.occurrences.select(*ROOT, F.col("root").alias("source")).distinct()
         members = self.closure().select(*ROOT, F.col("path").alias("source"))
-        starts = self.edges.where("code is null").join(
-            self.occurrences.select("chain_id", "root").distinct(), "chain_id"
-        ).where(F.col("source") == F.col("root"))
-        inner = members.where("source <> root").join(
-            self.edges.where("code is null"), ["chain_id", "source"]
-        )
         return (
-            starts.select(*ROOT, "path")
-            .unionByName(inner.select(*ROOT, "path"))
+            starts.unionByName(members.where("source <> root"))
+            .join(self.edges.where("code is null"), ["chain_id", "source"])
+            .select(*ROOT, "path")
             .groupBy(*ROOT, "path")
             .agg(F.count("*").alias("uses"))
             .where("uses > 1")
@@ -129,8 +125,8 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
                 *ROOT, F.array_append("key", F.col("place")).alias("key"), "source", "path", "code"
             )
         )
-        level = cut_lineage(found, "level")
-        if levels and level.isEmpty():
+        level, found_rows = cut_and_count(found, "level")
+        if levels and not found_rows:
             break
         frontier = _newly_first(level, levels)
         levels.append(level)

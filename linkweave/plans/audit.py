@@ -22,7 +22,7 @@ def log_violations(changes: DataFrame) -> DataFrame:
     narrow = verify_links(changes).select(
         "chain_id",
         "filename",
-        "previous_hash",
+        F.lower("previous_hash").alias("previous_hash"),
         F.lower("hash").alias("hash"),
         "hash_ok",
         parse_version("filename").alias("version"),

@@ -27,16 +27,20 @@ from linkweave.session import cut_lineage
 
 def gated_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:
     """``target_progress`` with ``error_code`` also set where the chain itself is faulty."""
-    faulty = first_violation(log_violations(changes)).select(
-        "chain_id", F.col("error_code").alias("_chain_error")
-    )
     progress = target_progress(changes, applied, targets)
-    return progress.join(faulty, "chain_id", "left").select(
+    return progress.join(_chain_errors(changes), "chain_id", "left").select(
         *TARGET,
         "applied_count",
         "total_committed",
         "diverged_filename",
-        F.coalesce("_chain_error", "error_code").alias("error_code"),
+        F.coalesce("chain_error", "error_code").alias("error_code"),
+    )
+
+
+def _chain_errors(changes: DataFrame) -> DataFrame:
+    """Faulty chains with the error that comes first in them."""
+    return first_violation(log_violations(changes)).select(
+        "chain_id", F.col("error_code").alias("chain_error")
     )
 
 
@@ -45,7 +49,7 @@ def fleet_status(
 ) -> DataFrame:
     """Per target: pending changes, candidate changes, the two as a code, or the error."""
     changed = candidates.select("chain_id", has_changes("body").alias("candidate_has_changes"))
-    rows = target_progress(changes, applied, targets).join(changed, "chain_id", "left")
+    rows = gated_progress(changes, applied, targets).join(changed, "chain_id", "left")
     pending = F.col("total_committed") > F.col("applied_count")
     has = F.coalesce("candidate_has_changes", F.lit(False))
     sound = F.col("error_code").isNull()
@@ -111,7 +115,7 @@ def rebuild(
     """State and applied rows from nothing. The log is checked before anything is given up."""
     if not force:
         raise ValueError("E51 a rebuild replaces the targets; confirm it with force=True")
-    faulty = first_violation(log_violations(changes)).select("chain_id", "error_code")
+    faulty = _chain_errors(changes).withColumnRenamed("chain_error", "error_code")
     none_applied = cut_lineage(
         targets.select(*TARGET)
         .join(changes.groupBy("chain_id").agg(F.count("*").alias("total_committed")), "chain_id", "left")
@@ -253,8 +257,8 @@ def uncommit_latest(
 ) -> DataFrame:
     """Take the last change of each chain back into its candidate, or say why not.
 
-    A change can only go back while no target has it. Rows without ``error_code`` carry
-    the body to restore.
+    A change can only go back while the log is sound and no target has it. Rows without
+    ``error_code`` carry the body to restore.
     """
     progress = target_progress(changes, applied, targets)
     per_chain = progress.groupBy("chain_id").agg(
@@ -264,7 +268,8 @@ def uncommit_latest(
     busy = candidates.select("chain_id", has_changes("body").alias("busy"))
     last = latest_change(changes).select("chain_id", "version", "filename", "body")
     code = (
-        F.when(F.col("version").isNull(), "E40")
+        F.when(F.col("chain_error").isNotNull(), F.col("chain_error"))
+        .when(F.col("filename").isNull(), "E40")
         .when(F.col("history_error").isNotNull(), F.col("history_error"))
         .when(F.col("is_applied"), "E41")
         .when(F.col("busy"), "E42")
@@ -272,6 +277,7 @@ def uncommit_latest(
     return (
         last.join(busy, "chain_id", "full_outer")
         .join(per_chain, "chain_id", "left")
+        .join(_chain_errors(changes), "chain_id", "left")
         .select(
             "chain_id",
             "version",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", name: str = "linkweave") -> SparkSession:
@@ -51,6 +51,13 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     Whatever executor is lost later, nothing has to be computed again; and later plans see
     a table with known size and prunable columns.
     """
+    return cut_and_count(df, label)[0]
+
+
+def cut_and_count(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``cut_lineage``, with the number of rows, which the write counts on its way."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept, rows.get["rows"]

@@ -38,18 +38,14 @@ def test_paths(column):
     assert column(["fixtures/a", "fixtures", "fixturesx/a", None], within("x")) == [True, False, False, False]
 
 
-def tables(spark, texts, root="current.sql"):
-    """A root and fragments from ``{path: text}``; ``root`` is given apart."""
-    roots = spark.createDataFrame([(1, root, texts[root])], "chain_id long, root string, text string")
-    rows = [(1, p, t) for p, t in texts.items() if p.startswith("fixtures/")]
-    return roots, spark.createDataFrame(rows, "chain_id long, path string, text string")
-
-
-def expand(spark, texts, root="current.sql"):
-    expanded, faults = expand_includes(*tables(spark, texts, root))
-    rows = expanded.collect() + faults.collect()
-    assert len(rows) == 1
-    return tuple(rows[0])[2:]
+def tables(spark, projects):
+    """Roots and fragments of ``[(root, {path: text})]``, numbered as chains."""
+    roots = [(i, root, texts[root]) for i, (root, texts) in enumerate(projects)]
+    rows = [(i, p, t) for i, (_, texts) in enumerate(projects) for p, t in texts.items() if p.startswith("fixtures/")]
+    return (
+        spark.createDataFrame(roots, "chain_id long, root string, text string"),
+        spark.createDataFrame(rows, "chain_id long, path string, text string"),
+    )
 
 
 EXPANDED = {
@@ -91,21 +87,33 @@ FAULTY = {
 }
 
 
+CYCLE = {"fixtures/a": f"{INC}b", "fixtures/b": f"{INC}a"}
+
+
+@pytest.fixture(scope="module")
+def outcomes(spark):
+    """All projects in one traversal; they must not disturb each other."""
+    cases = {**EXPANDED, **FAULTY}
+    projects = [("current.sql", texts) for texts, _ in cases.values()] + [("fixtures/a", CYCLE)]
+    expanded, faults = expand_includes(*tables(spark, projects))
+    rows = expanded.collect() + faults.collect()
+    assert len(rows) == len(projects)
+    by_chain = {r.chain_id: tuple(r)[2:] for r in rows}
+    return {name: by_chain[i] for i, name in enumerate([*cases, "root in a cycle"])}
+
+
 @pytest.mark.parametrize("name", EXPANDED)
-def test_expand(spark, name):
-    texts, expected = EXPANDED[name]
-    assert expand(spark, texts) == (expected,)
+def test_expand(outcomes, name):
+    assert outcomes[name] == (EXPANDED[name][1],)
 
 
 @pytest.mark.parametrize("name", FAULTY)
-def test_first_fault(spark, name):
-    texts, expected = FAULTY[name]
-    assert expand(spark, texts) == expected
+def test_first_fault(outcomes, name):
+    assert outcomes[name] == FAULTY[name][1]
 
 
-def test_cycle_through_a_root_that_is_a_fragment(spark):
-    texts = {"fixtures/a": f"{INC}b", "fixtures/b": f"{INC}a"}
-    assert expand(spark, texts, root="fixtures/a") == ("E32", "fixtures/a")
+def test_cycle_through_a_root_that_is_a_fragment(outcomes):
+    assert outcomes["root in a cycle"] == ("E32", "fixtures/a")
 
 
 def test_reports_over_all_fragments(spark):
@@ -113,10 +121,11 @@ def test_reports_over_all_fragments(spark):
         "current.sql": f"{INC}fixtures/a\n{INC}fixtures/b", "fixtures/a": f"{INC}b\n{INC}zz",
         "fixtures/b": "x", "fixtures/lonely": f"{INC}b",
     }
-    walk = traverse(*tables(spark, texts))
+    inputs = tables(spark, [("current.sql", texts)])
+    walk = traverse(*inputs)
     assert {r.path for r in walk.closure().collect()} == {"fixtures/a", "fixtures/b"}
     assert [tuple(r)[2:] for r in walk.duplicates().collect()] == [("fixtures/b", 2)]
-    edges = include_edges(*tables(spark, texts))
+    edges = include_edges(*inputs)
     assert [(r.source, r.path) for r in missing_includes(edges).collect()] == [("fixtures/a", "fixtures/zz")]
 
 

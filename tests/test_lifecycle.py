@@ -92,6 +92,17 @@ def test_uncommit_refusals(spark, log):
     }
 
 
+def test_faulty_chain_has_no_status_and_no_uncommit(spark, log):
+    broken = log.withColumn("body", F.when(F.col("version") == 2, "z").otherwise(F.col("body")))
+    targets = frame(spark, [(1, 1), (2, 2)], TARGETS)
+    candidates = frame(spark, [(1, ""), (2, "")], CANDIDATES)
+    none = empty(spark, "target_id long, chain_id long, filename string, hash string, previous_hash string")
+    status = lifecycle.fleet_status(broken, none, candidates, targets)
+    assert {r.target_id: (r.code, r.error_code) for r in status.collect()} == {1: (None, "E13"), 2: (1, None)}
+    back = lifecycle.uncommit_latest(broken, none, candidates, targets)
+    assert {r.chain_id: r.error_code for r in back.collect()} == {1: "E13", 2: None, 3: "E13"}
+
+
 @pytest.fixture(scope="module")
 def effects(spark):
     return frame(spark, [(1, 1, "a", 1.0), (1, 2, "a", 2.0), (1, 2, "b", 3.0), (2, 1, "a", 4.0),

@@ -60,3 +60,21 @@ def test_stamps(spark):
     assert tuple(snapshot_equality(one, two).first()) == (6, False)
     assert tuple(snapshot_equality(one, one).first()) == (0, True)
     assert tuple(snapshot_equality(one.limit(0), one.limit(0)).first()) == (0, True)
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """A key with a third of the rows is cut; no task gets much more than its share."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("n")
+    )
+    placed = with_order(rows, ["k"], ["n"], F.floor(F.col("n") / 300), carry=["n"], hot_rows=1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = placed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("position"))
+        sizes = [r["n"] for r in per_task.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 9_500
+    hot = placed.where("k = 0")
+    assert hot.where("position <> n / 3 + 1 or not before_n <=> if(n = 0, null, n - 3)").isEmpty()
+    assert hot.count() == 10_000
