@@ -448,6 +448,18 @@ SELECT c_custkey, CASE WHEN count(code) = 0 THEN string_agg(piece, '' ORDER BY o
   arg_min(code, ord) FILTER (code IS NOT NULL) AS error_code
 FROM judged GROUP BY c_custkey"""
 
+ORACLE["invalid_bindings"] = """
+WITH b AS (SELECT c_custkey AS chain_id, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment)
+    WHEN 2 THEN c_name ELSE '_' || c_nationkey END AS name FROM customer)
+SELECT chain_id, name, 'E64' AS error_code FROM b WHERE NOT regexp_full_match(name, '[_A-Z][_A-Z0-9]*')"""
+
+ORACLE["filled_bindings"] = """
+SELECT c_custkey AS chain_id, 'SCHEMA_NAME' AS name,
+  CASE c_custkey % 3 WHEN 0 THEN 'test_' || lower(c_mktsegment) WHEN 1 THEN c_name || '/x'
+    ELSE CASE WHEN c_nationkey = 7 THEN 'seven' END END AS value,
+  CASE WHEN c_custkey % 3 = 2 AND c_nationkey <> 7 THEN 'E62' END AS error_code
+FROM customer"""
+
 ORACLE["chain_build"] = _with(
     _LOG, select="SELECT chain_id, version, filename, previous_hash, hash, body FROM log"
 )
@@ -541,6 +553,12 @@ judged AS (
   JOIN per_chain p ON p.chain_id = l.chain_id JOIN candidates c ON c.chain_id = l.chain_id)""", select="""
 SELECT chain_id, version, filename, error_code, CASE WHEN error_code IS NULL THEN body END AS restored_body FROM judged""")
 
+ORACLE["restored_candidates"] = ORACLE["uncommit_latest"].replace(
+    "SELECT chain_id, version, filename, error_code, CASE WHEN error_code IS NULL THEN body END AS restored_body FROM judged",
+    "SELECT c.chain_id, CASE WHEN j.error_code IS NULL THEN j.body ELSE c.body END AS body "
+    "FROM candidates c JOIN judged j ON j.chain_id = c.chain_id",
+)
+
 ORACLE["placeholder_refs"] = _with(_SCRIPTS, select=f"""
 SELECT DISTINCT chain_id, script_id, unnest({_refs('text')}) AS name FROM scripts""")
 ORACLE["unknown_placeholders"] = _with(_SCRIPTS, select=f"""
@@ -574,6 +592,8 @@ ORACLE["duplicate_includes"] = _with(_DAMAGED_FAMILY, _CLOSURE, select="""
 SELECT c.chain_id, c.root, e.path, count(*) AS uses
 FROM closure c JOIN edges e ON e.chain_id = c.chain_id AND e.source = c.path
 WHERE e.code IS NULL GROUP BY ALL HAVING count(*) > 1""")
+ORACLE["include_edges"] = _with(_DAMAGED_FAMILY, select="""
+SELECT chain_id, source, written, CASE WHEN NOT starts_with(path, '..') THEN path END AS path, code FROM edges""")
 ORACLE["missing_includes"] = _with(
     _DAMAGED_FAMILY, select="SELECT chain_id, source, path FROM edges WHERE code = 'E34'"
 )

@@ -18,8 +18,9 @@ from linkweave.operators import chain, history, includes, scripts, snapshots, st
 from linkweave.plans import lifecycle
 from linkweave.plans.audit import audit, log_violations
 from linkweave.plans.compile import compile_scripts as compile_candidates
+from linkweave.schemas import CANDIDATES
 from linkweave.session import fresh_path
-from linkweave.sources.tables import applied_key_violations
+from linkweave.sources.tables import applied_key_violations, current, put_candidates, read_bindings
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply
 from linkweave.streaming.detect import ChangeDetector
 
@@ -156,6 +157,37 @@ def env_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("c_custkey", "filled.value", "filled.error_code")
 
 
+@query
+def invalid_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("c_custkey") % 4
+    name = (
+        F.when(kind == 0, F.col("c_mktsegment"))
+        .when(kind == 1, F.lower("c_mktsegment"))
+        .when(kind == 2, F.col("c_name"))
+        .otherwise(F.concat(F.lit("_"), F.col("c_nationkey").cast("string")))
+    )
+    bindings = given.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("chain_id"), name.alias("name"), F.col("c_name").alias("value")
+    )
+    return scripts.invalid_bindings(bindings)
+
+
+@query
+def filled_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings kept as JSON files, read back with variables filled in."""
+    kind = F.col("c_custkey") % 3
+    value = (
+        F.when(kind == 0, F.concat(F.lit("${STAGE}_"), F.lower("c_mktsegment")))
+        .when(kind == 1, F.concat(F.lit("${OWNER:-"), F.col("c_name"), F.lit("}/x")))
+        .otherwise(F.concat(F.lit("${EMPTY:-y}${NATION_"), F.col("c_nationkey").cast("string"), F.lit("}")))
+    )
+    path = fresh_path(spark, "bindings")
+    given.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("chain_id"), F.lit("SCHEMA_NAME").alias("name"), value.alias("value")
+    ).write.json(path)
+    return read_bindings(spark, path, variables={"STAGE": "test", "EMPTY": "", "NATION_7": "seven"})
+
+
 # Chains
 
 
@@ -292,6 +324,20 @@ def uncommit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def restored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates after last changes were taken back into them."""
+    changes, applied, targets = _fleet(spark, sf_dir)
+    old = given.conversation_candidates(spark, sf_dir)
+    taken = lifecycle.uncommit_latest(changes, applied, old, targets)
+    root = fresh_path(spark, "candidates")
+    put_candidates(
+        taken.where(F.col("error_code").isNull()).select("chain_id", F.col("restored_body").alias("body")),
+        old, root,
+    )
+    return current(spark, root, "candidates", CANDIDATES)
+
+
 # Scripts
 
 
@@ -347,6 +393,14 @@ def duplicate_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.traverse(*_damaged(spark, sf_dir)).duplicates()
 
 
+@query
+def include_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Include lines with the path they come to, and what is wrong with it."""
+    return includes.include_edges(*_damaged(spark, sf_dir)).select(
+        "chain_id", "source", "written", "path", "code"
+    )
+
+
 @query
 def missing_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.missing_includes(includes.include_edges(*_damaged(spark, sf_dir)))

@@ -135,10 +135,12 @@ def verify_links(changes: DataFrame) -> DataFrame:
     return changes.withColumn("hash_ok", hash_matches("previous_hash", "hash", "body"))
 
 
-def positioned(changes: DataFrame) -> DataFrame:
+def positioned(
+    changes: DataFrame, weight: str | None = None, counted_from: DataFrame | None = None
+) -> DataFrame:
     """Changes in file-name order with their position and the hash of the one before."""
     return with_order(
-        changes, ["chain_id"], ["filename", "hash"], filename_block(), carry=["hash"]
+        changes, ["chain_id"], ["filename", "hash"], filename_block(), ["hash"], weight, counted_from
     )
 
 

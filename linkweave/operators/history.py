@@ -10,17 +10,21 @@ TARGET = ["target_id", "chain_id"]
 
 
 def compare_histories(changes: DataFrame, applied: DataFrame) -> DataFrame:
-    """Every applied row with its position and whether the committed change there is equal.
+    """Every distinct applied row with its position and whether the committed change there
+    is equal; ``copies`` says how often the row is recorded.
 
     Equality of the nullable previous hash is tested in the projection; the join itself
     is a plain equi-join on narrow columns, which AQE can split where a chain has very
     many targets.
     """
+    rows = applied.select(*TARGET, "filename", "hash", "previous_hash")
     placed = with_order(
-        applied.select(*TARGET, "filename", "hash", "previous_hash"),
+        rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")),
         TARGET,
         ["filename", "hash"],
         filename_block(),
+        weight="copies",
+        counted_from=rows,
     )
     committed = changes.select(
         "chain_id",
@@ -55,11 +59,17 @@ def _judged(per_target: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _applied_counts(changes: DataFrame, applied: DataFrame) -> DataFrame:
-    differs = F.when(F.col("known") & ~F.col("same"), F.struct("position", "filename"))
+    wrong = F.col("known") & ~F.col("same")
+    # The second of two copies sits where the next change should be.
+    repeated = F.col("copies") > 1
+    differs = F.when(
+        wrong | repeated,
+        F.struct((F.col("position") + F.when(wrong, 0).otherwise(1)).alias("position"), "filename"),
+    )
     return (
         compare_histories(changes, applied)
         .groupBy(*TARGET)
-        .agg(F.count("*").alias("applied_count"), F.min(differs).alias("first"))
+        .agg(F.sum("copies").alias("applied_count"), F.min(differs).alias("first"))
     )
 
 

@@ -14,12 +14,13 @@ from linkweave.sources.tables import applied_key_violations
 
 
 def log_violations(changes: DataFrame) -> DataFrame:
-    """E01, E13-E16 of a change log.
+    """E01 and E13-E17 of a change log, one row per distinct change and fault.
 
     Bodies are hashed where they are read; only narrow columns and the verdict are
-    shuffled, once, for all the checks on order.
+    shuffled. Copies of a change are counted before that, so however many there are, they
+    travel and are placed as one row.
     """
-    narrow = verify_links(changes).select(
+    checked = verify_links(changes).select(
         "chain_id",
         "filename",
         F.lower("previous_hash").alias("previous_hash"),
@@ -27,6 +28,7 @@ def log_violations(changes: DataFrame) -> DataFrame:
         "hash_ok",
         parse_version("filename").alias("version"),
     )
+    narrow = checked.groupBy(*checked.columns).agg(F.count("*").alias("copies"))
     position, version = F.col("position"), F.col("version")
     previous, before = F.col("previous_hash"), F.col("before_hash")
 
@@ -41,8 +43,9 @@ def log_violations(changes: DataFrame) -> DataFrame:
         fault(version.isNotNull() & not_contiguous(position, version), "E14", position),
         fault(bad_genesis(position, previous), "E15", previous),
         fault(broken_link(position, previous, before), "E16", before),
+        fault(F.col("copies") > 1, "E17", F.col("copies")),
     )
-    found = positioned(narrow).select(
+    found = positioned(narrow, "copies", checked).select(
         "chain_id", "version", "filename", F.explode(F.array_compact(faults)).alias("fault")
     )
     return violation_rows(

@@ -128,5 +128,5 @@ CHECK_ORDER = {
     "E01": 1, "E02": 2,
     "E03": 3, "E04": 3, "E05": 3, "E06": 3, "E07": 3, "E08": 3, "E09": 3,
     "E10": 4, "E11": 5, "E12": 6,
-    "E13": 7, "E14": 8, "E15": 9, "E16": 10,
+    "E13": 7, "E14": 8, "E15": 9, "E16": 10, "E17": 11,
 }

@@ -66,6 +66,13 @@ def test_gap(log):
     assert [tuple(r) for r in first_violation(log_violations(short)).collect()] == [(1, "000002.sql", "E14")]
 
 
+def test_copies_count_as_places(log):
+    doubled = log.unionByName(log.where("chain_id = 1 and version = 2"))
+    assert codes(log_violations(doubled)) == [
+        (1, "000002.sql", "E17"), (1, "000003.sql", "E14"), (1, "000004.sql", "E14"), (1, "000005.sql", "E14"),
+    ]
+
+
 def test_genesis_with_previous_hash(log):
     changed = log.withColumn(
         "previous_hash", F.when(F.col("version") == 1, F.lit("c" * 64)).otherwise(F.col("previous_hash"))

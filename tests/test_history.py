@@ -63,6 +63,14 @@ def test_hole_in_the_applied_history(log):
     assert found(history.history_divergence(log, holed)) == {11: ("E21", "000002.sql")}
 
 
+def test_copies_in_the_applied_history(log):
+    rows = applied_rows(log, {10: (1, 2), 11: (1, 3)})
+    doubled = rows.unionByName(rows.where("filename = '000001.sql'"))
+    got = {r.target_id: (r.error_code, r.diverged_position, r.applied_count)
+           for r in history.history_divergence(log, doubled).collect()}
+    assert got == {10: ("E21", 2, 3), 11: ("E20", 2, 4)}
+
+
 def test_longer_than_committed_comes_before_differences(log):
     changed = tamper(applied_rows(log, COUNTS), 11, "000001.sql", "hash", F.lit("b" * 64))
     shorter = log.where("not (chain_id = 1 and version > 2)")
