@@ -57,7 +57,7 @@ def global_row_numbers(
     counts its own rows, and the offsets come from one row per partition. The sorted rows
     are written first, so a lost executor cannot deal them out anew.
     """
-    place, slab, shift = unused(df, "place", "slab", "shift")
+    place, slab, shift = unused([*df.columns, number], "place", "slab", "shift")
     spark = df.sparkSession
     rows, total = cut_and_count(
         df.repartitionByRange(spread(spark), *order)

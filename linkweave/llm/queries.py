@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkweave.llm.common import table
+from linkweave.llm.decontamination import CONTAMINATION_SQL, contamination_report
 from linkweave.llm.mixing import MIX_SQL, mix_report
 from linkweave.llm.sharding import assign_shards
 from linkweave.llm.token_counts import count_tokens
@@ -34,6 +35,14 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op5_pareto_mix"] = MIX_SQL
 
 
+@query
+def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op7_benchmark_hits"] = CONTAMINATION_SQL
+
+
 @query
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))

@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -122,12 +123,12 @@ def count_tokens(
     frequent, least = _most_frequent(counts, broadcast_bytes)
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
-        for frame in frames:
-            ids, sizes, hashes, sums, tokens, times = [], [], [], [], [], []
-            for doc_id, size, row_hash, text in zip(*(frame[c] for c in ("doc_id", "n_bytes", "row_hash", "text"))):
-                found, total = pre_tokens(text, path)
+        for batch in batches:
+            sums, tokens, times = [], [], []
+            for text in batch.column("text"):
+                found, total = pre_tokens(text.as_py(), path)
                 rest, often = [], []
                 for token, n in found.items():
                     pieces = table.get(token)
@@ -136,12 +137,10 @@ def count_tokens(
                         often.append(n)
                     else:
                         total += pieces * n
-                ids.append(doc_id), sizes.append(size), hashes.append(row_hash)
                 sums.append(total), tokens.append(rest), times.append(often)
-            yield pd.DataFrame({
-                "doc_id": pd.array(ids, "Int64"), "n_bytes": sizes, "row_hash": hashes,
-                "n_known": sums, "tokens": tokens, "times": times,
-            })
+            made = [pa.array(sums, pa.int64()), pa.array(tokens, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            names = ["doc_id", "n_bytes", "row_hash"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], names=[*names, "n_known", "tokens", "times"])
 
     keyed = rows.select(
         "doc_id",
@@ -150,7 +149,7 @@ def count_tokens(
         "text",
     )
     read = cut_lineage(
-        keyed.mapInPandas(
+        keyed.mapInArrow(
             frequencies,
             "doc_id bigint, n_bytes bigint, row_hash string, n_known bigint, tokens array<string>, times array<bigint>",
         ),
