@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from linkweave.llm.common import table
 from linkweave.llm.decontamination import CONTAMINATION_SQL, contamination_report
 from linkweave.llm.mixing import MIX_SQL, mix_report
+from linkweave.llm.secrets import SECRETS_SQL, find_secrets
+from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.sharding import assign_shards
 from linkweave.llm.token_counts import count_tokens
 
@@ -35,6 +37,22 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op5_pareto_mix"] = MIX_SQL
 
 
+@query
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_linked_secrets"] = SECRETS_SQL
+
+
+@query
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_linked_secrets"] = SECRETS_SQL
+
+
 @query
 def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
