@@ -13,6 +13,7 @@ from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.sharding import assign_shards
 from linkweave.llm.token_counts import count_tokens
+from linkweave.llm.warc import WARC_SQL, archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +62,14 @@ def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op7_benchmark_hits"] = CONTAMINATION_SQL
 
 
+@query
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op8_warc_segments"] = WARC_SQL
+
+
 @query
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
