@@ -13,6 +13,7 @@ from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.sharding import assign_shards
 from linkweave.llm.token_counts import count_tokens
+from linkweave.llm.toxicity import toxicity_report
 from linkweave.llm.warc import WARC_SQL, archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +74,8 @@ ORACLE["op8_warc_segments"] = WARC_SQL
 @query
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
