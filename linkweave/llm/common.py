@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linkweave.session import cut_and_count, cut_lineage
@@ -78,6 +80,36 @@ def global_row_numbers(
     return numbered.drop(place, slab, shift), total
 
 
+def sized_broadcast(df: DataFrame, rows: int, row_bytes: int, most_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows fit ``most_bytes``; else as it is, for a shuffle join."""
+    return F.broadcast(df) if rows * row_bytes <= most_bytes else df
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys`` from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        new[0] = last is not None and first != last
+        last = tuple(c[-1] for c in columns)
+        start = 0
+        for cut in np.flatnonzero(new):
+            if cut > start:
+                held.append(batch.slice(start, cut - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], cut
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def connected_components(links: DataFrame, left: str, right: str, label: str = "links") -> DataFrame:
     """``id, component_id`` of every id in ``links``: the smallest id that links reach.
 

@@ -29,7 +29,7 @@ from linkweave.session import cut_lineage
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 # Bytes of pre-tokens that are joined where texts are read; all others are shuffled.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 32 << 20
 
 # Fixed value: the splitting rule of byte-level BPE vocabularies.
 _RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,9 +94,9 @@ def count_tokens(
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row, whole texts.
 
     Null and empty texts have no tokens. Special strings inside a text are one token each,
-    as the library takes them. Rows with one id (or none) are counted apart: a row is known
-    by its id, size and two hashes of its text, and rows equal in these have equal counts.
-    An empty table gives no rows; other columns are not read.
+    as the library takes them. Every row is counted apart, whatever its id: rows get numbers
+    of their own when their frequencies are written. An empty table gives no rows; other
+    columns are not read.
     """
     path = vocabulary or vocabulary_path(VOCABULARY)
     rows = docs.select(
@@ -139,41 +139,31 @@ def count_tokens(
                         total += pieces * n
                 sums.append(total), tokens.append(rest), times.append(often)
             made = [pa.array(sums, pa.int64()), pa.array(tokens, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-            names = ["doc_id", "n_bytes", "row_hash"]
+            names = ["row", "doc_id", "n_bytes"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], names=[*names, "n_known", "tokens", "times"])
 
     keyed = rows.select(
-        "doc_id",
-        utf8_length("text").alias("n_bytes"),
-        F.concat_ws(":", F.xxhash64("text"), F.hash("text")).alias("row_hash"),
-        "text",
+        F.monotonically_increasing_id().alias("row"), "doc_id", utf8_length("text").alias("n_bytes"), "text"
     )
     read = cut_lineage(
         keyed.mapInArrow(
             frequencies,
-            "doc_id bigint, n_bytes bigint, row_hash string, n_known bigint, tokens array<string>, times array<bigint>",
+            "row bigint, doc_id bigint, n_bytes bigint, n_known bigint, tokens array<string>, times array<bigint>",
         ),
         "frequencies",
     )
     others = (
         read.where(F.size("tokens") > 0)
-        .dropDuplicates(["doc_id", "n_bytes", "row_hash"])
-        .select("doc_id", "n_bytes", "row_hash", F.explode(F.arrays_zip("tokens", "times")).alias("f"))
-        .select("doc_id", "n_bytes", "row_hash", F.col("f.tokens").alias("token"), F.col("f.times").alias("times"))
-        .join(counts.where(F.col("docs") <= least).select("token", "pieces"), "token")
-        .groupBy("doc_id", "n_bytes", "row_hash")
-        .agg(F.sum(F.col("times") * F.col("pieces")).alias("n_other"))
-    )
-    left, right = read.drop("tokens", "times").alias("l"), others.alias("r")
-    same = (
-        F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-        & (F.col("l.n_bytes") == F.col("r.n_bytes"))
-        & (F.col("l.row_hash") == F.col("r.row_hash"))
+        .select("row", F.explode(F.arrays_zip("tokens", "times")).alias("f"))
+        .select("row", F.col("f.tokens").alias("token"), F.col("f.times").cast("int").alias("times"))
+        .join(counts.where(F.col("docs") <= least).select("token", F.col("pieces").cast("int").alias("pieces")), "token")
+        .groupBy("row")
+        .agg(F.sum(F.col("times").cast("bigint") * F.col("pieces")).alias("n_other"))
     )
-    n_tokens = F.col("l.n_known") + F.coalesce(F.col("r.n_other"), F.lit(0))
-    return left.join(right, same, "left").select(
-        "l.doc_id",
-        "l.n_bytes",
+    n_tokens = F.col("n_known") + F.coalesce(F.col("n_other"), F.lit(0))
+    return read.join(others, "row", "left").select(
+        "doc_id",
+        "n_bytes",
         n_tokens.cast("bigint").alias("n_tokens"),
         (n_tokens > limit).alias("over_limit"),
     )
@@ -196,5 +186,5 @@ def _most_frequent(counts: DataFrame, most_bytes: int) -> tuple[dict[str, int],
         taken, cut = taken + row["bytes"], row["step"]
     if cut is None:
         return {}, 2**62
-    rows = counts.where(step >= cut).select("token", "pieces", "docs").collect()
-    return {r["token"]: r["pieces"] for r in rows}, min(r["docs"] for r in rows) - 1
+    rows = counts.where(step >= cut).select("token", "pieces", "docs").toArrow()
+    return dict(zip(rows["token"].to_pylist(), rows["pieces"].to_pylist())), min(rows["docs"].to_pylist()) - 1
