@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkweave.llm.common import table
 from linkweave.llm.decontamination import CONTAMINATION_SQL, contamination_report
+from linkweave.llm.embeddings import EMBEDDING_LINKS_SQL, embedding_links
 from linkweave.llm.minhash import NEAR_DUPLICATES_SQL, near_duplicates
 from linkweave.llm.mixing import MIX_SQL, mix_report
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
@@ -35,6 +36,14 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op2_dart_minhash"] = NEAR_DUPLICATES_SQL
 
 
+@query
+def op3_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op3_epsilon_grid"] = EMBEDDING_LINKS_SQL
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
