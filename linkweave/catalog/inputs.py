@@ -94,9 +94,11 @@ def conversation_applied(spark: SparkSession, sf_dir: str, log: DataFrame) -> Da
     )
 
 
-def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("turn = 0").select(
-        F.col("conv_id").alias("chain_id"), "text"
+def _whole_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of each conversation as one text, which is one value by definition."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("chain_id")).agg(
+        F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("text")
     )
 
 
@@ -105,11 +107,11 @@ def _quoted(text: Column) -> Column:
 
 
 def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate per chain around its opening text: blank, sound, or faulty."""
+    """A candidate per chain around its whole text: blanked out, sound, or faulty."""
     text = F.col("text")
     kind = F.col("chain_id") % 6
     body = (
-        F.when(kind == 0, F.lit(" \n\t"))
+        F.when(kind == 0, F.concat(F.regexp_replace("text", r"[^ \n]", " "), F.lit("\n\t")))
         .when(kind == 1, F.concat(
             F.lit("insert into :SCHEMA_NAME.notes select '"), _quoted(text),
             F.lit("'::TEXT; -- :IGNORED\n")))
@@ -121,7 +123,7 @@ def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("\r\n--! include fixtures/../fixtures/sub/more.sql\r\n"
                   "select :SCHEMA_NAME.a from b\r\n")))
     )
-    return _openings(spark, sf_dir).select("chain_id", body.alias("body"))
+    return _whole_conversations(spark, sf_dir).select("chain_id", body.alias("body"))
 
 
 def conversation_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +139,13 @@ def conversation_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("--! include ../base.sql\nselect :SCHEMA_NAME.x").alias("text"),
         ),
     )
-    return _openings(spark, sf_dir).select(
+    return _whole_conversations(spark, sf_dir).select(
         "chain_id", F.inline(F.array_compact(F.array(base, more)))
     )
 
 
 def conversation_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _openings(spark, sf_dir).select(
+    return _whole_conversations(spark, sf_dir).select(
         "chain_id",
         F.lit("SCHEMA_NAME").alias("name"),
         F.concat(F.lit("app_"), F.col("chain_id").cast("string")).alias("value"),
@@ -275,6 +277,21 @@ def order_stamps(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
     return seen.select("snapshot_id", "path", "modified_ms", "size")
 
 
+def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven snapshots of one stamp per order; between some of them nothing changes."""
+    key, k = F.col("o_orderkey"), F.col("snapshot_id")
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "snapshot_id", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (1, 2, 3, 4, 6, 7, 8)]))
+    )
+    left_out = ((k >= 4) & (F.col("o_orderpriority") == "5-LOW")) | ((k < 8) & (key % 100 == 0))
+    return orders.where(~left_out).select(
+        "snapshot_id",
+        F.concat(F.lit("orders/"), F.col("o_orderstatus"), F.lit("/"), key.cast("string")).alias("path"),
+        (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.when((k >= 3) & (key % 10 == 0), 1).otherwise(0)).alias("modified_ms"),
+        (F.round(F.col("o_totalprice") * 100).cast("bigint") + F.when((k >= 6) & (key % 15 == 0), 1).otherwise(0)).alias("size"),
+    )
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "user_id", "ts", "event_id", "event_type", "value", "props"

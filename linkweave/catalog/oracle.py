@@ -33,7 +33,8 @@ def _link(previous: str, body: str) -> str:
 
 
 def _filename(version: str) -> str:
-    return f"(lpad(CAST({version} AS VARCHAR), 6, '0') || '.sql')"
+    too_long = "CAST(error('E37 sequence limit reached') AS VARCHAR)"
+    return f"(CASE WHEN {version} > 999999 THEN {too_long} ELSE lpad(CAST({version} AS VARCHAR), 6, '0') || '.sql' END)"
 
 
 def _refs(text: str) -> str:
@@ -149,13 +150,13 @@ first_faults AS (
   QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY filename, step) = 1)"""
 
 
-_OPENING = "(SELECT conv_id AS chain_id, text FROM conversations WHERE turn = 0)"
+_WHOLE = "(SELECT conv_id AS chain_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 
 _CANDIDATES = f"""
 candidates AS (
   SELECT chain_id, text,
     CASE chain_id % 6
-      WHEN 0 THEN ' ' || chr(10) || chr(9)
+      WHEN 0 THEN regexp_replace(text, '[^ \\n]', ' ', 'g') || chr(10) || chr(9)
       WHEN 1 THEN 'insert into :SCHEMA_NAME.notes select ''' || replace(text, '''', '''''')
                   || '''::TEXT; -- :IGNORED' || chr(10)
       WHEN 2 THEN '--! Hash: 0' || chr(10) || text
@@ -163,7 +164,7 @@ candidates AS (
       WHEN 4 THEN '--! include fixtures/base.sql' || chr(10) || 'select 1 as one'
       ELSE text || chr(13) || chr(10) || '--! include fixtures/../fixtures/sub/more.sql'
            || chr(13) || chr(10) || 'select :SCHEMA_NAME.a from b' || chr(13) || chr(10) END AS body
-  FROM {_OPENING}),
+  FROM {_WHOLE}),
 unfolded AS (
   SELECT chain_id, 'app_' || chain_id AS schema_name,
     CASE WHEN chain_id % 6 = 5 AND chain_id % 4 = 1 THEN 'E34' END AS include_error,
@@ -312,7 +313,7 @@ WITH padded AS (SELECT doc_id, CASE doc_id % 5
     WHEN 0 THEN text
     WHEN 1 THEN chr(12288) || chr(160) || chr(9) || text || chr(13) || chr(10) || chr(8195)
     WHEN 2 THEN chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10)
-    WHEN 3 THEN ' ' || chr(133) || chr(8232) || chr(13) || chr(10)
+    WHEN 3 THEN ' ' || chr(133) || chr(8232) || chr(13) || chr(10) || translate(text, 'aeiou', repeat(chr(8195), 5)) || chr(9)
     ELSE text || chr(8203) || ' ' END AS x FROM documents)
 SELECT doc_id, {_norm('x')} AS body FROM padded"""
 
@@ -493,7 +494,8 @@ WITH k AS (
 SELECT target_id, CAST(0 AS BIGINT) AS chain_id, key_name, key_value, count(*) AS n_rows
 FROM k GROUP BY ALL HAVING count(*) > 1 OR key_value IS NULL"""
 ORACLE["broken_links"] = _with(_TAMPERED, """
-seq AS (SELECT chain_id, filename, previous_hash, row_number() OVER w AS position, lag(hash) OVER w AS expected_previous
+seq AS (SELECT chain_id, filename, lower(previous_hash) AS previous_hash, row_number() OVER w AS position,
+    lag(lower(hash)) OVER w AS expected_previous
   FROM tampered WINDOW w AS (PARTITION BY chain_id ORDER BY filename))""", select="""
 SELECT * FROM seq WHERE position > 1 AND (previous_hash IS NULL OR previous_hash IS DISTINCT FROM expected_previous)""")
 ORACLE["genesis_violations"] = _with(_TAMPERED, select="""
@@ -619,10 +621,14 @@ SELECT chain_id, CASE WHEN error_code IS NULL THEN array_to_string(pieces, '') E
 ORACLE["shadow_validation"] = _with(_TAMPERED, _violations("tampered"), _SHADOW, select="""
 SELECT chain_id, CAST(NULL AS BIGINT) AS target_id, version, filename, error_code, detail FROM shadow""")
 ORACLE["commit_candidates"] = _with(_TAMPERED, _violations("tampered"), _SHADOW, f"""
-heads AS (SELECT chain_id, count(*) + 1 AS next, arg_max(hash, version) AS head FROM tampered GROUP BY chain_id)""", select=f"""
+heads AS (SELECT chain_id, count(*) + 1 AS next, lower(arg_max(hash, version)) AS head FROM tampered GROUP BY chain_id)""", select=f"""
 SELECT b.chain_id, CAST(next AS INTEGER) AS version, {_filename('next')} AS filename, head AS previous_hash,
   {_link('head', 'b.body')} AS hash, {_norm('b.body')} AS body
 FROM lf b JOIN heads h ON h.chain_id = b.chain_id WHERE b.chain_id NOT IN (SELECT chain_id FROM shadow)""")
+# A committed change is faulty only where its body was edited afterwards, and then by its own hash alone.
+ORACLE["commit_then_audit"] = f"""
+SELECT chain_id, version, CASE WHEN chain_id % 5 = 2 THEN 'E13' ELSE '' END AS error_codes
+FROM ({ORACLE["commit_candidates"]})"""
 
 ORACLE["stamp_diff"] = _with(_stamps(1), _stamps(2), select="""
 SELECT coalesce(a.path, b.path) AS path,
@@ -634,6 +640,22 @@ ORACLE["snapshot_equality"] = _with(_stamps(1), _stamps(2), """
 d AS (SELECT (SELECT count(*) FROM (FROM s1 EXCEPT ALL FROM s2))
            + (SELECT count(*) FROM (FROM s2 EXCEPT ALL FROM s1)) AS differing_stamps)""", select="""
 SELECT differing_stamps, differing_stamps = 0 AS equal FROM d""")
+_SNAPSHOTS = """
+stamps AS (
+  SELECT CAST(k AS BIGINT) AS snapshot_id, 'orders/' || o_orderstatus || '/' || o_orderkey AS path,
+    epoch_ms(o_orderdate) + CASE WHEN k >= 3 AND o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS modified_ms,
+    CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN k >= 6 AND o_orderkey % 15 = 0 THEN 1 ELSE 0 END AS size
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 6, 7, 8]) AS k)
+  WHERE NOT (k >= 4 AND o_orderpriority = '5-LOW') AND NOT (k < 8 AND o_orderkey % 100 = 0))"""
+ORACLE["snapshot_changes"] = _with(_SNAPSHOTS, """
+steps AS (SELECT snapshot_id, lag(snapshot_id) OVER (ORDER BY snapshot_id) AS before FROM (SELECT DISTINCT snapshot_id FROM stamps))""", select="""
+SELECT * FROM (
+  SELECT snapshot_id,
+    (SELECT count(*) FROM (SELECT path, modified_ms, size FROM stamps a WHERE a.snapshot_id = s.snapshot_id
+      EXCEPT ALL SELECT path, modified_ms, size FROM stamps b WHERE b.snapshot_id = s.before)) AS appeared,
+    (SELECT count(*) FROM (SELECT path, modified_ms, size FROM stamps a WHERE a.snapshot_id = s.before
+      EXCEPT ALL SELECT path, modified_ms, size FROM stamps b WHERE b.snapshot_id = s.snapshot_id)) AS gone
+  FROM steps s) WHERE appeared + gone > 0""")
 ORACLE["change_points"] = """
 WITH seq AS (
   SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS previous_state
@@ -660,11 +682,11 @@ FROM (SELECT {_STATE_COLUMNS}, 1 AS sign FROM replayed UNION ALL SELECT {_STATE_
 GROUP BY ALL HAVING sum(sign) <> 0""")
 ORACLE["run_candidate"] = _with(_EVENTS, _EVENT_SLOTS, _INCREMENTAL, """
 writes AS (
-  SELECT s.target_id, s.chain_id, e.event_type AS key, 1000000 AS version, max(e.value) AS value
+  SELECT s.target_id, s.chain_id, e.event_type AS key, CAST(max(s.links) + 1 AS INTEGER) AS version, max(e.value) AS value
   FROM eslots s JOIN events e ON e.user_id = s.chain_id
-  WHERE e.event_type IN ('click', 'view') AND NOT s.blocked
+  WHERE NOT s.blocked
     AND s.chain_id NOT IN (SELECT user_id FROM events WHERE value > 200)
-  GROUP BY ALL)""", select=f"""
+  GROUP BY s.target_id, s.chain_id, e.event_type)""", select=f"""
 SELECT {_STATE_COLUMNS} FROM writes UNION ALL
 SELECT {_STATE_COLUMNS} FROM replayed r WHERE NOT EXISTS (
   SELECT 1 FROM writes w WHERE w.target_id = r.target_id AND w.chain_id = r.chain_id AND w.key = r.key)""")

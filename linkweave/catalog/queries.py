@@ -43,7 +43,7 @@ def normalize_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, F.col("text"))
         .when(kind == 1, F.concat(F.lit("\u3000\u00a0\t"), "text", F.lit("\r\n\u2003")))
         .when(kind == 2, F.concat(F.lit("\n\n"), "text", F.lit("\n\n\n")))
-        .when(kind == 3, F.lit(" \u0085\u2028\r\n"))
+        .when(kind == 3, F.concat(F.lit(" \u0085\u2028\r\n"), F.translate("text", "aeiou", "\u2003\u2003\u2003\u2003\u2003"), F.lit("\t")))
         .otherwise(F.concat("text", F.lit("\u200b ")))
     )
     return given.table(spark, sf_dir, "documents").select("doc_id", normalize(padded).alias("body"))
@@ -433,6 +433,25 @@ def commit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).added
 
 
+@query
+def commit_then_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed candidates with the faults an audit of the longer log finds in them.
+
+    The bodies of some are edited after the commit; only these may be faulty.
+    """
+    log = given.stored(_tampered(spark, sf_dir))
+    added = given.stored(lifecycle.commit_candidates(log, *_candidate_tables(spark, sf_dir)).added)
+    edited = F.when(F.col("chain_id") % 5 == 2, F.concat("body", F.lit("edited\n"))).otherwise(F.col("body"))
+    longer = log.unionByName(added.withColumn("body", edited))
+    found = log_violations(longer).select("chain_id", "version", "error_code")
+    return (
+        added.select("chain_id", "version")
+        .join(found, ["chain_id", "version"], "left")
+        .groupBy("chain_id", "version")
+        .agg(F.array_join(F.array_sort(F.collect_list("error_code")), ",").alias("error_codes"))
+    )
+
+
 # Snapshots and change points
 
 
@@ -450,6 +469,11 @@ def snapshot_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.snapshot_changes(given.order_snapshots(spark, sf_dir))
+
+
 @query
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.change_points(
@@ -460,14 +484,23 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def change_points_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream over the events file."""
+    """The same as a stream to which the events arrive in four parts of the time they span.
+
+    Between the parts the stream stops and goes on from its checkpoint.
+    """
     columns = ["user_id", "ts", "event_id", "event_type"]
-    schema = given.event_rows(spark, sf_dir).select(*columns).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    root = fresh_path(spark, "detect")
+    events = given.event_rows(spark, sf_dir).select(*columns)
+    source, root = fresh_path(spark, "arrivals"), fresh_path(spark, "detect")
     detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type", given.hour_block())
-    detector.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return detector.points(spark, schema)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 4 for k in range(5)] if first else []
+    for k, (begin, end) in enumerate(zip(cuts, cuts[1:])):
+        begin, end = (F.lit(str(t)).cast(events.schema["ts"].dataType) for t in (begin, end))
+        upto = F.col("ts") <= end if k == 3 else F.col("ts") < end
+        events.where((F.col("ts") >= begin) & upto).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        detector.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return detector.points(spark, events.schema)
 
 
 # Replay
@@ -527,7 +560,7 @@ def run_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = given.event_rows(spark, sf_dir)
     effects = events.groupBy(F.col("user_id").alias("chain_id"), F.col("event_type").alias("key")).agg(
         F.max("value").alias("value")
-    ).where("key in ('click', 'view')")
+    )
     failing = events.where("value > 200").select(F.col("user_id").alias("chain_id"))
     replayed = _replay(spark, sf_dir, *_event_history(spark, sf_dir))
     return lifecycle.run_candidate(replayed, effects, failing)

@@ -78,7 +78,12 @@ def parse_version(filename: Column | str) -> Column:
 
 
 def version_filename(version: Column | str) -> Column:
-    return F.concat(F.lpad(_col(version).cast("string"), 6, "0"), F.lit(".sql"))
+    """``NNNNNN.sql``. A number with more than six digits ends the job with E37, never in a shorter name."""
+    number = _col(version)
+    too_long = F.raise_error(F.concat(F.lit("E37 sequence limit reached: "), number.cast("string")))
+    return F.when(number > 999_999, too_long.cast("string")).otherwise(
+        F.concat(F.lpad(number.cast("string"), 6, "0"), F.lit(".sql"))
+    )
 
 
 def is_identifier(column: Column | str) -> Column:

@@ -96,11 +96,11 @@ def _heads(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
 
 
 def chain_heads(changes: DataFrame) -> DataFrame:
-    """Length, last version and last hash of every chain; pre-aggregated before the shuffle."""
+    """Length, last version and last hash (lower case) of every chain; pre-aggregated before the shuffle."""
     return changes.groupBy("chain_id").agg(
         F.count("*").alias("links"),
         F.max("version").alias("head_version"),
-        F.max_by("hash", "version").alias("head_hash"),
+        F.max_by(F.lower("hash"), "version").alias("head_hash"),
     )
 
 
@@ -185,8 +185,10 @@ def contiguity_violations(versions: DataFrame) -> DataFrame:
 
 
 def broken_links(changes: DataFrame) -> DataFrame:
-    """Changes whose previous hash is not the hash of the change before them."""
-    narrow = changes.select("chain_id", "filename", "previous_hash", "hash")
+    """Changes whose previous hash is not the hash of the change before them; hex case is ignored."""
+    narrow = changes.select(
+        "chain_id", "filename", F.lower("previous_hash").alias("previous_hash"), F.lower("hash").alias("hash")
+    )
     return (
         positioned(narrow)
         .where(broken_link(F.col("position"), F.col("previous_hash"), F.col("before_hash")))

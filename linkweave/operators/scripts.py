@@ -27,15 +27,37 @@ def unknown_placeholders(scripts: DataFrame, bindings: DataFrame) -> DataFrame:
     ).select(*SCRIPT, "name")
 
 
+def repeated_bindings(bindings: DataFrame) -> DataFrame:
+    """Names that a chain binds to more than one value (E65)."""
+    return (
+        bindings.groupBy("chain_id", "name")
+        .agg(F.count_distinct(F.struct("value")).alias("n_values"))
+        .where("n_values > 1")
+        .select("chain_id", "name", F.lit("E65").alias("error_code"))
+    )
+
+
+def _settled(bindings: DataFrame) -> DataFrame:
+    """One row per name with one value; equal repeats are one, contradicting ones none."""
+    return (
+        bindings.groupBy("chain_id", "name")
+        .agg(F.min("value").alias("value"), F.count_distinct(F.struct("value")).alias("n_values"))
+        .where("n_values = 1")
+        .drop("n_values")
+    )
+
+
 def render(scripts: DataFrame, bindings: DataFrame, strict: bool = False) -> DataFrame:
     """Scripts with ``rendered`` text; null, with E36, where a name is not bound.
 
+    A name bound twice to different values counts as not bound; ``repeated_bindings`` has it.
+
     Only names and values are looked up by the join; the map that comes out of it holds
     one script's own names, so it is bounded by that script and not by the chain.
     """
     looked_up = (
         script_refs(scripts)
-        .join(bindings.select("chain_id", "name", "value"), ["chain_id", "name"])
+        .join(_settled(bindings), ["chain_id", "name"])
         .groupBy(*SCRIPT)
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_values"))
     )

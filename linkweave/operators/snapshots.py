@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkweave.operators.ordered import with_order
 
@@ -64,6 +64,28 @@ def snapshot_equality(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_changes(stamps: DataFrame) -> DataFrame:
+    """Snapshots of a sequence whose bag of stamps differs from that of the one before.
+
+    A stamp counts for its own snapshot and against the next one, so what does not cancel
+    out is what came or went; one aggregation by stamp decides the whole sequence. The list
+    of snapshot ids is as long as the sequence. The first snapshot differs from nothing.
+    """
+    ids = stamps.select("snapshot_id").distinct()
+    order = Window.orderBy("snapshot_id")  # of one row per snapshot
+    steps = ids.select("snapshot_id", F.lead("snapshot_id").over(order).alias("_next"))
+    own = F.struct(F.col("snapshot_id").alias("at"), F.lit(1).alias("sign"))
+    following = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("at"), F.lit(-1).alias("sign")))
+    signed = stamps.join(steps, "snapshot_id").select(
+        *STAMP, F.inline(F.array_compact(F.array(own, following)))
+    )
+    balances = signed.groupBy("at", *STAMP).agg(F.sum("sign").alias("balance")).where("balance <> 0")
+    return balances.groupBy(F.col("at").alias("snapshot_id")).agg(
+        F.coalesce(F.sum(F.when(F.col("balance") > 0, F.col("balance"))), F.lit(0)).alias("appeared"),
+        F.coalesce(F.sum(F.when(F.col("balance") < 0, -F.col("balance"))), F.lit(0)).alias("gone"),
+    )
+
+
 def change_points(
     rows: DataFrame,
     keys: Sequence[str],

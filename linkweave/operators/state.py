@@ -33,21 +33,16 @@ def overlay(state: DataFrame, writes: DataFrame) -> DataFrame:
     )
 
 
-def pending_writes(effects: DataFrame, progress: DataFrame) -> DataFrame:
-    """What the pending changes leave behind in each target.
+def pending_writes(effects: DataFrame, pending: DataFrame) -> DataFrame:
+    """What the pending changes (``target_id, chain_id, version``) leave behind in each target.
 
     All pending suffixes of a chain end at the same last change. So a key's last write in
-    the chain is what a target gets if its version is beyond the target's applied count;
-    changes and targets are never paired. Effects that every target of the chain already
-    has are dropped before they are folded.
+    the chain is what a target gets if its version is pending there: the missing versions
+    meet the last writes by (chain, version), and only rows that are written come out.
     """
-    behind = progress.where(F.col("applied_count") < F.col("total_committed"))
-    floor = behind.groupBy("chain_id").agg(F.min("applied_count").alias("_floor"))
-    recent = effects.join(floor, "chain_id").where(F.col("version") > F.col("_floor"))
     return (
-        behind.select(*TARGET, "applied_count")
-        .join(last_writes(recent), "chain_id")
-        .where(F.col("version") > F.col("applied_count"))
+        pending.select(*TARGET, "version")
+        .join(last_writes(effects), ["chain_id", "version"])
         .select(*STATE_KEY, "version", "value")
     )
 

@@ -21,7 +21,6 @@ from linkweave.operators.state import overlay, pending_writes, rebuild_state
 from linkweave.operators.violations import first_violation, violation_rows
 from linkweave.plans.audit import log_violations
 from linkweave.plans.compile import CANDIDATE_PATH, expand_candidates
-from linkweave.schemas import MAX_VERSION
 from linkweave.session import cut_lineage
 
 
@@ -88,8 +87,9 @@ def apply_pending(
     """
     progress = cut_lineage(gated_progress(changes, applied, targets), "progress")
     sound = progress.where(F.col("error_code").isNull())
-    fresh = pending_after(changes, sound).select(*TARGET, "filename", "hash", "previous_hash")
-    writes = pending_writes(effects, sound)
+    pending = pending_after(changes, sound)
+    fresh = pending.select(*TARGET, "filename", "hash", "previous_hash")
+    writes = pending_writes(effects, pending)
     return Applied(
         state=overlay(state, writes),
         writes=writes,
@@ -142,13 +142,16 @@ def run_candidate(applied: Applied, candidate_effects: DataFrame, failing: DataF
     """State after the committed changes with the candidate on top.
 
     ``candidate_effects`` is ``(chain_id, key, value)``; chains in ``failing`` keep just
-    their committed state. The candidate is never part of ``applied.applied``.
+    their committed state. The candidate is never part of ``applied.applied``. Its writes
+    carry the version it would get, one more than the chain has.
     """
-    sound = applied.summary.where(F.col("error_code").isNull()).select(*TARGET)
+    sound = applied.summary.where(F.col("error_code").isNull()).select(
+        *TARGET, (F.col("total_committed") + 1).cast("int").alias("version")
+    )
     writes = (
         candidate_effects.join(failing.select("chain_id").distinct(), "chain_id", "left_anti")
         .join(sound, "chain_id")
-        .select(*TARGET, "key", F.lit(MAX_VERSION + 1).alias("version"), "value")
+        .select(*TARGET, "key", "version", "value")
     )
     return overlay(applied.state, writes)
 

@@ -121,6 +121,7 @@ ERRORS = {
     "E62": "variable is not set and has no default",
     "E63": "not a valid identifier",
     "E64": "not a valid binding name",
+    "E65": "name bound to different values",
 }
 
 # Order in which one file is checked; the lowest number is the one to report first.

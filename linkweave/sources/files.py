@@ -5,11 +5,13 @@ Spark lists and reads the files; each file is one row, its text whole.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linkweave.functions.headers import parse_change, render_change
-from linkweave.functions.text import parse_version
+from linkweave.functions.text import parse_version, version_filename
 from linkweave.operators.violations import violation_rows
 from linkweave.schemas import CANDIDATES, SNIPPETS, STAMPS
 from linkweave.sources.listing import (
@@ -32,8 +34,16 @@ def _project_files(spark: SparkSession, root: str, name: str, **options: str) ->
     return _files(spark, f"{root}/*/{name}", **options).unionByName(empty_files(folders, recursive))
 
 
-def _chain_id(folder: str) -> Column:
-    return F.regexp_extract("path", rf"/([0-9]+)/{folder}(?:/|\z)", 1).cast("bigint")
+def _inside(root: str) -> str:
+    """A pattern for paths right below ``root`` as Spark prints them: scheme, authority, root."""
+    path = re.sub(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    return rf"\A(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/]*)?\Q{path}\E/"
+
+
+def _chain_id(root: str, folder: str) -> Column:
+    """The number of the project folder; null where it is no number that can be an id."""
+    found = F.regexp_extract("path", rf"{_inside(root)}([0-9]+)/{folder}(?:/|\z)", 1)
+    return found.try_cast("bigint")
 
 
 def _text() -> list[Column]:
@@ -46,10 +56,10 @@ def scan_changes(spark: SparkSession, root: str) -> DataFrame:
     """Committed files ``(chain_id, filename, text)``; sub-folders are not entered."""
     found = _project_files(spark, root, "committed", pathGlobFilter="*.sql")
     return found.where(F.col("path").endswith(".sql")).select(
-        _chain_id("committed").alias("chain_id"),
+        _chain_id(root, "committed").alias("chain_id"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         *_text(),
-    )
+    ).where(F.col("chain_id").isNotNull())
 
 
 def parse_changes(files: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ def read_written_changes(spark: SparkSession, out: str) -> DataFrame:
         .text(out, wholetext=True)
         .select(
             "chain_id",
-            F.concat(F.lpad(F.col("version").cast("string"), 6, "0"), F.lit(".sql")).alias("filename"),
+            version_filename("version").alias("filename"),
             F.col("value").alias("text"),
         )
     )
@@ -115,7 +125,8 @@ def read_candidates(spark: SparkSession, root: str) -> DataFrame:
     """The candidate of each chain, whole."""
     return (
         _project_files(spark, root, "current.sql")
-        .select(_chain_id("current.sql").alias("chain_id"), *_text())
+        .select(_chain_id(root, "current.sql").alias("chain_id"), *_text())
+        .where(F.col("chain_id").isNotNull())
         .select("chain_id", F.col("text").alias("body"))
         .to(CANDIDATES)
     )
@@ -136,10 +147,11 @@ def scan_snippets(spark: SparkSession, root: str) -> DataFrame:
     return (
         _project_files(spark, root, "fixtures", recursiveFileLookup="true")
         .select(
-            _chain_id("fixtures").alias("chain_id"),
-            F.regexp_extract("path", r"/[0-9]+/(fixtures/.*)\z", 1).alias("path"),
+            _chain_id(root, "fixtures").alias("chain_id"),
+            F.regexp_extract("path", rf"{_inside(root)}[0-9]+/(fixtures/.*)\z", 1).alias("path"),
             *_text(),
         )
+        .where(F.col("chain_id").isNotNull())
         .to(SNIPPETS)
     )
 

@@ -33,7 +33,7 @@ def project_folders(spark: SparkSession, root: str) -> DataFrame:
     system, base = _open(root)
     found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
     names = [info.base_name for info in found if info.type == fs.FileType.Directory]
-    rows = [(int(name), f"{root.rstrip('/')}/{name}") for name in names if name.isdecimal()]
+    rows = [(int(name), f"{root.rstrip('/')}/{name}") for name in names if name.isascii() and name.isdecimal() and int(name) < 2**63]
     folders = spark.createDataFrame(rows, "chain_id bigint, folder string")
     return folders.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
 

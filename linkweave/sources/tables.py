@@ -18,6 +18,7 @@ from linkweave.functions.templates import interpolate
 from linkweave.functions.text import has_changes, is_identifier
 from linkweave.operators.violations import uniqueness_violations
 from linkweave.schemas import APPLIED_LOG, BINDINGS
+from linkweave.session import cut_lineage
 
 _APPLIED_KEY = ["target_id", "chain_id", "filename"]
 
@@ -54,16 +55,33 @@ def read_applied_if_present(spark: SparkSession, table: str, manage: bool = True
     return spark.createDataFrame([], APPLIED_LOG)
 
 
-def record_applied(pending: DataFrame, table: str) -> None:
-    """Append applied rows that are not recorded yet; a repeated call adds nothing."""
+def record_applied(pending: DataFrame, table: str) -> DataFrame:
+    """Append applied rows that are not recorded yet; a repeated call adds nothing.
+
+    File name and hash are unique in the history of a target's chain. Rows that would break
+    this, among themselves or against the log, are not recorded but returned (E17, E18).
+    """
     spark = pending.sparkSession
-    known = read_applied(spark, table).select(*_APPLIED_KEY)
-    fresh = pending.dropDuplicates(_APPLIED_KEY).join(known, _APPLIED_KEY, "left_anti")
+    columns = [*_APPLIED_KEY, "hash", "previous_hash"]
+    scope = ["target_id", "chain_id"]
+    known = read_applied(spark, table)
+    fresh = pending.select(*columns).distinct().join(
+        known.select(*_APPLIED_KEY, "hash").distinct(), [*_APPLIED_KEY, "hash"], "left_anti"
+    )
+    fresh = cut_lineage(fresh, "fresh")
+    both = fresh.select(*_APPLIED_KEY, "hash").unionByName(known.select(*_APPLIED_KEY, "hash"))
+    for key, code in (("filename", "E17"), ("hash", "E18")):
+        taken = both.groupBy(*scope, key).agg((F.count("*") > 1).alias(f"_{code}"))
+        fresh = fresh.join(taken, [*scope, key], "left")
+    fresh = fresh.withColumn("error_code", F.when(F.col("_E17"), "E17").when(F.col("_E18"), "E18"))
+    fresh = cut_lineage(fresh.select(*columns, "error_code"), "fresh")
     (
-        fresh.withColumn("applied_at", F.current_timestamp())
+        fresh.where(F.col("error_code").isNull())
+        .withColumn("applied_at", F.current_timestamp())
         .select(*APPLIED_LOG.fieldNames())
         .write.insertInto(table)
     )
+    return fresh.where(F.col("error_code").isNotNull())
 
 
 def applied_key_violations(applied: DataFrame) -> DataFrame:

@@ -31,10 +31,11 @@ def stream_change_files(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.sql")
         .load(f"{root}/*/committed")
         .select(
-            F.regexp_extract("path", r"/([0-9]+)/committed/", 1).cast("bigint").alias("chain_id"),
+            F.regexp_extract("path", r"/([0-9]+)/committed/[^/]*\z", 1).try_cast("bigint").alias("chain_id"),
             F.element_at(F.split("path", "/"), -1).alias("filename"),
             F.when(F.is_valid_utf8(text), text).alias("text"),
         )
+        .where(F.col("chain_id").isNotNull())
     )
 
 
@@ -76,9 +77,8 @@ class ContinuousApply:
             received = read_batches(
                 spark, f"{self.root}/changes", CHANGE_EVENTS, below=batch_id + 1
             ).join(touched, "chain_id", "left_semi")
-            changes = received.select(*CHANGE_LOG.fieldNames()).dropDuplicates(
-                ["chain_id", "filename", "hash"]
-            )
+            # Whole rows: two rows of one name that differ anywhere both stay, for the checks to find.
+            changes = received.select(*CHANGE_LOG.fieldNames()).distinct()
             applied = read_batches(
                 spark, f"{self.root}/applied", _RECORDED, below=batch_id
             ).drop("batch").join(touched, "chain_id", "left_semi")

@@ -1,8 +1,10 @@
 """Change detection on a stream of states: a key speaks up only when its state differs.
 
 Inside a micro-batch the batch operator finds the changes, block by block, so a hot key
-does not end up in one task. Across micro-batches only the last state per key is kept:
-each batch writes those it touched, and every so often they are folded into one base.
+does not end up in one task. Across micro-batches only the last row per key is kept, its
+order columns and its state: each batch writes those it touched, and every so often they
+are folded into one base. Rows that are not after the last row of their key, as kept from
+earlier batches, are late and dropped.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from linkweave.operators.snapshots import change_points
 from linkweave.streaming.common import DEFAULT_INTERVAL, read_batches, triggered, write_batch
@@ -46,36 +48,41 @@ class ChangeDetector:
         """Handle one micro-batch. Run again with the same batch, it writes the same."""
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            earlier = self._last_states(batch.sparkSession, batch.schema, batch_id)
+            earlier = self._last_rows(batch.sparkSession, batch.schema, batch_id)
+            after = F.struct(*[F.col(f"_last.{c}") for c in self.order]) < F.struct(*self.order)
+            known = earlier.select(*self.keys, F.struct(*self.order).alias("_last"))
+            rows = batch.join(known, [*self.keys], "left").where(F.col("_last").isNull() | after)
+            rows = rows.select(*batch.columns)
             points = change_points(
-                batch, self.keys, self.order, self.state, self.block, earlier
+                rows, self.keys, self.order, self.state, self.block,
+                earlier.select(*self.keys, self.state),
             )
             write_batch(points, f"{self.root}/points", batch_id)
-            touched = batch.groupBy(*self.keys).agg(
-                F.max_by(self.state, F.struct(*self.order)).alias(self.state)
-            )
+            newest = F.max_by(F.struct(*self.order, self.state), F.struct(*self.order)).alias("_last")
+            touched = rows.groupBy(*self.keys).agg(newest).select(*self.keys, "_last.*")
             write_batch(touched, f"{self.root}/last", batch_id)
             if (batch_id + 1) % self.fold_every == 0:
-                folded = self._last_states(batch.sparkSession, batch.schema, batch_id + 1, batch_id)
+                folded = self._last_rows(batch.sparkSession, batch.schema, batch_id + 1, batch_id)
                 write_batch(folded, f"{self.root}/base", batch_id)
         finally:
             batch.unpersist()
 
     def points(self, spark: SparkSession, schema: StructType) -> DataFrame:
         """All changes so far. ``schema`` is that of the stream."""
-        kept = StructType([*schema.fields, StructField("previous_state", StringType())])
+        kept = StructType([*schema.fields, StructField("previous_state", schema[self.state].dataType)])
         return read_batches(spark, f"{self.root}/points", kept).drop("batch")
 
-    def _last_states(
+    def _last_rows(
         self, spark: SparkSession, schema: StructType, below: int, base_below: int | None = None
     ) -> DataFrame:
-        """Last state per key over the batches before ``below``."""
-        kept = StructType([schema[name] for name in [*self.keys, self.state]])
+        """Last order and state per key over the batches before ``below``."""
+        kept = StructType([schema[name] for name in [*self.keys, *self.order, self.state]])
         base = ((below if base_below is None else base_below) // self.fold_every) * self.fold_every - 1
         folded = read_batches(spark, f"{self.root}/base", kept, base, base + 1)
         recent = read_batches(spark, f"{self.root}/last", kept, base + 1, below)
         return (
             folded.unionByName(recent)
             .groupBy(*self.keys)
-            .agg(F.max_by(self.state, "batch").alias(self.state))
+            .agg(F.max_by(F.struct(*self.order, self.state), "batch").alias("_last"))
+            .select(*self.keys, "_last.*")
         )
