@@ -423,6 +423,22 @@ SELECT chain_id, version, CASE WHEN error_code IS NULL THEN previous_hash END AS
   CASE WHEN error_code IS NULL THEN hash END AS hash,
   CASE WHEN error_code IS NULL THEN body END AS body, error_code FROM parsed""")
 
+_FILES = f"""
+parsed AS ({ORACLE["parse_headers"]}),
+files AS (SELECT *, {_filename('version')} AS filename FROM parsed),
+sound AS (SELECT chain_id, filename, version, lower(previous_hash) AS previous_hash, hash, body FROM files WHERE error_code IS NULL)"""
+_FILE_FAULTS = """
+file_faults AS (
+  SELECT chain_id, version, filename, error_code, step FROM log_faults
+  UNION ALL
+  SELECT chain_id, version, filename, error_code,
+    CASE error_code WHEN 'E02' THEN 2 WHEN 'E10' THEN 4 WHEN 'E11' THEN 5 WHEN 'E12' THEN 6 ELSE 3 END
+  FROM files WHERE error_code IS NOT NULL)"""
+ORACLE["audit_files"] = _with(_FILES, _violations("sound"), _FILE_FAULTS, select="""
+SELECT chain_id, version, filename, error_code FROM file_faults""")
+ORACLE["first_violation_files"] = _with(_FILES, _violations("sound"), _FILE_FAULTS, select="""
+SELECT chain_id, filename, error_code FROM file_faults
+QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY filename, step) = 1""")
 ORACLE["env_interpolate"] = """
 WITH settings AS (SELECT c_custkey, c_name, c_mktsegment, CASE c_custkey % 7
     WHEN 0 THEN '${NAME}/${SEGMENT:-x}' WHEN 1 THEN 'a${EMPTY:-default}b$'
@@ -672,6 +688,17 @@ ORACLE["rebuild_state"] = _with(
 ORACLE["apply_pending"] = _with(
     _EVENTS, _EVENT_SLOTS, _INCREMENTAL, select=f"SELECT {_STATE_COLUMNS} FROM replayed"
 )
+ORACLE["apply_with_bindings"] = _with(_EVENTS, _EVENT_SLOTS, """
+ends AS (
+  SELECT s.target_id, coalesce(min(c.version) - 1, any_value(s.links)) AS upto
+  FROM eslots s LEFT JOIN changes c
+    ON c.chain_id = s.chain_id AND c.version > s.prefix AND c.version % 23 = 0 AND c.chain_id % 3 = 1
+  GROUP BY s.target_id)""", """
+replayed AS (
+  SELECT s.target_id, s.chain_id, c.key, max(c.version) AS version, arg_max(c.value, c.version) AS value
+  FROM eslots s JOIN ends USING (target_id) JOIN changes c ON c.chain_id = s.chain_id
+    AND c.version <= CASE WHEN s.blocked THEN s.prefix ELSE upto END
+  GROUP BY ALL)""", select=f"SELECT {_STATE_COLUMNS} FROM replayed")
 ORACLE["apply_pending_recorded"] = _with(
     _EVENTS, _EVENT_SLOTS, _chain("elog", "SELECT chain_id, version, body FROM changes"), select="""
 SELECT s.target_id, s.chain_id, l.filename, l.hash, l.previous_hash

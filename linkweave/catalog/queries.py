@@ -16,10 +16,11 @@ from linkweave.functions.text import (
 )
 from linkweave.operators import chain, history, includes, scripts, snapshots, state, violations
 from linkweave.plans import lifecycle
-from linkweave.plans.audit import audit, log_violations
+from linkweave.plans.audit import audit, audit_files as audit_of_files, log_violations
 from linkweave.plans.compile import compile_scripts as compile_candidates
-from linkweave.schemas import CANDIDATES
+from linkweave.schemas import APPLIED_LOG, CANDIDATES
 from linkweave.session import fresh_path
+from linkweave.sources.files import parse_changes
 from linkweave.sources.tables import applied_key_violations, current, put_candidates, read_bindings
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply
 from linkweave.streaming.detect import ChangeDetector
@@ -126,6 +127,12 @@ def render_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered changes, damaged in one of fourteen ways, parsed back."""
+    return _damaged_files(spark, sf_dir).select("chain_id", "version", parse_change("text").alias("parsed")).select(
+        "chain_id", "version", "parsed.previous_hash", "parsed.hash", "parsed.body", "parsed.error_code"
+    )
+
+
+def _damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = render_changes(spark, sf_dir).withColumn("version", parse_version("filename"))
     text, kind = F.col("text"), (F.col("chain_id") * 3 + F.col("version")) % 14
     other = F.lit("d" * 64)
@@ -145,9 +152,23 @@ def parse_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 13, F.concat(F.regexp_extract(text, r"\A[^\n]*\n[^\n]*\n", 0), F.lit("\n \t\n")))
         .otherwise(text)
     )
-    return files.select("chain_id", "version", parse_change(damaged).alias("parsed")).select(
-        "chain_id", "version", "parsed.previous_hash", "parsed.hash", "parsed.body", "parsed.error_code"
-    )
+    return files.select("chain_id", "version", "filename", damaged.alias("text"))
+
+
+def _file_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = given.stored(parse_changes(_damaged_files(spark, sf_dir).drop("version")))
+    return audit_of_files(parsed, spark.createDataFrame([], APPLIED_LOG))
+
+
+@query
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All faults of damaged change files: of their headers, and of the log that is left."""
+    return _file_faults(spark, sf_dir).select("chain_id", "version", "filename", "error_code")
+
+
+@query
+def first_violation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations.first_violation(_file_faults(spark, sf_dir))
 
 
 @query
@@ -540,6 +561,21 @@ def apply_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replay(spark, sf_dir, *_event_history(spark, sf_dir)).state
 
 
+@query
+def apply_with_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State after pending changes whose placeholders are not all bound: the good ones before them count."""
+    name = F.when((F.col("chain_id") % 3 == 1) & (F.col("version") % 23 == 0), " :MISSING_NAME").otherwise(" :SCHEMA_NAME")
+    changes = given.stored(given.event_changes(spark, sf_dir).withColumn("body", F.concat("body", name)))
+    log, effects = given.stored(chain.build_chain(changes)), given.event_effects(changes)
+    bindings = changes.select("chain_id").distinct().select(
+        "chain_id", F.lit("SCHEMA_NAME").alias("name"), F.lit("main").alias("value")
+    )
+    return lifecycle.apply_pending(
+        log, effects, given.event_state(spark, sf_dir, effects), given.event_applied(spark, sf_dir, log),
+        given.event_targets(spark, sf_dir), bindings,
+    ).state
+
+
 @query
 def apply_pending_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replay(spark, sf_dir, *_event_history(spark, sf_dir)).applied

@@ -10,6 +10,7 @@ from linkweave.operators.chain import (
 )
 from linkweave.operators.history import history_divergence
 from linkweave.operators.violations import violation_rows
+from linkweave.sources.files import change_log, parse_violations
 from linkweave.sources.tables import applied_key_violations
 
 
@@ -86,6 +87,16 @@ def key_violations(applied: DataFrame) -> DataFrame:
     )
 
 
+def audit_files(parsed: DataFrame, applied: DataFrame) -> DataFrame:
+    """Everything that is wrong with scanned files (``files.parse_changes``) and histories.
+
+    A file that cannot be parsed is reported as such; the log checks see the sound files. A
+    later file may be reported for the gap the faulty one leaves, but never an earlier one,
+    so ``first_violation`` of the result is where a check from the start would stop.
+    """
+    return audit(change_log(parsed), applied).unionByName(parse_violations(parsed))
+
+
 def audit(changes: DataFrame, applied: DataFrame) -> DataFrame:
     return (
         log_violations(changes)

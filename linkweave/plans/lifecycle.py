@@ -79,17 +79,29 @@ def apply_pending(
     state: DataFrame,
     applied: DataFrame,
     targets: DataFrame,
+    bindings: DataFrame | None = None,
 ) -> Applied:
     """Bring every sound target to the end of its chain; the others stay as they are.
 
-    The gate is decided once and written down, so that the new state, the rows to record
-    and the summary all speak of the same targets.
+    With ``bindings``, a pending change that uses an unbound name stops its target there
+    (E36): the changes before it are applied, it and those after it are not. The gate is
+    decided once and written down, so that the new state, the rows to record and the
+    summary all speak of the same targets.
     """
     progress = cut_lineage(gated_progress(changes, applied, targets), "progress")
     sound = progress.where(F.col("error_code").isNull())
     pending = pending_after(changes, sound)
+    if bindings is None:
+        writes = pending_writes(effects, pending)
+    else:
+        pending, progress = _up_to_unbound(changes, pending, progress, bindings)
+        whole = pending.where("not stopped")
+        part = pending.where("stopped").join(effects, ["chain_id", "version"])
+        cut_off = part.groupBy(*TARGET, "key").agg(
+            F.max("version").alias("version"), F.max_by("value", "version").alias("value")
+        )
+        writes = pending_writes(effects, whole).unionByName(cut_off)
     fresh = pending.select(*TARGET, "filename", "hash", "previous_hash")
-    writes = pending_writes(effects, pending)
     return Applied(
         state=overlay(state, writes),
         writes=writes,
@@ -98,12 +110,36 @@ def apply_pending(
     )
 
 
+def _up_to_unbound(
+    changes: DataFrame, pending: DataFrame, progress: DataFrame, bindings: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Pending rows before the first one with an unbound name, and the progress with E36 set.
+
+    Bodies are looked into once per change; what joins the pending rows are the few
+    versions that fail.
+    """
+    texts = changes.select("chain_id", F.col("version").alias("script_id"), F.col("body").alias("text"))
+    failing = unknown_placeholders(texts, bindings).select("chain_id", F.col("script_id").alias("version")).distinct()
+    stops = pending.join(failing, ["chain_id", "version"]).groupBy(*TARGET).agg(F.min("version").alias("_stop"))
+    stops = cut_lineage(stops, "stops")
+    rows = pending.join(stops, TARGET, "left").where(F.col("_stop").isNull() | (F.col("version") < F.col("_stop")))
+    rows = rows.withColumn("stopped", F.col("_stop").isNotNull()).drop("_stop")
+    progress = progress.join(stops, TARGET, "left").select(
+        *progress.columns[:-1],
+        F.when(F.col("_stop").isNotNull(), "E36").otherwise(F.col("error_code")).alias("error_code"),
+        (F.col("_stop") - 1).alias("_upto"),
+    )
+    return rows, progress
+
+
 def apply_summary(progress: DataFrame) -> DataFrame:
     """Changes newly applied and changes committed, per target; none for a faulty one."""
-    newly = F.col("total_committed") - F.col("applied_count")
+    newly = F.when(F.col("error_code").isNull(), F.col("total_committed") - F.col("applied_count"))
+    if "_upto" in progress.columns:
+        newly = F.coalesce(F.col("_upto") - F.col("applied_count"), newly)
     return progress.select(
         *TARGET,
-        F.when(F.col("error_code").isNull(), newly).otherwise(F.lit(0)).alias("applied_count"),
+        F.coalesce(newly, F.lit(0)).alias("applied_count"),
         "total_committed",
         "error_code",
     )

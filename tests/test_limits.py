@@ -7,6 +7,7 @@ from linkweave.functions.text import version_filename
 from linkweave.operators import chain, scripts, snapshots
 from linkweave.operators.state import pending_writes
 from linkweave.plans.audit import log_violations
+from linkweave.plans.lifecycle import apply_pending
 from linkweave.session import fresh_path
 from linkweave.sources import files, tables
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply
@@ -39,6 +40,19 @@ def test_writes_follow_pending_versions(spark):
     assert found == {(7, "a", 3), (8, "b", 2), (8, "a", 3)}
 
 
+def test_unbound_name_stops_at_the_good_prefix(spark):
+    log = _log(spark, [(1, 1, "a"), (1, 2, "b :S"), (1, 3, "c :NOPE"), (1, 4, "d")])
+    effects = spark.createDataFrame([(1, v, f"k{v % 2}", float(v)) for v in range(1, 5)], "chain_id bigint, version int, key string, value double")
+    targets = spark.createDataFrame([(5, 1), (6, 1)], "target_id bigint, chain_id bigint")
+    done = log.where("version <= 3").selectExpr("6L as target_id", "chain_id", "filename", "hash", "previous_hash")
+    empty = spark.createDataFrame([], "target_id bigint, chain_id bigint, key string, version int, value double")
+    bindings = spark.createDataFrame([(1, "S", "x")], "chain_id bigint, name string, value string")
+    result = apply_pending(log, effects, empty, done, targets, bindings)
+    assert {(r["target_id"], r["key"], r["version"]) for r in result.state.collect()} == {(5, "k1", 1), (5, "k0", 2), (6, "k0", 4)}
+    assert sorted((r["target_id"], r["filename"]) for r in result.applied.collect()) == [(5, "000001.sql"), (5, "000002.sql"), (6, "000004.sql")]
+    assert {(r["target_id"], r["applied_count"], r["error_code"]) for r in result.summary.collect()} == {(5, 2, "E36"), (6, 1, None)}
+
+
 def _detect(spark, kind, batches):
     detector = ChangeDetector(fresh_path(spark, "late"), ["k"], ["ts"], "s", F.lit(0), fold_every=2)
     schema = f"k bigint, ts bigint, s {kind}"
