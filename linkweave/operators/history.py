@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from linkweave.operators.ordered import filename_block, with_order
+from linkweave.session import cut_lineage
 
 TARGET = ["target_id", "chain_id"]
 
@@ -40,21 +41,29 @@ def compare_histories(changes: DataFrame, applied: DataFrame) -> DataFrame:
     )
 
 
-def _totals(changes: DataFrame) -> DataFrame:
+def chain_totals(changes: DataFrame) -> DataFrame:
     return changes.groupBy("chain_id").agg(F.count("*").alias("total_committed"))
 
 
-def _judged(per_target: DataFrame, changes: DataFrame) -> DataFrame:
-    """Add committed totals and the history error to counts per target."""
+def stored_totals(changes: DataFrame) -> DataFrame:
+    """One stored row per chain. Targets join this table, once: AQE can split a chain with very
+    many targets there, which it does not where the other side is aggregated in the same plan."""
+    return cut_lineage(chain_totals(changes), "totals")
+
+
+def _judged(per_target: DataFrame, chains: DataFrame) -> DataFrame:
+    """Add committed totals, the history error and whatever else ``chains`` has, per target."""
     count = F.coalesce(F.col("applied_count"), F.lit(0))
     total = F.coalesce(F.col("total_committed"), F.lit(0))
-    return per_target.join(_totals(changes), "chain_id", "left").select(
+    more = [c for c in chains.columns if c not in ("chain_id", "total_committed")]
+    return per_target.join(chains, "chain_id", "left").select(
         *TARGET,
         count.alias("applied_count"),
         total.alias("total_committed"),
         F.col("first.position").alias("diverged_position"),
         F.col("first.filename").alias("diverged_filename"),
         F.when(count > total, "E20").when(F.col("first").isNotNull(), "E21").alias("error_code"),
+        *more,
     )
 
 
@@ -75,7 +84,7 @@ def _applied_counts(changes: DataFrame, applied: DataFrame) -> DataFrame:
 
 def applied_summary(changes: DataFrame, applied: DataFrame) -> DataFrame:
     """Per target with applied rows: how many, how many committed, first difference, code."""
-    return _judged(_applied_counts(changes, applied), changes)
+    return _judged(_applied_counts(changes, applied), stored_totals(changes))
 
 
 def history_divergence(changes: DataFrame, applied: DataFrame) -> DataFrame:
@@ -91,13 +100,16 @@ def orphan_applied(changes: DataFrame, applied: DataFrame) -> DataFrame:
     )
 
 
-def target_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:
+def target_progress(
+    changes: DataFrame, applied: DataFrame, targets: DataFrame, chains: DataFrame | None = None
+) -> DataFrame:
     """One row per target: applied and committed counts, and the history error if any.
 
-    A target without applied rows has an empty history, which is always a prefix.
+    A target without applied rows has an empty history, which is always a prefix. ``chains``
+    may bring the stored totals with more columns per chain, so that there is one join.
     """
     counts = targets.select(*TARGET).join(_applied_counts(changes, applied), TARGET, "left")
-    return _judged(counts, changes)
+    return _judged(counts, stored_totals(changes) if chains is None else chains)
 
 
 def pending_after(changes: DataFrame, progress: DataFrame) -> DataFrame:
@@ -136,7 +148,7 @@ def pending_by_offset(changes: DataFrame, applied: DataFrame, targets: DataFrame
     progress = (
         targets.select(*TARGET)
         .join(counts, TARGET, "left")
-        .join(_totals(changes), "chain_id")
+        .join(stored_totals(changes), "chain_id")
         .select(*TARGET, F.coalesce("applied_count", F.lit(0)).alias("applied_count"), "total_committed")
     )
     return pending_after(changes, progress)

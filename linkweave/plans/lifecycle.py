@@ -15,7 +15,7 @@ from linkweave.functions.text import (
     has_changes, link_hash, normalize, status_code, to_lf, version_filename,
 )
 from linkweave.operators.chain import chain_heads, latest_change, next_versions
-from linkweave.operators.history import TARGET, pending_after, target_progress
+from linkweave.operators.history import TARGET, chain_totals, pending_after, target_progress
 from linkweave.operators.scripts import unknown_placeholders
 from linkweave.operators.state import overlay, pending_writes, rebuild_state
 from linkweave.operators.violations import first_violation, violation_rows
@@ -26,8 +26,7 @@ from linkweave.session import cut_lineage
 
 def gated_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:
     """``target_progress`` with ``error_code`` also set where the chain itself is faulty."""
-    progress = target_progress(changes, applied, targets)
-    return progress.join(_chain_errors(changes), "chain_id", "left").select(
+    return target_progress(changes, applied, targets, _chains(changes)).select(
         *TARGET,
         "applied_count",
         "total_committed",
@@ -36,6 +35,14 @@ def gated_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -
     )
 
 
+def _chains(changes: DataFrame, *more: DataFrame) -> DataFrame:
+    """One stored row per chain: its length, its first error, and the columns of ``more``."""
+    rows = chain_totals(changes)
+    for part in (_chain_errors(changes), *more):
+        rows = rows.join(part, "chain_id", "full_outer")
+    return cut_lineage(rows, "chains")
+
+
 def _chain_errors(changes: DataFrame) -> DataFrame:
     """Faulty chains with the error that comes first in them."""
     return first_violation(log_violations(changes)).select(
@@ -48,7 +55,9 @@ def fleet_status(
 ) -> DataFrame:
     """Per target: pending changes, candidate changes, the two as a code, or the error."""
     changed = candidates.select("chain_id", has_changes("body").alias("candidate_has_changes"))
-    rows = gated_progress(changes, applied, targets).join(changed, "chain_id", "left")
+    rows = target_progress(changes, applied, targets, _chains(changes, changed)).withColumn(
+        "error_code", F.coalesce("chain_error", "error_code")
+    )
     pending = F.col("total_committed") > F.col("applied_count")
     has = F.coalesce("candidate_has_changes", F.lit(False))
     sound = F.col("error_code").isNull()
@@ -151,16 +160,14 @@ def rebuild(
     """State and applied rows from nothing. The log is checked before anything is given up."""
     if not force:
         raise ValueError("E51 a rebuild replaces the targets; confirm it with force=True")
-    faulty = _chain_errors(changes).withColumnRenamed("chain_error", "error_code")
     none_applied = cut_lineage(
         targets.select(*TARGET)
-        .join(changes.groupBy("chain_id").agg(F.count("*").alias("total_committed")), "chain_id", "left")
-        .join(faulty, "chain_id", "left")
+        .join(_chains(changes), "chain_id", "left")
         .select(
             *TARGET,
             F.lit(0).cast("bigint").alias("applied_count"),
             F.coalesce("total_committed", F.lit(0)).alias("total_committed"),
-            "error_code",
+            F.col("chain_error").alias("error_code"),
         ),
         "progress",
     )

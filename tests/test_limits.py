@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import version_filename
-from linkweave.operators import chain, scripts, snapshots
+from linkweave.operators import chain, history, scripts, snapshots
 from linkweave.operators.state import pending_writes
 from linkweave.plans.audit import log_violations
 from linkweave.plans.lifecycle import apply_pending
@@ -128,3 +128,32 @@ def test_snapshot_sequence(spark):
     frame = spark.createDataFrame(stamps, "snapshot_id bigint, path string, modified_ms bigint, size bigint")
     found = {r["snapshot_id"]: (r["appeared"], r["gone"]) for r in snapshots.snapshot_changes(frame).collect()}
     assert found == {1: (2, 0), 5: (2, 1), 6: (0, 2)}
+
+
+def test_a_chain_with_very_many_targets_is_split(spark):
+    log = _log(spark, [(c, 1, "a") for c in range(20)])
+    targets = spark.range(100_000).selectExpr("id as target_id", "case when id < 95000 then 1L else id % 20 end as chain_id")
+    applied = spark.createDataFrame([], "target_id bigint, chain_id bigint, filename string, hash string, previous_hash string")
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        stored = spark.read.parquet(_stored(spark, targets))
+        progress = history.target_progress(log, applied, stored)
+        assert progress.where("total_committed = 1 and applied_count = 0").count() == 100_000
+        rows = progress.where("chain_id >= 0")
+        rows.collect()
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+
+
+def _stored(spark, df):
+    path = fresh_path(spark, "targets")
+    df.write.parquet(path)
+    return path
