@@ -726,3 +726,21 @@ UNION ALL BY NAME SELECT event_id, value, user_id FROM events WHERE event_type I
 ORACLE["apply_stream"] = _with(_EVENTS, select="""
 SELECT chain_id AS target_id, chain_id, key, max(version) AS version, arg_max(value, version) AS value
 FROM changes GROUP BY chain_id, key""")
+
+_SCANNED = _with(_LOG, select="""
+SELECT chain_id, version, filename, previous_hash, hash, body, CAST(NULL AS VARCHAR) AS error_code FROM log""")
+for _name in ("scanned_changes", "streamed_change_files", "change_table"):
+    ORACLE[_name] = _SCANNED
+_SNIPPETS = """
+snippets AS (
+  SELECT chain_id, 'fixtures/base.sql' AS path, '/* ' || replace(text, '*/', '') || ' */' AS text FROM candidates
+  UNION ALL
+  SELECT chain_id, 'fixtures/sub/more.sql', '--! include ../base.sql' || chr(10) || 'select :SCHEMA_NAME.x'
+  FROM candidates WHERE chain_id % 4 <> 1)"""
+ORACLE["scanned_candidates"] = _with(_CANDIDATES, select="SELECT chain_id, body FROM candidates")
+ORACLE["scanned_snippets"] = _with(_CANDIDATES, _SNIPPETS, select="SELECT chain_id, path, text FROM snippets")
+ORACLE["scanned_stamps"] = _with(_LOG, _CANDIDATES, _SNIPPETS, select=f"""
+SELECT path, octet_length(encode(text))::BIGINT AS size, true AS has_time FROM (
+  SELECT chain_id || '/committed/' || filename AS path, {_RENDERED} AS text FROM log
+  UNION ALL SELECT chain_id || '/current.sql', body FROM candidates
+  UNION ALL SELECT chain_id || '/' || path, text FROM snippets)""")

@@ -20,9 +20,11 @@ from linkweave.plans.audit import audit, audit_files as audit_of_files, log_viol
 from linkweave.plans.compile import compile_scripts as compile_candidates
 from linkweave.schemas import APPLIED_LOG, CANDIDATES
 from linkweave.session import fresh_path
+from linkweave.sources import files
 from linkweave.sources.files import parse_changes
 from linkweave.sources.tables import applied_key_violations, current, put_candidates, read_bindings
-from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply
+from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply, stream_change_files
+from linkweave.streaming.common import DEFAULT_INTERVAL, triggered
 from linkweave.streaming.detect import ChangeDetector
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +211,63 @@ def filled_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bindings(spark, path, variables={"STAGE": "test", "EMPTY": "", "NATION_7": "seven"})
 
 
+# Projects as folders of files
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of projects: committed changes, candidates and fragments of all conversations."""
+    root = fresh_path(spark, "projects")
+    root = f"file://{root}" if root.startswith("/") else root
+    place = lambda *parts: F.concat_ws("/", F.col("chain_id").cast("string"), *parts).alias("path")
+    log = files.rendered_changes(given.conversation_log(spark, sf_dir))
+    rows = log.select(place(F.lit("committed"), "filename"), "text").unionByName(
+        given.conversation_candidates(spark, sf_dir).select(place(F.lit("current.sql")), F.col("body").alias("text"))
+    ).unionByName(given.conversation_snippets(spark, sf_dir).select(place("path"), "text"))
+    files.export_files(rows, root)
+    return root
+
+
+@query
+def scanned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_changes(files.scan_changes(spark, _exported(spark, sf_dir)))
+
+
+@query
+def scanned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_candidates(spark, _exported(spark, sf_dir))
+
+
+@query
+def scanned_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.scan_snippets(spark, _exported(spark, sf_dir))
+
+
+@query
+def scanned_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and place of every file of the projects; the change times are those of this run."""
+    stamps = files.scan_stamps(spark, [_exported(spark, sf_dir)], 1)
+    inside = F.regexp_extract("path", r"/linkweave-projects-[^/]*/(.*)\z", 1)
+    return stamps.select(inside.alias("path"), "size", (F.col("modified_ms") > 0).alias("has_time"))
+
+
+@query
+def streamed_change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change files of the projects as a stream delivers them."""
+    stream = stream_change_files(spark, _exported(spark, sf_dir))
+    out, log = fresh_path(spark, "arrived"), fresh_path(spark, "arrived-log")
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", log)
+    triggered(writer, True, DEFAULT_INTERVAL).start(out).awaitTermination()
+    return parse_changes(spark.read.parquet(out))
+
+
+@query
+def change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as one table of rendered texts and parsed back."""
+    out = fresh_path(spark, "change-table")
+    files.write_change_table(given.conversation_log(spark, sf_dir), out)
+    return parse_changes(spark.read.parquet(out))
+
+
 # Chains
 
 

@@ -6,7 +6,10 @@ Spark lists and reads the files; each file is one row, its text whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -96,8 +99,43 @@ def parse_violations(parsed: DataFrame) -> DataFrame:
     )
 
 
+def rendered_changes(changes: DataFrame) -> DataFrame:
+    """``(chain_id, filename, text)`` of change rows: what their files hold."""
+    text = render_change(F.col("previous_hash"), F.col("hash"), F.col("body"))
+    return changes.select("chain_id", version_filename("version").alias("filename"), text.alias("text"))
+
+
+def write_change_table(changes: DataFrame, out: str) -> None:
+    """Rendered changes as one Parquet table, for logs of any size; read it as ``(chain_id, filename, text)``."""
+    rendered_changes(changes).write.parquet(out)
+
+
+def export_files(rows: DataFrame, root: str) -> int:
+    """Write ``(path, text)`` rows as files below ``root``, each where its path says; how many.
+
+    For projects that tools are to open: a file per row, written by the tasks. A task that
+    runs again writes the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = rows.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def write_changes(changes: DataFrame, out: str) -> None:
-    """Rendered change files. Spark names the files, so the folders say which change it is."""
+    """Rendered change files, one per change; see ``write_change_table`` for large logs.
+
+    Spark names the files, so the folders say which change it is.
+    """
     text = render_change(F.col("previous_hash"), F.col("hash"), F.col("body"))
     (
         changes.select("chain_id", "version", F.regexp_replace(text, r"\n\z", "").alias("value"))
