@@ -11,14 +11,13 @@ text take the even places, its includes the odd ones between them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from linkweave.functions.paths import (
     INCLUDE_LINE, fold_path, include_literals, include_paths, parent_folder, within,
 )
-from linkweave.session import cut_and_count, cut_lineage
+from linkweave.session import cut_lineage, fresh_path
 
 ROOT = ["chain_id", "root"]
 OCCURRENCE = [*ROOT, "key", "source", "path", "code"]
@@ -116,7 +115,8 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
     frontier = roots.select(
         *ROOT, F.array().cast("array<int>").alias("key"), F.col("root").alias("path")
     )
-    levels: list[DataFrame] = []
+    spark, place = roots.sparkSession, fresh_path(roots.sparkSession, "occurrences")
+    best, depth = None, 0
     while True:
         found = (
             frontier.withColumnRenamed("path", "source")
@@ -125,30 +125,32 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
                 *ROOT, F.array_append("key", F.col("place")).alias("key"), "source", "path", "code"
             )
         )
-        level, found_rows = cut_and_count(found, "level")
-        if levels and not found_rows:
+        rows = Observation()
+        observed = found.observe(rows, F.count(F.lit(1)).alias("rows"))
+        observed.write.parquet(f"{place}/depth={depth}")
+        if not rows.get["rows"]:
             break
-        frontier = _newly_first(level, levels)
-        levels.append(level)
-    return Traversal(reduce(DataFrame.unionByName, levels), edges)
+        level = spark.read.schema(found.schema).parquet(f"{place}/depth={depth}")
+        best = cut_lineage(_best_keys(level, best), "best")
+        frontier = best.where("fresh").select(*ROOT, "key", "path")
+        depth += 1
+    # One table of all levels, however many there are.
+    return Traversal(spark.read.schema(found.schema).parquet(place).select(*OCCURRENCE), edges)
 
 
-def _newly_first(level: DataFrame, earlier: list[DataFrame]) -> DataFrame:
-    """Fragments of ``level`` met at an earlier key than ever before, or for the first time.
+def _best_keys(level: DataFrame, best: DataFrame | None) -> DataFrame:
+    """The earliest key of every fragment so far; ``fresh`` if ``level`` brought it.
 
-    One aggregation over old and new occurrences decides; faulty places and the root
-    itself are not followed.
+    One aggregation over the running table and the new level decides; faulty places and
+    the root itself are not followed.
     """
     columns = [*ROOT, "path", "key"]
-    seen = level.where("code is null").select(*columns, F.lit(True).alias("new"))
-    for old in earlier:
-        seen = seen.unionByName(old.where("code is null").select(*columns, F.lit(False).alias("new")))
-    return (
-        seen.where("path <> root")
-        .groupBy(*ROOT, "path")
-        .agg(F.min("key").alias("key"), F.min(F.when(~F.col("new"), F.col("key"))).alias("known"))
-        .where(F.col("known").isNull() | (F.col("key") < F.col("known")))
-        .drop("known")
+    seen = level.where("code is null and path <> root").select(*columns, F.lit(True).alias("new"))
+    if best is not None:
+        seen = seen.unionByName(best.select(*columns, F.lit(False).alias("new")))
+    known = F.min(F.when(~F.col("new"), F.col("key")))
+    return seen.groupBy(*ROOT, "path").agg(
+        F.min("key").alias("key"), (known.isNull() | (F.min("key") < known)).alias("fresh")
     )
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import version_filename
-from linkweave.operators import chain, history, scripts, snapshots
+from linkweave.operators import chain, history, includes, scripts, snapshots
 from linkweave.operators.state import pending_writes
 from linkweave.plans.audit import log_violations
 from linkweave.plans.lifecycle import apply_pending
@@ -153,6 +153,17 @@ def test_a_chain_with_very_many_targets_is_split(spark):
             spark.conf.unset(k)
 
 
+def test_deep_includes_are_one_scan(spark):
+    depth = 40
+    kind = "chain_id bigint, path string, text string"
+    parts = [(1, f"fixtures/{n}.sql", f"--! include {n + 1}.sql\nselect {n};\n") for n in range(depth)] + [(1, f"fixtures/{depth}.sql", "select 0;\n")]
+    roots = spark.createDataFrame([(1, "current.sql", "--! include fixtures/0.sql\n")], "chain_id bigint, root string, text string")
+    walk = includes.traverse(roots, spark.createDataFrame(parts, kind))
+    assert walk.closure().count() == depth + 1 and walk.violations().count() == 0
+    plan = walk.closure()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
 def _stored(spark, df):
     path = fresh_path(spark, "targets")
     df.write.parquet(path)
