@@ -14,7 +14,6 @@ document is searched as a whole in the task that reads it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd

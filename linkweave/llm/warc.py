@@ -257,7 +257,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _parsed_batch(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parsed = files.select("content").mapInArrow(parse, _PARSED_SQL)
     first = lambda name: F.max(name).alias(name)  # only the origin's own record has these
     origin_type = F.max(F.when(F.col("warc_type") != "continuation", F.col("warc_type"))).alias("record_type")

@@ -6,7 +6,7 @@ import numpy as np
 from linkweave.llm.toxicity import (
     HIDDEN, WINDOW, SampleBounds, _forward_backward, fit, held_out, labelled_sample, tokens_of, toxicity_report, windows_of, without_toxic,
 )
-from tests.llm.samples import docs, prose, rows, texts
+from tests.llm.samples import docs, prose, texts
 
 BAD = ["grumblor", "vexxil", "snarkon"]
 
