@@ -1,5 +1,7 @@
 """Limits and damaged input: long chains, upper-case hashes, late rows, conflicting copies, stray folders."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from linkweave.operators import chain, history, includes, scripts, snapshots
 from linkweave.operators.state import pending_writes
 from linkweave.plans.audit import log_violations
 from linkweave.plans.lifecycle import apply_pending
-from linkweave.session import fresh_path
+from linkweave.session import cut_lineage, fresh_path, scratch
 from linkweave.sources import files, tables
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply
 from linkweave.streaming.detect import ChangeDetector
@@ -164,6 +166,15 @@ def test_deep_includes_are_one_scan(spark):
     assert plan.count("Relation") == 1
 
 
+def test_scope_removes_what_was_stored(spark):
+    outer = cut_lineage(spark.range(3))
+    with scratch(spark):
+        inner = cut_lineage(spark.range(5))
+        path = inner.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert inner.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path) and outer.count() == 3
+
+
 def _stored(spark, df):
     path = fresh_path(spark, "targets")
     df.write.parquet(path)
