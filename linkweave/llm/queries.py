@@ -14,7 +14,7 @@ from linkweave.llm.mixing import MIX_SQL, mix_report
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.sharding import assign_shards
-from linkweave.llm.suffix_dedup import repeated_runs
+from linkweave.llm.suffix_dedup import REPEATED_RUNS_SQL, repeated_runs
 from linkweave.llm.token_counts import count_tokens
 from linkweave.llm.toxicity import toxicity_report
 from linkweave.llm.warc import WARC_SQL, archive_round_trip
@@ -34,6 +34,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_runs(table(spark, sf_dir, "documents")).drop("runs")
 
 
+ORACLE["op1_suffix_dedup"] = REPEATED_RUNS_SQL
+
+
 @query
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -402,3 +402,28 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
         F.coalesce("runs", none).alias("runs"),
     )
+
+
+# Strings of 400 bytes as hexadecimal text, cut out of blocks of 500 starts.
+REPEATED_RUNS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (
+  SELECT doc_id, j * 500 + i AS i, md5(substr(piece, 2 * i + 1, 800)) AS k
+  FROM (SELECT doc_id, j, piece, unnest(range(0, least(500, n - 399 - j * 500))) AS i
+    FROM (SELECT doc_id, n, j, substr(h, 1000 * j + 1, 1798) AS piece
+      FROM (SELECT doc_id, h, n, unnest(range(0, (n - 400) // 500 + 1)) AS j FROM d WHERE n >= 400)))
+), r AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+g AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)
+), s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s
+  UNION ALL SELECT doc_id, max(b), NULL FROM s GROUP BY doc_id
+), t AS (
+  SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, n) - x)), '' ORDER BY x) AS h FROM kept JOIN d USING (doc_id) GROUP BY doc_id
+), c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(t.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
