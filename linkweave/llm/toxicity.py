@@ -19,7 +19,6 @@ gate inputs are computed once per distinct token and then looked up.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,7 +70,7 @@ def _grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * np.uint32(2654435761) + wide[:, k:k + h.shape[1]] + np.uint32(n)
         bucket = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(19)
-        found.append(np.where(wide[:, n - 1:] > 0, bucket.astype(np.int32) % (GRAMS - 1) + 1, 0))
+        found.append(np.where(wide[:, n - 1:] > 0, bucket % np.uint32(GRAMS - 1) + np.uint32(1), 0).astype(np.uint16))
     buckets = np.concatenate(found, 1)
     return buckets, (1.0 / np.maximum((buckets > 0).sum(1), 1)).astype(np.float32)
 
@@ -96,10 +95,11 @@ class Model:
     def __getstate__(self):
         return {"words": self.words, "weights": self.weights, "shift": self.shift, "_cache": {}}
 
-    def gate_inputs(self, tokens: list[bytes]) -> np.ndarray:
-        """Input parts of all gates, both directions, per token."""
+    def gate_inputs(self, tokens: list[bytes], padding: bool = False) -> np.ndarray:
+        """Input parts of all gates, both directions, per token; with those of padding as the last row."""
         w = self.weights
-        out = []
+        out = np.empty((len(tokens) + padding, 6 * HIDDEN), np.float32)
+        out[len(tokens):] = w["bx"]
         for at in range(0, len(tokens), 1 << 15):
             part = tokens[at:at + (1 << 15)]
             ids = np.fromiter((self.words.get(t, 0) for t in part), np.int64, len(part))
@@ -108,8 +108,8 @@ class Model:
             for k in range(buckets.shape[1]):
                 grams += w["grams"][buckets[:, k]]
             x = np.concatenate([w["words"][ids], grams * scale[:, None]], 1)
-            out.append(x @ w["wx"] + w["bx"])
-        return np.concatenate(out) if out else np.zeros((0, 6 * HIDDEN), np.float32)
+            out[at:at + len(part)] = x @ w["wx"] + w["bx"]
+        return out
 
     def window_logits(self, gates: np.ndarray, index: np.ndarray) -> np.ndarray:
         """Logit per window; ``index`` (windows, WINDOW) points into ``gates``, its last row is padding."""
@@ -231,10 +231,10 @@ def _forward_backward(w: dict, gates: np.ndarray, index: np.ndarray, pad: np.nda
 def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = 8, batch: int = 256) -> Model:
     """Train on whole labelled texts. Without both labels the score is the share of toxic ones."""
     rng = np.random.default_rng(seed)
-    docs = [t for t in (tokens_of(x) for x in texts)]
+    docs, vocabulary = _token_ids(texts)
     y_doc = np.array(labels, np.int64)
-    counts = Counter(t for d in docs for t in d)
-    frequent = sorted(counts, key=lambda t: (-counts[t], t))[:WORDS]
+    counts = np.bincount(np.concatenate(docs), minlength=len(vocabulary)) if docs else np.zeros(0, np.int64)
+    frequent = [vocabulary[i] for i in np.lexsort((np.arange(len(vocabulary)), -counts))[:WORDS]]
     dim = WORD_DIM + GRAM_DIM
     w = {
         "words": rng.normal(0, 0.1, (len(frequent) + 1, WORD_DIM)), "grams": rng.normal(0, 0.3, (GRAMS, GRAM_DIM)),
@@ -251,16 +251,16 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = 8,
         w["b"][0] = math.log(share / (1 - share))
         return model
 
-    vocabulary = sorted(counts)
-    place = {t: i for i, t in enumerate(vocabulary)}
     word_ids = np.array([model.words.get(t, 0) for t in vocabulary])
-    buckets, scale = _grams(vocabulary)
+    parts = [_grams(vocabulary[a:a + (1 << 15)]) for a in range(0, len(vocabulary), 1 << 15)]
+    buckets, scale = (np.concatenate(p) for p in zip(*parts)) if parts else _grams([])
+    del parts
     pad_id = len(vocabulary)
     index, owner = [], []
-    for i, tokens in enumerate(docs):
-        ids = np.array([place[t] for t in tokens] or [pad_id])
+    for i, ids in enumerate(docs):
+        ids = ids if len(ids) else np.array([pad_id], np.int32)
         for start in windows_of(len(ids)):
-            row = np.full(WINDOW, pad_id)
+            row = np.full(WINDOW, pad_id, np.int32)
             part = ids[start:start + WINDOW]
             row[:len(part)] = part
             index.append(row), owner.append(i)
@@ -275,7 +275,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = 8,
     step = 0
     for epoch in range(epochs):
         if epoch >= 2:
-            gates = np.concatenate([model.gate_inputs(vocabulary), w["bx"][None]])
+            gates = model.gate_inputs(vocabulary, padding=True)
             worth = model.window_logits(gates, index)
         order = np.lexsort((rng.random(len(index)), -worth, owner))
         ranked = owner[order]
@@ -316,22 +316,37 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = 8,
                 v += 0.001 * (g * g - v)
                 w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
-    gates = np.concatenate([model.gate_inputs(vocabulary), w["bx"][None]])
+    gates = model.gate_inputs(vocabulary, padding=True)
     worst = np.full(len(docs), -np.inf)
     np.maximum.at(worst, owner, model.window_logits(gates, index))
     model.shift = math.log(REJECT_AT / (1 - REJECT_AT)) - _best_cut(worst, y_doc)
     return model
 
 
-def _telling(docs: list[list[bytes]], y: np.ndarray, vocabulary: list[bytes]) -> np.ndarray:
-    """Per token: the largest log-odds of its first 4 and 5 bytes and of itself over the classes of texts."""
-    held = {1: Counter(), 0: Counter()}
-    keys = lambda t: (t, t[:4], t[:5])
-    for tokens, label in zip(docs, y):
-        held[int(label)].update({k for t in set(tokens) for k in keys(t)})
+def _token_ids(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Every text as numbers into the sorted vocabulary; no token is held twice."""
+    seen: dict[bytes, int] = {}
+    docs = [np.array([seen.setdefault(t, len(seen)) for t in tokens_of(text)], np.int32) for text in texts]
+    vocabulary = sorted(seen)
+    place = np.empty(len(seen), np.int32)
+    for i, t in enumerate(vocabulary):
+        place[seen[t]] = i
+    return [place[ids] for ids in docs], vocabulary
+
+
+def _telling(docs: list[np.ndarray], y: np.ndarray, vocabulary: list[bytes]) -> np.ndarray:
+    """Per token: the largest log-odds of itself and of its first 4 and 5 bytes over the classes of texts."""
     n = {label: int((y == label).sum()) for label in (0, 1)}
-    odds = lambda k: math.log((held[1][k] + 0.5) / (n[1] + 1)) - math.log((held[0][k] + 0.5) / (n[0] + 1))
-    return np.array([max(map(odds, keys(t))) for t in vocabulary], np.float32)
+    best = np.full(len(vocabulary), -np.inf)
+    for cut in (WIDTH, 4, 5):
+        keys: dict[bytes, int] = {}
+        key = np.array([keys.setdefault(t[:cut], len(keys)) for t in vocabulary], np.int32)
+        held = {0: np.zeros(len(keys), np.int64), 1: np.zeros(len(keys), np.int64)}
+        for ids, label in zip(docs, y):
+            held[int(label)][np.unique(key[ids])] += 1
+        odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
+        best = np.maximum(best, odds[key])
+    return best.astype(np.float32)
 
 
 def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
