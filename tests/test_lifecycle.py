@@ -163,7 +163,7 @@ def test_candidate_runs_on_top_and_is_not_recorded(spark, log, effects):
     candidate = frame(spark, [(1, "a", 9.0), (2, "z", 8.0)], "chain_id long, key string, value double")
     failing = frame(spark, [(2, "bad")], "chain_id long, why string")
     preview = state_of(lifecycle.run_candidate(base, candidate, failing))
-    assert preview[(1, "a")] == (1_000_000, 9.0) and preview[(1, "b")] == (2, 3.0)
+    assert preview[(1, "a")] == (3, 9.0) and preview[(1, "b")] == (2, 3.0)
     assert (2, "z") not in preview and preview[(2, "a")] == (1, 4.0)
     assert {r.filename for r in base.applied.collect()} == {"000001.sql", "000002.sql"}
 
