@@ -178,7 +178,7 @@ def _signed(batches: Iterator[pa.RecordBatch], weights: str) -> Iterator[pa.Reco
         seen: set[bytes] = set()
         texts = batch.column("text").to_pylist()
         for a, b in _slices(texts):
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             keys, new = [], []
             for i in range(a, b):
@@ -226,7 +226,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (element >> _U64(32)).astype(np.uint32)
             made = [np.unique(short[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(made, pa.binary())], names=["node", "shingles"])
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
 
 

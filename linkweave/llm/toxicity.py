@@ -36,7 +36,7 @@ WORDS, GRAMS = 2000, 1 << 13
 REJECT_AT = 0.7
 SEED = 11
 _BATCH_WINDOWS = 2048
-_CACHE_TOKENS = 200_000
+_CACHE_TOKENS = 100_000
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,11 @@ class Model:
             out[at:at + len(ix)] = pooled @ w["out"] + w["b"][0]
         return out
 
+    def forget(self) -> None:
+        """Drop what was kept of the tokens scored so far."""
+        self._cache.clear()
+        self._gates = []
+
     def score(self, texts: list[str | None]) -> list[float]:
         """Score of the worst window of every text; a text without tokens gets that of padding."""
         index, owner, known = [], [], self._cache
@@ -407,12 +412,15 @@ def with_scores(docs: DataFrame, model: Model, name: str, text_col: str = "text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            for at, size in _slices(texts):
-                part = batch.slice(at, size)
-                values = pa.array(model.score(texts.slice(at, size).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*batch.schema.names, name])
+        try:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col))
+                for at, size in _slices(texts):
+                    part = batch.slice(at, size)
+                    values = pa.array(model.score(texts.slice(at, size).to_pylist()), pa.float64())
+                    yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*batch.schema.names, name])
+        finally:
+            model.forget()  # the worker keeps the broadcast model for as long as it lives
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 

@@ -87,14 +87,14 @@ def test_sample_leaves_out_held_out_rows(spark):
 
 
 def test_report_and_filter(spark):
-    data = corpus(300, 4)
-    given = docs(spark, [(i, t) for i, t, _ in data] + [(1000, None), (1001, ""), (None, "plain words"), (1002, prose(5, 20_000))])
+    data = corpus(800, 4)
+    given = docs(spark, [(i, t) for i, t, _ in data] + [(9000, None), (9001, ""), (None, "plain words"), (9002, prose(5, 20_000))])
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id bigint, quality int, toxic int")
     found = {r["doc_id"]: r for r in toxicity_report(given, labels).collect()}
-    assert len(found) == 304 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found.values())
+    assert len(found) == 804 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found.values())
     assert all(r["held_out"] == (i is None or zlib.crc32(str(i).encode()) % 3 == 1) for i, r in found.items())
     right = [found[i]["predicted"] == y for i, _, y in data if found[i]["held_out"]]
-    assert sum(right) / len(right) > 0.9 and found[1000]["predicted"] == found[1001]["predicted"] == 0
+    assert sum(right) / len(right) > 0.9 and found[9000]["predicted"] == found[9001]["predicted"] == 0
     kept = without_toxic(given, labels)
     assert kept.columns == given.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["predicted"]}
 
