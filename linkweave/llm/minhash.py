@@ -4,7 +4,8 @@
 2. A class has a DartMinHash signature of ``BANDS`` bands of ``ROWS`` coordinates. Classes that
    agree in a band share a bucket; buckets with one class are dropped on narrow rows.
 3. In a bucket, signatures are compared (one byte a coordinate). A pair is looked at in the first
-   band it shares only, and is a candidate if its estimated similarity is at least ``ESTIMATE``.
+   band it shares only, by the full band keys that make the buckets, and is a candidate if its
+   estimated similarity is at least ``ESTIMATE``.
    First every class proposes its most similar earlier partner; these pairs, at most one per
    class and bucket, are verified on the shingle sets. Then only candidates whose classes are
    not connected yet are verified, all of them, inside the bucket's task: no pair is emitted
@@ -14,7 +15,8 @@
    one, and loses no candidate.
 
 What is lost by chance: a pair of similarity 0.8 agrees in no band with probability
-(1 - 0.8^5)^25 = 5e-5, and falls below ``ESTIMATE`` with about 3e-3; less with every bit more.
+(1 - 0.8^5)^25 = 5e-5, and falls below ``ESTIMATE`` with about 3.5e-3; one of 0.85 with 4e-7
+and 9e-6.
 """
 
 from __future__ import annotations
@@ -253,6 +255,8 @@ class _Tile:
         width = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8)
         self.signature = width.reshape(len(order), COORDINATES)[order]
         self.band = int(table["band"][0].as_py())
+        earlier = pa.concat_arrays(table["earlier"].chunks).flatten().to_numpy()
+        self.earlier = earlier.reshape(len(order), self.band)[order]
         self.across = bool((self.chunk != self.chunk[0]).any()) or bool(table["across"][0].as_py())
 
     def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -266,8 +270,7 @@ class _Tile:
                 ok &= self.chunk[:i] != self.chunk[i]
             at = np.flatnonzero(ok)
             if len(at) and self.band:
-                shared = equal[at][:, :self.band * ROWS].reshape(len(at), self.band, ROWS).all(2).any(1)
-                at = at[~shared]
+                at = at[~(self.earlier[at] == self.earlier[i]).any(1)]
             if len(at):
                 yield i, at, estimate[at]
 
@@ -351,6 +354,12 @@ def _dealt(members: DataFrame, partitions: int) -> DataFrame:
     )
 
 
+def _with_signatures(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What a tile compares; ``earlier`` has the keys of the bands before the member's own."""
+    signed = members.join(wanted.select("node", "size", "signature", "bands"), "node")
+    return signed.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
+
+
 def near_duplicate_rows(docs: DataFrame, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, k1, k2, class_key`` of ``docs``, and per ``class_key`` the group it is in:
     ``group_id`` (smallest id) with ``g1, g2`` (row key of the row that stays) and ``group_rows``."""
@@ -373,13 +382,13 @@ def near_duplicate_rows(docs: DataFrame, weights: str = "set", id_col: str = "do
     banded = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut_lineage(banded.join(shared, "bucket").select("bucket", "band", "n", "node"), "buckets")
-    wanted = members.select("node").distinct().join(classes.select("node", "size", "signature", "first.*"), "node")
+    wanted = members.select("node").distinct().join(classes.select("node", "size", "signature", "bands", "first.*"), "node")
     wanted, many = cut_and_count(wanted, "wanted")
     told = sized_broadcast(wanted.select("node", "k1", "k2"), many, 60)
     texts = rows.select("text", *row_keys("doc_id", "text")).join(told, ["k1", "k2"]).select("node", "text")
     sets = cut_lineage(texts.mapInArrow(_sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingles")
 
-    signed = members.join(wanted.select("node", "size", "signature"), "node")
+    signed = _with_signatures(members, wanted)
     pairs = _dealt(signed, parts).mapInArrow(_best_partners, "a bigint, b bigint").distinct()
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b"
@@ -396,7 +405,7 @@ def near_duplicate_rows(docs: DataFrame, weights: str = "set", id_col: str = "do
         "undecided",
     )
     if open_rows:
-        full = left.join(wanted.select("node", "size", "signature"), "node").join(sets, "node")
+        full = _with_signatures(left, wanted).join(sets, "node")
         dealt = full.repartition(parts, "bucket", "tile").sortWithinPartitions("bucket", "tile")
         more = cut_lineage(dealt.mapInArrow(_connecting, "a bigint, b bigint"), "links")
         so_far = cut_lineage(connected_components(links.unionByName(more), "a", "b"), "components")

@@ -87,3 +87,17 @@ def test_components_of_stars_and_paths(spark):
     edges = spark.createDataFrame([*path, *star, (7, 7), (None, 3), (200, 199)], "a bigint, b bigint")
     found = {r["id"]: r["component_id"] for r in connected_components(edges, "a", "b").collect()}
     assert {found[i] for i in range(41)} == {0} and {found[100 + i] for i in range(30)} == {100} and found[200] == 199
+
+
+def test_pair_that_only_looks_shared_in_an_earlier_band(spark):
+    data = []
+    for seed in (340, 604):  # a band before the first shared one agrees in its bytes, not in its key
+        changed = prose(seed, 120).split()
+        changed[30], changed[80] = "changedone", "changedtwo"
+        data += [(seed, prose(seed, 120)), (2000 + seed, " ".join(changed))]
+    sets = shingle_sets([t for _, t in data], {})
+    darts = dart_signatures(sets[0], sets[1], np.ones(len(sets[0])), 4)
+    keys, short = minhash._band_keys(darts), (darts % np.uint64(251)).reshape(4, minhash.BANDS, minhash.ROWS)
+    for x, y in ((0, 1), (2, 3)):
+        assert (short[x] == short[y]).all(1).argmax() < (keys[x] == keys[y]).argmax()
+    assert rows(near_duplicates(docs(spark, data)), "doc_id", "class_id", "class_rows") == brute(data)
