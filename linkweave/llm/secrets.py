@@ -6,7 +6,8 @@ collected only in texts with an access identifier, joined by interval with the c
 parts of the same text, and reported only where those lie within ``SCOPE`` characters:
 
 * ``pair_secret``: a run of exactly 40 characters of the base64 alphabet with upper-case
-  letters, lower-case letters and digits, near an access identifier;
+  letters, lower-case letters and digits, near an access identifier. In a longer run with '='
+  (key=value) the value counts, unless it is reported as an assignment already;
 * ``pair_endpoint``: a web address near both an access identifier and a secret (an
   assignment or a weak secret).
 
@@ -36,6 +37,9 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{32,}"
 # Patterns of the weak candidates.
 SECRET = "[A-Za-z0-9+/=]{40,}"
+# The same next to a '=' that is not part of it, as in key=value; '=' only ends a value here.
+_B = "[A-Za-z0-9+/]"
+KEYED = rf"(?<==)(?:{_B}{{40}}(?!{_B})|{_B}{{39}}=(?![A-Za-z0-9+/=])|{_B}{{38}}==(?![A-Za-z0-9+/=]))|(?<!{_B}){_B}{{40}}(?==)"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+"""
 KINDS = ("assign", "access", "hex", "pair_secret", "pair_endpoint")
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -104,6 +108,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_enough = lambda spans, n: F.filter(spans, lambda s: F.length(s["value"]) >= n)
     mixed = lambda s: (F.length(s["value"]) == 40) & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]")
+    apart = lambda s: ~F.exists("assign", lambda a: (a["start"] < s["end"]) & (s["start"] < a["end"]))
     has_access = F.size("access") > 0
     nothing = F.array().cast(_SPANS)
     found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).select(
@@ -114,12 +119,14 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
         find_spans(F.col("text"), HEX, when="[0-9a-f]{32}").alias("hex"),
     )
     narrow = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    keyed = F.filter(find_spans(F.col("text"), KEYED), lambda s: mixed(s) & apart(s))
+    secret = F.concat(F.filter(find_spans(F.col("text"), SECRET), mixed), keyed)
     stored = cut_lineage(
         found.select(
             "doc_id",
             F.concat_ws(":", "doc_id", F.xxhash64("text"), F.hash("text"), F.length("text")).alias("row"),
             *[narrow(F.col(k)).alias(k) for k in ("assign", "access", "hex")],
-            narrow(F.when(has_access, F.filter(find_spans(F.col("text"), SECRET), mixed)).otherwise(nothing)).alias("secret"),
+            narrow(F.when(has_access, secret).otherwise(nothing)).alias("secret"),
             narrow(F.when(has_access, find_spans(F.col("text"), ENDPOINT, when="https?://")).otherwise(nothing)).alias("endpoint"),
         ),
         "spans",

@@ -57,3 +57,25 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert find_secrets(docs(spark, [])).collect() == []
+
+
+def test_weak_secret_as_the_value_of_a_key(spark):
+    padded = WEAK[:38] + "=="
+    forms = [f"AWS_SECRET_ACCESS_KEY={WEAK}", f"?sig={WEAK}&v=1", f"KEY={padded}", f"KEY={WEAK[:39]}=", f"{WEAK}=key", padded, f"a={WEAK}="]
+    values = [WEAK, WEAK, padded, WEAK[:39] + "=", WEAK, padded, WEAK]
+    not_secret = [f"KEY={WEAK}x", f"KEY={WEAK[:39]}", f"KEY={WEAK[:39]}==", f"password={WEAK}"]
+    url = "https://example.net/x"
+    text = lambda form, end: f"AWS_ACCESS_KEY_ID={ACCESS}\n{form}\n{end}"
+    data = [(i, text(f, end)) for i, (f, end) in enumerate((f, end) for f in forms + not_secret for end in ("", url))]
+    found = {r["doc_id"]: r["spans"].split(",") for r in find_secrets(docs(spark, data + [(99, f"KEY={WEAK} {url}")])).collect()}
+    for i, (form, value) in enumerate(zip(forms, values)):
+        for k, end in ((2 * i, ""), (2 * i + 1, url)):
+            at = data[k][1].index(value)
+            expected = [f"access:18:{18 + len(ACCESS)}", f"pair_secret:{at}:{at + 40}"]
+            if end:
+                at = data[k][1].index(url)
+                expected.append(f"pair_endpoint:{at}:{at + len(url)}")
+            assert found[k] == expected, form
+    for i, form in enumerate(not_secret, len(forms)):
+        assert not any("pair_secret" in s for k in (2 * i, 2 * i + 1) for s in found[k]), form
+    assert found[99] == [""]
