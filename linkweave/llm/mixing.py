@@ -7,7 +7,8 @@ with inclusion probability p = r - floor(r). For this choice documents are ranke
     q = (u / (1 - u)) / (p / (1 - p)),    u a fixed random number of the document,
 
 and taken in that order until the words reach what is left of the target (fixed size; the
-document on the border is taken if that comes nearer). Sources differ in p.
+document on the border is taken if that comes nearer). Sources differ in p; within a source p
+is one number, so q is monotone in u and the order is simple random order by u.
 
 The border is found without sorting a source: ranks, mapped to (0, 1), are counted in 4096
 buckets, the bucket on the border is counted in 4096 parts again, and only the rows of one
