@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkweave.llm.byte_bpe import token_report
 from linkweave.llm.common import table
 from linkweave.llm.decontamination import CONTAMINATION_SQL, contamination_report
 from linkweave.llm.embeddings import EMBEDDING_LINKS_SQL, embedding_links
 from linkweave.llm.minhash import NEAR_DUPLICATES_SQL, near_duplicates
 from linkweave.llm.mixing import MIX_SQL, mix_report
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
-from linkweave.llm.secrets import SECRETS_SQL, find_secrets
 from linkweave.llm.sharding import assign_shards
 from linkweave.llm.suffix_dedup import REPEATED_RUNS_SQL, repeated_runs
 from linkweave.llm.token_counts import count_tokens
@@ -74,14 +74,6 @@ def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op6_linked_secrets"] = SECRETS_SQL
 
 
-@query
-def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
-
-
-ORACLE["op6_linked_secrets"] = SECRETS_SQL
-
-
 @query
 def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -106,3 +98,8 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"))
