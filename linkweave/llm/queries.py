@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkweave.llm.byte_bpe import token_report
+from linkweave.llm.centroids import clustering_report, clustering_sql
 from linkweave.llm.common import table
 from linkweave.llm.decontamination import CONTAMINATION_SQL, contamination_report
 from linkweave.llm.embeddings import EMBEDDING_LINKS_SQL, embedding_links
+from linkweave.llm.fill_in_middle import FILL_IN_MIDDLE_SQL, fill_in_middle_report
 from linkweave.llm.minhash import NEAR_DUPLICATES_SQL, near_duplicates
 from linkweave.llm.mixing import MIX_SQL, mix_report
 from linkweave.llm.secrets import SECRETS_SQL, find_secrets
@@ -103,3 +105,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_fill_in_middle"] = FILL_IN_MIDDLE_SQL
+
+
+@query
+def op12_orchard_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering_report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_orchard_centroids"] = clustering_sql()

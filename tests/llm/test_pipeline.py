@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and "pipeline" not in oracle_sql()
 
