@@ -298,13 +298,9 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hour_block() -> Column:
-    return F.date_trunc("hour", F.col("ts"))
-
-
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One change per event in its user's chain, numbered by time."""
-    placed = with_order(event_rows(spark, sf_dir), ["user_id"], ["ts", "event_id"], hour_block())
+    placed = with_order(event_rows(spark, sf_dir), ["user_id"], ["ts", "event_id"])
     return placed.select(
         F.col("user_id").alias("chain_id"),
         F.col("position").cast("int").alias("version"),

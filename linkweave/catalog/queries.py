@@ -558,7 +558,7 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.change_points(
         given.event_rows(spark, sf_dir).drop("value", "props"),
-        ["user_id"], ["ts", "event_id"], "event_type", given.hour_block(),
+        ["user_id"], ["ts", "event_id"], "event_type",
     )
 
 
@@ -571,7 +571,7 @@ def change_points_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["user_id", "ts", "event_id", "event_type"]
     events = given.event_rows(spark, sf_dir).select(*columns)
     source, root = fresh_path(spark, "arrivals"), fresh_path(spark, "detect")
-    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type", given.hour_block())
+    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * k / 4 for k in range(5)] if first else []
     for k, (begin, end) in enumerate(zip(cuts, cuts[1:])):

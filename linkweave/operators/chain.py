@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkweave.functions.text import hash_matches, normalize, version_filename
-from linkweave.operators.ordered import filename_block, with_order
+from linkweave.operators.ordered import with_order
 from linkweave.schemas import MAX_VERSION
 
 _CHAIN_LINKS = "chain_id bigint, version int, body string, previous_hash string, hash string"
@@ -140,7 +140,7 @@ def positioned(
 ) -> DataFrame:
     """Changes in file-name order with their position and the hash of the one before."""
     return with_order(
-        changes, ["chain_id"], ["filename", "hash"], filename_block(), ["hash"], weight, counted_from
+        changes, ["chain_id"], ["filename", "hash"], ["hash"], weight, counted_from
     )
 
 
@@ -168,7 +168,6 @@ def contiguity_violations(versions: DataFrame) -> DataFrame:
         counted,
         ["chain_id"],
         ["version"],
-        F.floor(F.col("version") / 1000),
         weight="n_rows",
         counted_from=versions,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from linkweave.operators.ordered import with_order
 
@@ -91,7 +91,6 @@ def change_points(
     keys: Sequence[str],
     order: Sequence[str],
     state: str,
-    block: Column,
     earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose state differs from the state before it in the same key; the first counts.
@@ -99,7 +98,7 @@ def change_points(
     ``earlier`` holds the last state of keys seen before these rows: ``keys`` and ``state``.
     It is joined at position 1 only, so a key with many rows meets it once.
     """
-    placed = with_order(rows, keys, order, block, carry=[state])
+    placed = with_order(rows, keys, order, carry=[state])
     previous = F.col(f"before_{state}")
     first = F.col("position") == 1
     changed = placed.where(first | ~F.col(state).eqNullSafe(previous))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
@@ -29,7 +29,6 @@ class ChangeDetector:
     keys: Sequence[str]
     order: Sequence[str]
     state: str
-    block: Column
     fold_every: int = 16
 
     def start(
@@ -54,7 +53,7 @@ class ChangeDetector:
             rows = batch.join(known, [*self.keys], "left").where(F.col("_last").isNull() | after)
             rows = rows.select(*batch.columns)
             points = change_points(
-                rows, self.keys, self.order, self.state, self.block,
+                rows, self.keys, self.order, self.state,
                 earlier.select(*self.keys, self.state),
             )
             write_batch(points, f"{self.root}/points", batch_id)

@@ -32,11 +32,10 @@ def test_stream_equals_batch(spark, tmp_path):
     ]
     write_files(spark, parts, STATES, f"{tmp_path}/in")
     schema = spark.createDataFrame([], STATES).schema
-    block = F.floor(F.col("n") / 2)
-    detector = ChangeDetector(f"{tmp_path}/out", ["k"], ["n"], "s", block, fold_every=2)
+    detector = ChangeDetector(f"{tmp_path}/out", ["k"], ["n"], "s", fold_every=2)
     detector.start(in_batches(spark, schema, f"{tmp_path}/in"), f"{tmp_path}/cp", True).awaitTermination()
     all_rows = spark.createDataFrame([r for p in parts for r in p], STATES)
-    expected = change_points(all_rows, ["k"], ["n"], "s", block)
+    expected = change_points(all_rows, ["k"], ["n"], "s")
     key = lambda df: sorted(map(repr, (tuple(r) for r in df.select("k", "n", "s", "previous_state").collect())))
     assert key(detector.points(spark, schema)) == key(expected)
 
