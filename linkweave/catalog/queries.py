@@ -668,15 +668,26 @@ def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State after the event chains came in as a stream of change rows."""
+    """State after the event chains came in as a stream of change rows, in ten micro-batches.
+
+    Each chain arrives in ten parts of its length; every seventh change comes a part late, so that
+    later ones wait for it, and every eleventh comes once more in the next part.
+    """
     changes = given.stored(given.event_changes(spark, sf_dir))
     rows = chain.build_chain(changes).join(
         changes.select("chain_id", "version", "key", "value"), ["chain_id", "version"]
     )
-    source = fresh_path(spark, "changes")
-    rows.select(*CHANGE_EVENTS.fieldNames()).write.parquet(source)
-    stream = spark.readStream.schema(CHANGE_EVENTS).parquet(source)
-    root = fresh_path(spark, "apply")
+    rows = given.stored(rows.select(*CHANGE_EVENTS.fieldNames()))
+    lengths = rows.groupBy("chain_id").agg(F.count("*").alias("n"))
+    part = F.floor((F.col("version") - 1) * 10 / F.col("n"))
+    late, again = F.when(F.col("version") % 7 == 0, 1).otherwise(0), F.when(F.col("version") % 11 == 0, part + 1)
+    parts = F.array_compact(F.array(part + late, again))
+    arrivals = given.stored(rows.join(lengths, "chain_id").withColumn("part", F.explode(F.transform(parts, lambda p: F.least(p, F.lit(9))))))
+    source, root = fresh_path(spark, "changes"), fresh_path(spark, "apply")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(10):
+        arrivals.where(F.col("part") == k).select(*rows.columns).repartition(files).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CHANGE_EVENTS).option("maxFilesPerTrigger", files).parquet(source)
     targets = rows.select(F.col("chain_id").alias("target_id"), "chain_id").distinct()
     job = ContinuousApply(root, given.stored(targets))
     job.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()

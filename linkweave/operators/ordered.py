@@ -40,19 +40,22 @@ def with_order(
     carry: Sequence[str] = (),
     weight: str | None = None,
     counted_from: DataFrame | None = None,
+    at_most: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``position`` (1-based) and, for each ``carry`` column, ``before_<column>``.
 
     ``before_*`` is null on the first row of a key. With ``weight``, a row stands for that many
     rows and ``position`` is the first place it takes; ``counted_from`` may then name the rows it
-    was counted from, which saves counting twice. Keys are counted right away.
+    was counted from, which saves counting twice. Keys are counted right away, unless the number
+    of all rows is known to be ``at_most`` one that no key can be hot with.
     """
     keys, order = list(keys), list(order)
     size = F.col(weight) if weight else F.lit(1).cast("bigint")
     single = F.lit(1).cast("bigint")
     rows, row_size = (df, size) if counted_from is None else (counted_from, single)
-    cuts = block_cuts(rows, keys, order, row_size, hot_rows)
+    known_small = at_most is not None and at_most <= hot_rows
+    cuts = None if known_small else block_cuts(rows, keys, order, row_size, hot_rows)
 
     place = [*keys] if cuts is None else [*keys, "_block"]
     blocked = df if cuts is None else in_blocks(df, cuts, keys, order)

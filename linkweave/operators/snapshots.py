@@ -92,13 +92,15 @@ def change_points(
     order: Sequence[str],
     state: str,
     earlier: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Rows whose state differs from the state before it in the same key; the first counts.
 
     ``earlier`` holds the last state of keys seen before these rows: ``keys`` and ``state``.
-    It is joined at position 1 only, so a key with many rows meets it once.
+    It is joined at position 1 only, so a key with many rows meets it once. ``at_most`` is a
+    bound of the number of rows, where one is known.
     """
-    placed = with_order(rows, keys, order, carry=[state])
+    placed = with_order(rows, keys, order, carry=[state], at_most=at_most)
     previous = F.col(f"before_{state}")
     first = F.col("position") == 1
     changed = placed.where(first | ~F.col(state).eqNullSafe(previous))

@@ -1,9 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from linkweave.operators.chain import build_chain
 from linkweave.operators.snapshots import change_points
-from linkweave.plans.lifecycle import rebuild
-from linkweave.schemas import EFFECTS, TARGETS
+from linkweave.plans.lifecycle import apply_pending, rebuild
+from linkweave.schemas import APPLIED_LOG, CHANGE_LOG, EFFECTS, STATE, TARGETS
 from linkweave.sources.files import change_log, parse_changes
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply, stream_change_files
 from linkweave.streaming.detect import ChangeDetector
@@ -76,6 +78,91 @@ def test_continuous_apply_takes_changes_in_any_order(spark, tmp_path):
     check()
 
 
+def events_of(spark, chains):
+    """Change events of ``chains`` (id to length), one effect each, by chain and version."""
+    rows = [(c, v, f"select {v}") for c, n in chains.items() for v in range(1, n + 1)]
+    log = build_chain(spark.createDataFrame(rows, "chain_id long, version int, body string"))
+    effects = [(c, v, f"k{v % 3}", float(100 * c + v)) for c, v, _ in rows]
+    joined = log.join(spark.createDataFrame(effects, EFFECTS), ["chain_id", "version"]).select(*CHANGE_EVENTS.fieldNames())
+    return {(r["chain_id"], r["version"]): tuple(r) for r in joined.collect()}
+
+
+def compare_with_apply(spark, job, events, targets):
+    """The rows that ``apply_pending`` gives over all events at once."""
+    received = spark.createDataFrame(events, CHANGE_EVENTS)
+    expected = apply_pending(
+        received.select(*CHANGE_LOG.fieldNames()).distinct(), received.select(*EFFECTS.fieldNames()),
+        spark.createDataFrame([], STATE), spark.createDataFrame([], APPLIED_LOG), targets,
+    )
+    for ours, theirs, names in (
+        (job.state(spark), expected.state, ["target_id", "chain_id", "key", "version", "value"]),
+        (job.applied(spark), expected.applied, ["target_id", "chain_id", "filename", "hash", "previous_hash"]),
+    ):
+        assert sorted(map(repr, ours.select(*names).collect())) == sorted(map(repr, theirs.select(*names).collect()))
+
+
+def test_ten_batches_give_what_apply_pending_gives(spark, tmp_path):
+    """Changes in any order, once more, one batch run again; chains that break, that keep a gap, that never start."""
+    rng = random.Random(4)
+    by = events_of(spark, {1: 25, 2: 9, 3: 6, 4: 4, 5: 5, 6: 1})
+    bad = {  # before anything of the chain is linked, as apply_pending over everything decides
+        (3, 1): (*by[3, 1][:4], "f" * 64, *by[3, 1][5:]),
+        (4, 2): (*by[4, 2][:3], "e" * 64, *by[4, 2][4:]),
+    }
+    sent = [bad.get(k, e) for k, e in by.items() if k not in ((5, 1), (6, 1))]
+    sent += rng.sample([e for k, e in by.items() if k[0] in (1, 2)], 12)
+    sent.append((6, 1, "first.sql", None, by[6, 1][4], by[6, 1][5], "k", 1.0))
+    rng.shuffle(sent)
+    parts = [sent[i::10] for i in range(10)]
+    targets = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6), (70, 7)], TARGETS)
+    job = ContinuousApply(f"{tmp_path}/out", targets, fold_every=4)
+    for i, part in enumerate(parts):
+        job.process(spark.createDataFrame(part, CHANGE_EVENTS), i)
+        if i in (3, 6):
+            job.process(spark.createDataFrame(part, CHANGE_EVENTS), i)  # a rerun, also of one that folds
+    compare_with_apply(spark, job, sent, targets)
+    ends = {r["chain_id"]: (r["links"], r["broken"], r["gap"]) for r in job.chains(spark, 10).collect()}
+    assert ends == {1: (25, False, False), 2: (9, False, False), 3: (0, True, False), 4: (0, True, False), 5: (0, False, True), 6: (0, True, False)}
+
+
+def test_a_batch_needs_no_history(spark, tmp_path):
+    """What arrived in earlier batches is taken away; results are the same, and folders that are read stay few."""
+    by = events_of(spark, {1: 6, 2: 6})
+    targets = spark.createDataFrame([(10, 1), (20, 2)], TARGETS)
+    job = ContinuousApply(f"{tmp_path}/out", targets, fold_every=2)
+    for i in range(6):
+        job.process(spark.createDataFrame([by[1, i + 1], by[2, i + 1]], CHANGE_EVENTS), i)
+        if i:
+            (tmp_path / f"out/arrived/batch={i - 1}").rename(tmp_path / f"gone{i}")
+        if i >= 3:
+            old = 2 * ((i + 1) // 2) - 3
+            for kind in ("heads", "waiting", "writes", "served"):
+                folder = tmp_path / f"out/kept/{kind}/added/batch={old}"
+                if folder.exists():
+                    folder.rename(tmp_path / f"gone-{kind}{i}")
+    compare_with_apply(spark, job, list(by.values()), targets)
+
+
+def test_a_new_target_and_a_changed_copy(spark, tmp_path):
+    by = events_of(spark, {1: 6, 2: 6})
+    one = spark.createDataFrame([(10, 1), (20, 2)], TARGETS)
+    job = ContinuousApply(f"{tmp_path}/out", one)
+    first = [by[c, v] for c in (1, 2) for v in (1, 2, 3)]
+    job.process(spark.createDataFrame(first, CHANGE_EVENTS), 0)
+    both = spark.createDataFrame([(10, 1), (20, 2), (11, 1), (21, 2)], TARGETS)
+    job = ContinuousApply(f"{tmp_path}/out", both)
+    changed = (*by[2, 2][:5], "select other", *by[2, 2][6:])
+    job.process(spark.createDataFrame([by[1, 4], by[1, 2], changed, by[2, 4]], CHANGE_EVENTS), 1)
+    counts = {r["target_id"]: r["count"] for r in job.applied(spark).groupBy("target_id").count().collect()}
+    assert counts == {10: 4, 11: 4, 20: 3}  # 11 got all, 21 nothing: its chain is broken
+    job.process(spark.createDataFrame([by[1, 5], by[1, 6], by[2, 5]], CHANGE_EVENTS), 2)
+    whole = spark.createDataFrame([(10, 1), (11, 1)], TARGETS)
+    state = sorted(map(tuple, job.state(spark).where("chain_id = 1").select("target_id", "chain_id", "key", "version", "value").collect()))
+    log = spark.createDataFrame([by[1, v] for v in range(1, 7)], CHANGE_EVENTS)
+    expected = rebuild(log.select(*CHANGE_LOG.fieldNames()), log.select(*EFFECTS.fieldNames()), whole, force=True).state
+    assert state == sorted(map(tuple, expected.select("target_id", "chain_id", "key", "version", "value").collect()))
+
+
 def test_new_change_files_arrive_once(spark, tmp_path):
     golden = "25f048318278a4e1670bffb6bdd9de29acec798dcb8e00bff69ac48ec3dfdb3c"
     folder = tmp_path / "p/7/committed"
