@@ -566,16 +566,18 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_points_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream to which the events arrive in four parts of the time they span.
 
-    Between the parts the stream stops and goes on from its checkpoint.
+    The second and the fourth part come before the one they follow, so half of the rows are late. Between
+    the parts the stream stops and goes on from its checkpoint.
     """
     columns = ["user_id", "ts", "event_id", "event_type"]
     events = given.event_rows(spark, sf_dir).select(*columns)
     source, root = fresh_path(spark, "arrivals"), fresh_path(spark, "detect")
-    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    lateness = f"INTERVAL {int((last - first).total_seconds() / 2) + 1 if first else 0} SECONDS"
+    detector = ChangeDetector(root, ["user_id"], ["ts", "event_id"], "event_type", lateness)
     cuts = [first + (last - first) * k / 4 for k in range(5)] if first else []
-    for k, (begin, end) in enumerate(zip(cuts, cuts[1:])):
-        begin, end = (F.lit(str(t)).cast(events.schema["ts"].dataType) for t in (begin, end))
+    for k in (1, 0, 3, 2) if first else ():
+        begin, end = (F.lit(str(t)).cast(events.schema["ts"].dataType) for t in cuts[k:k + 2])
         upto = F.col("ts") <= end if k == 3 else F.col("ts") < end
         events.where((F.col("ts") >= begin) & upto).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkweave.operators.chain import build_chain
@@ -52,6 +53,47 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r.n, r.previous_state) for r in more) == [(1, None), (3, "c")]
 
 
+def as_rows(df):
+    return sorted(map(repr, (tuple(r) for r in df.select("k", "n", "s", "previous_state").collect())))
+
+
+@pytest.mark.parametrize("lateness,fold_every", [(None, 4), ("60", 2), ("25", 2)])
+def test_rows_in_any_arrival(spark, tmp_path, lateness, fold_every):
+    """Parts that overlap in time, repeated rows, null keys and times; late ones are dropped by the bound alone."""
+    rng = random.Random(fold_every)
+    rows = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *range(60)]), rng.choice(["a", "b", None])) for _ in range(150)]
+    rows = [(k, n, f"{k}{n}" if n is None else "ab"[hash((k, n)) % 2]) for k, n, _ in rows]  # equal places, equal states
+    parts = [rows[i::6] for i in range(6)] if lateness != "25" else [
+        sorted(rows, key=lambda r: (r[1] or 0) + rng.randint(0, 30))[i * 25:(i + 1) * 25] for i in range(6)
+    ]
+    schema = spark.createDataFrame([], STATES).schema
+    detector = ChangeDetector(f"{tmp_path}/out", ["k"], ["n"], "s", lateness, fold_every=fold_every)
+    taken, latest, late = [], None, 0
+    for i, part in enumerate(parts):
+        for _ in range(2 if i in (2, 3) else 1):  # two are run again
+            detector.process(spark.createDataFrame(part, STATES), i)
+        ok = [r for r in part if lateness is None or latest is None or r[1] is None or r[1] >= latest - int(lateness)]
+        late += len(part) - len(ok)
+        taken += ok
+        latest = max([latest if latest is not None else -1, *(r[1] for r in part if r[1] is not None)])
+        expected = change_points(spark.createDataFrame(taken, STATES), ["k"], ["n"], "s")
+        if i in (1, 5):
+            assert as_rows(detector.points(spark, schema)) == as_rows(expected)
+    assert detector.late_rows(spark, schema) == late and (late > 0) == (lateness == "25")
+
+
+def test_a_silent_key_is_forgotten(spark, tmp_path):
+    schema = spark.createDataFrame([], STATES).schema
+    parts = [[(1, 1, "a"), (2, 1, "a")], [(2, 90, "a")], [(1, 95, "a"), (2, 95, "a")], [(1, 96, "a")]]
+    found = {}
+    for expiry in (None, "20"):
+        detector = ChangeDetector(f"{tmp_path}/{expiry}", ["k"], ["n"], "s", "10", expiry, fold_every=1)
+        for i, part in enumerate(parts):
+            detector.process(spark.createDataFrame(part, STATES), i)
+        found[expiry] = sorted((r.k, r.n) for r in detector.points(spark, schema).collect())
+    assert found == {None: [(1, 1), (2, 1)], "20": [(1, 1), (1, 95), (2, 1)]}
+
+
 def test_continuous_apply_takes_changes_in_any_order(spark, tmp_path):
     rows = [(c, v, f"select {v}") for c in (1, 2) for v in (1, 2, 3)]
     log = build_chain(spark.createDataFrame(rows, "chain_id long, version int, body string"))
