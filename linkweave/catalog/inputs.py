@@ -346,6 +346,36 @@ def event_applied(spark: SparkSession, sf_dir: str, log: DataFrame) -> DataFrame
     )
 
 
+def event_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate per user: it includes a fragment, and uses an unknown name if a value is above 200."""
+    lines = F.when(F.col("top") > 200, ", :MISSING_NAME").otherwise("")
+    per_user = event_rows(spark, sf_dir).groupBy(F.col("user_id").alias("chain_id")).agg(F.max("value").alias("top"))
+    return per_user.select(
+        "chain_id",
+        F.when(F.col("chain_id") % 20 == 6, F.lit(" \n"))
+        .otherwise(F.concat(F.lit("--! include fixtures/base.sql\nselect :SCHEMA_NAME"), lines)).alias("body"),
+    )
+
+
+def event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragment of each user's candidate; some have none."""
+    users = event_rows(spark, sf_dir).select(F.col("user_id").alias("chain_id")).distinct()
+    return users.where("chain_id % 20 <> 5").select(
+        "chain_id", F.lit("fixtures/base.sql").alias("path"), F.lit("-- base of :IGNORED").alias("text")
+    )
+
+
+def event_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = event_rows(spark, sf_dir).select(F.col("user_id").alias("chain_id")).distinct()
+    return users.select("chain_id", F.lit("SCHEMA_NAME").alias("name"), F.lit("main").alias("value"))
+
+
+def altered_state(state: DataFrame) -> DataFrame:
+    """A state in which someone changed the clicks of some chains by hand."""
+    touched = (F.col("chain_id") % 9 == 2) & (F.col("key") == "click")
+    return state.withColumn("value", F.when(touched, F.col("value") + 1).otherwise(F.col("value")))
+
+
 def event_state(spark: SparkSession, sf_dir: str, effects: DataFrame) -> DataFrame:
     """The state the applied changes left behind."""
     written = (

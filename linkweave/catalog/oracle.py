@@ -712,11 +712,35 @@ writes AS (
   SELECT s.target_id, s.chain_id, e.event_type AS key, CAST(max(s.links) + 1 AS INTEGER) AS version, max(e.value) AS value
   FROM eslots s JOIN events e ON e.user_id = s.chain_id
   WHERE NOT s.blocked
+    AND s.chain_id % 20 NOT IN (5, 6)
     AND s.chain_id NOT IN (SELECT user_id FROM events WHERE value > 200)
   GROUP BY s.target_id, s.chain_id, e.event_type)""", select=f"""
 SELECT {_STATE_COLUMNS} FROM writes UNION ALL
 SELECT {_STATE_COLUMNS} FROM replayed r WHERE NOT EXISTS (
   SELECT 1 FROM writes w WHERE w.target_id = r.target_id AND w.chain_id = r.chain_id AND w.key = r.key)""")
+# An altered click stays where it was already applied and no pending change writes the key again.
+_VERDICTS = """
+kept_clicks AS (
+  SELECT s.target_id, s.chain_id FROM eslots s JOIN changes c ON c.chain_id = s.chain_id
+  WHERE NOT s.blocked AND s.chain_id % 9 = 2 AND c.key = 'click'
+  GROUP BY s.target_id, s.chain_id, s.prefix HAVING max(c.version) <= s.prefix),
+verdicts AS (
+  SELECT chain_id, 2 * (SELECT count(*) FROM kept_clicks k WHERE k.chain_id = c.chain_id) AS differing_rows
+  FROM (SELECT DISTINCT chain_id FROM changes) c)"""
+ORACLE["shadow_verdicts"] = _with(_EVENTS, _EVENT_SLOTS, _VERDICTS, select="""
+SELECT chain_id, differing_rows FROM verdicts""")
+ORACLE["commit_after_shadow"] = _with(
+    _EVENTS, _EVENT_SLOTS, _VERDICTS, _chain("elog", "SELECT chain_id, version, body FROM changes"), f"""
+faults AS (
+  SELECT chain_id, 'E43' AS code FROM verdicts WHERE differing_rows > 0
+  UNION ALL SELECT DISTINCT chain_id, 'E30' FROM changes WHERE chain_id % 20 = 6
+  UNION ALL SELECT DISTINCT chain_id, 'E34' FROM changes WHERE chain_id % 20 = 5
+  UNION ALL SELECT DISTINCT chain_id, 'E36' FROM changes WHERE chain_id % 20 NOT IN (5, 6) AND value > 200)""", select=f"""
+SELECT chain_id, CAST(max(version) + 1 AS INTEGER) AS version, arg_max(hash, version) AS previous_hash,
+  {_link("arg_max(hash, version)", "'-- base of :IGNORED' || chr(10) || 'select :SCHEMA_NAME'")} AS hash, CAST(NULL AS VARCHAR) AS error_codes
+FROM elog WHERE chain_id NOT IN (SELECT chain_id FROM faults) GROUP BY chain_id
+UNION ALL
+SELECT chain_id, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), string_agg(code, ',' ORDER BY code) FROM faults GROUP BY chain_id""")
 ORACLE["replay_counts"] = _with(_EVENTS, _EVENT_SLOTS, _INCREMENTAL, select="""
 SELECT target_id, chain_id, count(*) AS n_rows FROM replayed GROUP BY ALL""")
 ORACLE["evolve_union"] = """

@@ -654,13 +654,45 @@ def rebuild_vs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = given.event_rows(spark, sf_dir)
-    effects = events.groupBy(F.col("user_id").alias("chain_id"), F.col("event_type").alias("key")).agg(
+    """State with the candidates on top; those that do not compile, or to nothing, leave the committed state."""
+    effects = given.event_rows(spark, sf_dir).groupBy(F.col("user_id").alias("chain_id"), F.col("event_type").alias("key")).agg(
         F.max("value").alias("value")
     )
-    failing = events.where("value > 200").select(F.col("user_id").alias("chain_id"))
     replayed = _replay(spark, sf_dir, *_event_history(spark, sf_dir))
-    return lifecycle.run_candidate(replayed, effects, failing)
+    return lifecycle.run_compiled_candidate(
+        replayed, effects, given.event_candidates(spark, sf_dir), given.event_fragments(spark, sf_dir),
+        given.event_bindings(spark, sf_dir),
+    )
+
+
+def _altered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The event log, and what a clean rebuild says about a state that was changed by hand."""
+    log, effects = _event_history(spark, sf_dir)
+    applied = lifecycle.apply_pending(
+        log, effects, given.altered_state(given.event_state(spark, sf_dir, effects)),
+        given.event_applied(spark, sf_dir, log), given.event_targets(spark, sf_dir),
+    )
+    return log, given.stored(lifecycle.shadow_verdicts(applied, effects))
+
+
+@query
+def shadow_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _altered(spark, sf_dir)[1]
+
+
+@query
+def commit_after_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes made of the candidates whose checks hold and whose state is that of a rebuild; the others' first error."""
+    log, verdicts = _altered(spark, sf_dir)
+    done = lifecycle.commit_candidates(
+        log, given.event_candidates(spark, sf_dir), given.event_fragments(spark, sf_dir),
+        given.event_bindings(spark, sf_dir), verdicts,
+    )
+    refused = done.violations.groupBy("chain_id").agg(F.array_join(F.array_sort(F.collect_set("error_code")), ",").alias("error_codes"))
+    names = ["chain_id", "version", "previous_hash", "hash", "error_codes"]
+    added = done.added.withColumn("error_codes", F.lit(None).cast("string")).select(*names)
+    nothing = [F.lit(None).cast("int").alias("version"), *[F.lit(None).cast("string").alias(c) for c in names[2:4]]]
+    return added.unionByName(refused.select("chain_id", *nothing, "error_codes"))
 
 
 @query

@@ -20,7 +20,7 @@ from linkweave.operators.scripts import unknown_placeholders
 from linkweave.operators.state import overlay, pending_writes, rebuild_state
 from linkweave.operators.violations import first_violation, violation_rows
 from linkweave.plans.audit import log_violations
-from linkweave.plans.compile import CANDIDATE_PATH, expand_candidates
+from linkweave.plans.compile import CANDIDATE_PATH, compile_scripts, expand_candidates
 from linkweave.session import cut_lineage
 
 
@@ -199,6 +199,37 @@ def run_candidate(applied: Applied, candidate_effects: DataFrame, failing: DataF
     return overlay(applied.state, writes)
 
 
+def run_compiled_candidate(
+    applied: Applied, candidate_effects: DataFrame, candidates: DataFrame, fragments: DataFrame, bindings: DataFrame
+) -> DataFrame:
+    """As ``run_candidate``; which candidates cannot run is found by compiling them.
+
+    A chain whose candidate has a faulty include or a placeholder without binding keeps its committed
+    state, and so does one whose candidate is blank after compiling: there is nothing to run.
+    """
+    compiled = compile_scripts(candidates, fragments, bindings)
+    runs = compiled.groupBy("chain_id").agg(
+        F.min(F.col("error_code").isNull() & has_changes("compiled")).alias("runs")
+    )
+    idle = candidate_effects.select("chain_id").distinct().join(runs.where("runs"), "chain_id", "left_anti")
+    return run_candidate(applied, candidate_effects, idle)
+
+
+def shadow_verdicts(applied: Applied, effects: DataFrame) -> DataFrame:
+    """Per chain, how many state rows a rebuild from nothing and the state at hand do not share.
+
+    Both sides are signed and counted in one aggregation. Targets with an error were not brought
+    up and are left out; a chain without a sound target has no row.
+    """
+    sound = cut_lineage(applied.summary.where(F.col("error_code").isNull()).select(*TARGET), "sound")
+    held = applied.state.join(sound, TARGET, "left_semi")
+    differing = rebuild_vs_incremental(held, rebuild_state(effects, sound))
+    rows = differing.groupBy("chain_id").agg(F.sum(F.abs("balance")).alias("differing_rows"))
+    return sound.select("chain_id").distinct().join(rows, "chain_id", "left").select(
+        "chain_id", F.coalesce("differing_rows", F.lit(0)).cast("bigint").alias("differing_rows")
+    )
+
+
 def candidate_violations(
     changes: DataFrame, candidates: DataFrame, fragments: DataFrame, bindings: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -248,11 +279,26 @@ def candidate_violations(
     return expanded, found
 
 
+def state_violations(verdicts: DataFrame) -> DataFrame:
+    """E43 of every chain with a differing state row; ``detail`` says how many there are."""
+    return violation_rows(
+        verdicts.where("differing_rows > 0"),
+        code=F.lit("E43"),
+        chain_id=F.col("chain_id"),
+        detail=F.col("differing_rows"),
+    )
+
+
 def shadow_validation(
-    changes: DataFrame, candidates: DataFrame, fragments: DataFrame, bindings: DataFrame
+    changes: DataFrame,
+    candidates: DataFrame,
+    fragments: DataFrame,
+    bindings: DataFrame,
+    verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """Violations of a rebuild from nothing followed by the candidate."""
-    return candidate_violations(changes, candidates, fragments, bindings)[1]
+    """Violations of a rebuild from nothing followed by the candidate, and of its state if ``verdicts`` are given."""
+    found = candidate_violations(changes, candidates, fragments, bindings)[1]
+    return found if verdicts is None else found.unionByName(state_violations(verdicts))
 
 
 @dataclass
@@ -264,14 +310,21 @@ class Committed:
 
 
 def commit_candidates(
-    changes: DataFrame, candidates: DataFrame, fragments: DataFrame, bindings: DataFrame
+    changes: DataFrame,
+    candidates: DataFrame,
+    fragments: DataFrame,
+    bindings: DataFrame,
+    verdicts: DataFrame | None = None,
 ) -> Committed:
     """Turn every sound candidate into the next change of its chain.
 
     Includes are expanded in the stored text; placeholders stay, to be filled in when the
-    change is applied.
+    change is applied. With ``verdicts`` (``shadow_verdicts``) a chain whose state is not that of a
+    rebuild from nothing is refused (E43).
     """
     expanded, found = candidate_violations(changes, candidates, fragments, bindings)
+    if verdicts is not None:
+        found = found.unionByName(state_violations(verdicts))
     versions = next_versions(changes)
     full = versions.where(F.col("error_code").isNotNull())
     found = cut_lineage(

@@ -114,6 +114,7 @@ ERRORS = {
     "E40": "nothing to uncommit",
     "E41": "last change is already applied",
     "E42": "candidate is not empty",
+    "E43": "state differs from that of a clean rebuild",
     "E50": "applied log is missing and not managed",
     "E51": "rebuild not confirmed",
     "E60": "interpolation is not terminated",

@@ -179,3 +179,32 @@ def test_evolving_columns(spark):
     one = frame(spark, [(1,)], "id int")
     two = frame(spark, [(2, "m")], "id int, mail string")
     assert sorted(map(tuple, evolve_union(one, two).collect())) == [(1, None), (2, "m")]
+
+
+def test_altered_state_is_refused(spark, log):
+    """A state that is not that of a rebuild stops the commit of its chain, and only of that."""
+    effects = frame(spark, [(1, 1, "a", 1.0), (1, 2, "b", 2.0), (2, 1, "a", 4.0)], EFFECTS)
+    targets = frame(spark, [(10, 1), (20, 2)], TARGETS)
+    history = "target_id long, chain_id long, filename string, hash string, previous_hash string"
+    done = lifecycle.apply_pending(log, effects, empty(spark, STATE), empty(spark, history), targets)
+    bound = frame(spark, [(c, n, "x") for c in (1, 2) for n in ("S", "T")], BINDINGS)
+    for change, refused in ((0.0, set()), (0.5, {(1, "E43", "2")})):
+        held = done.state.withColumn("value", F.col("value") + F.when(F.col("key") == "b", change).otherwise(0.0))
+        verdicts = lifecycle.shadow_verdicts(lifecycle.Applied(held, done.writes, done.applied, done.summary), effects)
+        got = lifecycle.commit_candidates(
+            log, frame(spark, [(1, "select 1"), (2, "select 2")], CANDIDATES), empty(spark, SNIPPETS), bound, verdicts)
+        assert {(r.chain_id, r.error_code, r.detail) for r in got.violations.collect()} == refused
+        assert {r.chain_id for r in got.added.collect()} == {1, 2} - {c for c, _, _ in refused}
+
+
+def test_candidates_run_only_if_they_compile(spark, log):
+    effects = frame(spark, [(1, 1, "a", 1.0), (2, 1, "a", 4.0)], EFFECTS)
+    targets = frame(spark, [(10, 1), (20, 2)], TARGETS)
+    history = "target_id long, chain_id long, filename string, hash string, previous_hash string"
+    done = lifecycle.apply_pending(log, effects, empty(spark, STATE), empty(spark, history), targets)
+    writes = frame(spark, [(1, "a", 9.0), (2, "a", 8.0)], "chain_id long, key string, value double")
+    for body, runs in (("select :S", True), ("select :NOPE", False), ("--! include fixtures/none.sql", False), (" \n", False)):
+        got = lifecycle.run_compiled_candidate(
+            done, writes, frame(spark, [(1, body)], CANDIDATES), empty(spark, SNIPPETS), frame(spark, [(1, "S", "x")], BINDINGS))
+        values = {(r.chain_id, r.key): r.value for r in got.collect()}
+        assert values == {(1, "a"): 9.0 if runs else 1.0, (2, "a"): 4.0}
