@@ -646,6 +646,21 @@ ORACLE["commit_then_audit"] = f"""
 SELECT chain_id, version, CASE WHEN chain_id % 5 = 2 THEN 'E13' ELSE '' END AS error_codes
 FROM ({ORACLE["commit_candidates"]})"""
 
+_RECORDED = (_LOG, _APPLIED)
+ORACLE["applied_recorded"] = _with(*_RECORDED, select="SELECT * FROM applied")
+ORACLE["applied_refused"] = _with(*_RECORDED, select="""
+SELECT target_id, chain_id, 'x' || filename AS filename, hash, previous_hash, 'E18' AS error_code
+FROM applied WHERE CAST(filename[1:6] AS INTEGER) % 2 = 0
+UNION ALL
+SELECT target_id, chain_id, filename, sha256(hash), previous_hash, 'E17' FROM applied WHERE CAST(filename[1:6] AS INTEGER) % 2 = 1""")
+ORACLE["applied_of_chains"] = _with(*_RECORDED, select="""
+SELECT * FROM applied WHERE chain_id IN (SELECT chain_id FROM log WHERE version = 5)""")
+ORACLE["applied_if_present"] = _with(*_RECORDED, select="""
+SELECT target_id, chain_id, count(*) AS n_rows FROM applied GROUP BY ALL""")
+ORACLE["applied_log_states"] = _with(*_RECORDED, select="""
+SELECT '1 missing' AS step, false AS is_there, 0::BIGINT AS n_rows UNION ALL SELECT '2 required: E50', false, 0
+UNION ALL SELECT '3 made', true, 0 UNION ALL SELECT '4 filled', true, (SELECT count(*) FROM applied)""")
+
 ORACLE["stamp_diff"] = _with(_stamps(1), _stamps(2), select="""
 SELECT coalesce(a.path, b.path) AS path,
   CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed'

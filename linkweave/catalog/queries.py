@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,7 +23,7 @@ from linkweave.plans.audit import audit, audit_files as audit_of_files, log_viol
 from linkweave.plans.compile import compile_scripts as compile_candidates
 from linkweave.schemas import APPLIED_LOG, CANDIDATES
 from linkweave.session import fresh_path
-from linkweave.sources import files
+from linkweave.sources import files, tables
 from linkweave.sources.files import parse_changes
 from linkweave.sources.tables import applied_key_violations, current, put_candidates, read_bindings
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply, stream_change_files
@@ -418,6 +421,96 @@ def restored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current(spark, root, "candidates", CANDIDATES)
 
 
+# Applied logs
+
+
+@contextmanager
+def _applied_table(spark: SparkSession, manage: bool = True) -> Iterator[str]:
+    """The name of an applied log of its own, in the warehouse; what is read from it has to be stored before it goes."""
+    name = f"linkweave_applied_{uuid.uuid4().hex}"
+    if manage:
+        tables.ensure_applied_log(spark, name)
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _conversation_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given.stored(given.conversation_applied(spark, sf_dir, given.conversation_log(spark, sf_dir)))
+
+
+@query
+def applied_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories recorded in two appends, the second of which repeats the first, and read back."""
+    applied = _conversation_applied(spark, sf_dir)
+    with _applied_table(spark) as log:
+        tables.record_applied(applied.where("filename < '000004.sql'"), log)
+        tables.record_applied(applied, log)
+        return given.stored(tables.read_applied(spark, log).drop("applied_at"))
+
+
+@query
+def applied_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that name a recorded file with another hash, or a recorded hash under another name."""
+    applied = _conversation_applied(spark, sf_dir)
+    version = F.substring("filename", 1, 6).cast("int")
+    other = applied.select(
+        "target_id", "chain_id",
+        F.when(version % 2 == 0, F.concat(F.lit("x"), "filename")).otherwise(F.col("filename")).alias("filename"),
+        F.when(version % 2 == 1, F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"),
+        "previous_hash",
+    )
+    with _applied_table(spark) as log:
+        tables.record_applied(applied, log)
+        return tables.record_applied(other.unionByName(applied), log)
+
+
+@query
+def applied_of_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded rows of the longer chains, read from the buckets of these chains."""
+    applied = _conversation_applied(spark, sf_dir)
+    longer = given.conversation_bodies(spark, sf_dir).where("version = 5").select("chain_id")
+    with _applied_table(spark) as log:
+        tables.record_applied(applied, log)
+        return given.stored(tables.applied_of_chains(longer, log).drop("applied_at"))
+
+
+@query
+def applied_if_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded rows per target; a log that is not there counts as empty."""
+    applied = _conversation_applied(spark, sf_dir)
+    with _applied_table(spark) as log, _applied_table(spark, manage=False) as missing:
+        tables.record_applied(applied, log)
+        rows = tables.read_applied_if_present(spark, missing).unionByName(tables.read_applied_if_present(spark, log))
+        return given.stored(rows.groupBy("target_id", "chain_id").agg(F.count("*").alias("n_rows")))
+
+
+@query
+def applied_log_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the log is there and how many rows it has: before it is made, when it is required, made, filled."""
+    applied = _conversation_applied(spark, sf_dir)
+    states = []
+
+    def note(step: str, log: str) -> None:
+        rows = tables.read_applied_if_present(spark, log).agg(F.count("*").alias("n_rows"))
+        row = rows.select(F.lit(step).alias("step"), F.lit(tables.log_exists(spark, log)).alias("is_there"), "n_rows")
+        states.append(given.stored(row))
+
+    with _applied_table(spark, manage=False) as log:
+        note("1 missing", log)
+        try:
+            tables.ensure_applied_log(spark, log, manage=False)
+        except ValueError as refused:
+            note(f"2 required: {str(refused)[:3]}", log)
+        tables.ensure_applied_log(spark, log)
+        tables.ensure_applied_log(spark, log, manage=False)
+        note("3 made", log)
+        tables.record_applied(applied, log)
+        note("4 filled", log)
+    return reduce(DataFrame.unionByName, states)
+
+
 # Scripts
 
 

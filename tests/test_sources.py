@@ -123,6 +123,66 @@ def test_snapshots_are_published_last(spark, tmp_path):
     assert sorted(map(tuple, tables.current(spark, root, "candidates", CANDIDATES).collect())) == [(1, ""), (2, "c")]
 
 
+def test_an_append_reads_the_touched_buckets(spark):
+    table = "applied_buckets"
+    tables.ensure_applied_log(spark, table)
+    schema = "target_id long, chain_id long, filename string, hash string, previous_hash string"
+    tables.record_applied(spark.createDataFrame([(c, c, "000001.sql", f"h{c}", None) for c in range(200)], schema), table)
+    one = spark.createDataFrame([(7, 7, "000002.sql", "g", "h7"), (7, 7, "000001.sql", "h7", None)], schema)
+    plan = tables.applied_of_chains(one, table)._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "bucket" in filters.split("PartitionFilters: [")[1].split("]")[0]
+    read = tables.applied_of_chains(one, table)
+    assert len(read.inputFiles()) < 10 and [r.hash for r in read.collect()] == ["h7"]
+    assert tables.record_applied(one, table).isEmpty() and tables.read_applied(spark, table).count() == 201
+    spark.sql(f"INSERT INTO {table} (target_id, chain_id, filename, hash) VALUES (7, 7, '000003.sql', 'by hand')")
+    again = spark.createDataFrame([(7, 7, "000003.sql", "k", None), (7, 7, "000004.sql", "g", None)], schema)
+    assert sorted((r.filename, r.error_code) for r in tables.record_applied(again, table).collect()) == [
+        ("000003.sql", "E17"), ("000004.sql", "E18")]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """The second writer publishes between reading and publishing of the first; both edits are there afterwards."""
+    root = str(tmp_path)
+    tables.publish(spark.createDataFrame([(1, "")], CANDIDATES), root, "candidates")
+
+    def with_row(chain_id, body, meanwhile=()):
+        todo = list(meanwhile)
+
+        def change(old):
+            made = spark.createDataFrame([tuple(r) for r in old.collect()] + [(chain_id, body)], CANDIDATES)
+            if todo:
+                todo.pop()()
+            return made
+
+        return tables.update(spark, root, "candidates", CANDIDATES, change)
+
+    assert with_row(2, "b", [lambda: with_row(3, "c"), lambda: with_row(4, "d")]) == 4
+    latest = tables.current(spark, root, "candidates", CANDIDATES)
+    assert sorted(map(tuple, latest.collect())) == [(1, ""), (2, "b"), (3, "c"), (4, "d")]
+    with pytest.raises(tables.PublishConflict):
+        tables.publish(latest, root, "candidates", base=3)
+    assert not tables._claim(spark, root, "candidates", 4, "candidates/other")
+    assert tables.edit_candidates(spark.createDataFrame([(1, "x"), (2, "y")], CANDIDATES), root).collect()[0]["chain_id"] == 2
+    assert sorted(map(tuple, tables.current(spark, root, "candidates", CANDIDATES).collect())) == [(1, "x"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+
+    def write(i):
+        return tables.update(
+            spark, root, "candidates", CANDIDATES,
+            lambda old: old.unionByName(spark.createDataFrame([(i, "x")], CANDIDATES)), attempts=50)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(write, range(6)))
+    assert sorted(versions) == list(range(1, 7))
+    assert sorted(r.chain_id for r in tables.current(spark, root, "candidates", CANDIDATES).collect()) == list(range(6))
+
+
 def test_bindings_are_interpolated(spark, tmp_path):
     (tmp_path / "b.json").write_text(
         '{"chain_id": 1, "name": "A", "value": "${HOME_X:-d}/x"}\n{"chain_id": 1, "name": "B", "value": "${NOPE}"}\n')
