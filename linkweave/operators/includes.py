@@ -110,13 +110,16 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
     A repeated fragment is followed again only from a place that comes earlier in
     depth-first order than any before. That ends cycles and keeps the work per root at
     its number of fragments, yet everything ahead of a root's first fault is seen.
+
+    A level writes its occurrences and, of these, the places that are new or earlier than before; nothing that
+    earlier levels wrote is written again. Its places are looked up in the earlier ones by (root, path).
     """
     edges = cut_lineage(include_edges(roots, fragments), "edges")
     frontier = roots.select(
         *ROOT, F.array().cast("array<int>").alias("key"), F.col("root").alias("path")
     )
     spark, place = roots.sparkSession, fresh_path(roots.sparkSession, "occurrences")
-    best, depth = None, 0
+    firsts, depth = fresh_path(spark, "first-places"), 0
     while True:
         found = (
             frontier.withColumnRenamed("path", "source")
@@ -131,27 +134,28 @@ def traverse(roots: DataFrame, fragments: DataFrame) -> Traversal:
         if not rows.get["rows"]:
             break
         level = spark.read.schema(found.schema).parquet(f"{place}/depth={depth}")
-        best = cut_lineage(_best_keys(level, best), "best")
-        frontier = best.where("fresh").select(*ROOT, "key", "path")
+        places = _earlier_places(level, spark.read.schema(frontier.schema).parquet(firsts) if depth else None)
+        places.write.parquet(f"{firsts}/depth={depth}")
+        frontier = spark.read.schema(frontier.schema).parquet(f"{firsts}/depth={depth}")
         depth += 1
     # One table of all levels, however many there are.
     return Traversal(spark.read.schema(found.schema).parquet(place).select(*OCCURRENCE), edges)
 
 
-def _best_keys(level: DataFrame, best: DataFrame | None) -> DataFrame:
-    """The earliest key of every fragment so far; ``fresh`` if ``level`` brought it.
+def _earlier_places(level: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The first place in ``level`` of each fragment that has none in ``before``, or only later ones.
 
-    One aggregation over the running table and the new level decides; faulty places and
-    the root itself are not followed.
+    Faulty places and the root itself are not followed.
     """
-    columns = [*ROOT, "path", "key"]
-    seen = level.where("code is null and path <> root").select(*columns, F.lit(True).alias("new"))
-    if best is not None:
-        seen = seen.unionByName(best.select(*columns, F.lit(False).alias("new")))
-    known = F.min(F.when(~F.col("new"), F.col("key")))
-    return seen.groupBy(*ROOT, "path").agg(
-        F.min("key").alias("key"), (known.isNull() | (F.min("key") < known)).alias("fresh")
+    columns = [*ROOT, "key", "path"]
+    found = level.where("code is null and path <> root").groupBy(*ROOT, "path").agg(F.min("key").alias("key"))
+    if before is None:
+        return found.select(*columns)
+    known = (
+        before.join(found.select(*ROOT, "path"), [*ROOT, "path"], "left_semi")
+        .groupBy(*ROOT, "path").agg(F.min("key").alias("known"))
     )
+    return found.join(known, [*ROOT, "path"], "left").where("known is null or key < known").select(*columns)
 
 
 def expand_includes(roots: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:

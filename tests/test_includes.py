@@ -139,3 +139,19 @@ def test_compile_expands_then_resolves(spark):
     assert {r.chain_id: (r.compiled, r.error_code) for r in got.collect()} == {
         1: ("use main;\nselect ':S' from main.t", None), 2: (None, "E36"), 3: (None, "E34"),
     }
+
+
+def test_levels_write_what_is_new(spark, monkeypatch):
+    """Two roots above one chain of fragments and a loop back: each place below a root is written once."""
+    folders = []
+    from linkweave.operators import includes as module
+    monkeypatch.setattr(module, "fresh_path", lambda s, label, keep=module.fresh_path: folders.append(keep(s, label)) or folders[-1])
+    depth = 12
+    fragments = [(1, f"fixtures/f{i}.sql", f"{INC}f{i + 1}.sql\n" if i + 1 < depth else f"{INC}f3.sql\nend") for i in range(depth)]
+    roots = spark.createDataFrame([(1, r, f"{INC}fixtures/f0.sql") for r in ("a.sql", "b.sql")], "chain_id long, root string, text string")
+    walk = traverse(roots, spark.createDataFrame(fragments, "chain_id long, path string, text string"))
+    assert walk.closure().count() == 2 * depth
+    occurrences, firsts = folders[-2:]
+    assert spark.read.parquet(firsts).count() == 2 * depth
+    assert spark.read.parquet(occurrences).count() == 2 * (depth + 1)
+    assert {r.error_code for r in walk.violations().collect()} == {"E33"}
