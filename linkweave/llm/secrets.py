@@ -174,9 +174,22 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_sql_spans('assign', ASSIGN, 2, 'length(val) >= 8')},
 {_sql_spans('access', ACCESS, 0, 'length(val) >= 16')},
 {_sql_spans('hex', '[0-9a-f]+', 0, 'length(val) >= 32')},
-{_sql_spans('weak', '[A-Za-z0-9+/=]{40,}', 0, "length(val) = 40 AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]')")},
+{_sql_spans('whole', '[A-Za-z0-9+/=]{40,}', 0, "length(val) = 40 AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]')")},
 {_sql_spans('url', ENDPOINT, 0, 'true')},
-base AS (
+{_sql_spans('run', f'{_B}+', 0, 'length(val) BETWEEN 38 AND 40')},
+beside AS (
+  SELECT r.*, CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END AS before, substr(t, e + 1, 3) AS after, t FROM run r JOIN d USING (doc_id)
+), valued AS (
+  SELECT doc_id, s, s + 40 AS e, substr(t, s + 1, 40) AS val FROM beside
+  WHERE (e - s = 40 AND (before = '=' OR after[1] = '='))
+     OR (before = '=' AND e - s = 39 AND regexp_matches(after, '^=($|[^A-Za-z0-9+/=])'))
+     OR (before = '=' AND e - s = 38 AND regexp_matches(after, '^==($|[^A-Za-z0-9+/=])'))
+), weak AS (
+  SELECT doc_id, s, e FROM whole
+  UNION
+  SELECT doc_id, s, e FROM valued v WHERE regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM assign a WHERE a.doc_id = v.doc_id AND a.s < v.e AND v.s < a.e)
+), base AS (
   SELECT doc_id, s, 0 AS k, e, 'assign' AS kind FROM assign UNION ALL SELECT doc_id, s, 1, e, 'access' FROM access
   UNION ALL SELECT doc_id, s, 2, e, 'hex' FROM hex
 ), linked AS (
