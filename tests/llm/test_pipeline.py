@@ -3,6 +3,7 @@ from __spark_entry__ import oracle_sql, queries
 from linkweave.llm.decontamination import contamination_report
 from linkweave.llm.minhash import near_duplicates
 from linkweave.llm.common import table
+from tests.llm.samples import docs, prose, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,49 @@ def test_stages_one_after_another(spark):
         counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] > counts[3] and counts[4] == counts[5]
     assert corpus_pipeline.run(spark, SF).count() == counts[5]
+
+
+BENCH = "item_id bigint, text string"
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def stored(spark, folder, documents, labels=(), benchmark=()):
+    for name, df in (
+        ("documents", documents), ("labels", spark.createDataFrame(list(labels), LABELS)),
+        ("benchmark", spark.createDataFrame(list(benchmark), BENCH)),
+    ):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_empty_tables_go_through(spark, tmp_path):
+    sf = stored(spark, tmp_path, docs(spark, []))
+    empty = docs(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.collect() == [] and (name == "sharding" or out.columns == empty.columns)
+    assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_awkward_rows_and_clashing_columns_go_through(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, columns named as the stages name theirs."""
+    leaked = "zeta eta theta iota kappa lamda mu nu xi omicron pi"
+    data = texts() + [(50, f"before {leaked} after"), (51, leaked)]
+    data += [(1000 + i, f"{prose(500 + i, 40)} {'grumblor' if i % 2 else ''} {prose(700 + i, 30)}") for i in range(30)]
+    labels = [(1000 + i, 0, i % 2) for i in range(30)] + [(None, None, None), (1, None, 0)]
+    sf = stored(spark, tmp_path, docs(spark, data), labels, [(1, leaked), (2, None), (3, "")])
+    given = table(spark, sf, "documents")
+    rest = given
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, rest = rest, stage(spark, rest, sf)
+        assert rest.schema.names == given.schema.names, name
+        rest = spark.createDataFrame(rest.collect(), rest.schema)
+        assert rest.exceptAll(before).isEmpty(), name
+    ids = {r["doc_id"] for r in rest.collect()}
+    assert not ids & {50, 51} and not ids & {3} and {4, 8, 12} <= ids
+    kept = corpus_pipeline.run(spark, sf).collect()
+    slots = {}
+    for r in kept:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert kept and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 or len(slots) < 24

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 from linkweave.llm.common import global_row_numbers
-from linkweave.llm.sharding import assign_shards, feistel
+from linkweave.llm.sharding import ROUNDS, SEED, assign_shards, feistel
 from tests.llm.samples import docs, rows, texts
 
 NAMES = ("doc_id", "size", "text_crc32", "shard", "slot")
@@ -49,3 +50,44 @@ def test_row_numbers(spark):
     numbered, total = global_row_numbers(spark.range(1000).selectExpr("id % 7 as place", "id"), ["place", "id"], "slab")
     found = sorted((r["slab"], r["place"], r["id"]) for r in numbered.collect())
     assert total == 1000 and [f[0] for f in found] == list(range(1000)) and [f[1:] for f in found] == sorted(f[1:] for f in found)
+
+
+def plain_place(number, total, seed, rounds):
+    """The permuted number by Python integers, from the description of the network alone."""
+    bits = 1
+    while 4**bits < total:
+        bits += 1
+    keys = []
+    for i in range(rounds):
+        digest = hashlib.sha256(f"{seed}:{i}".encode()).digest()
+        keys.append([int.from_bytes(digest[k:k + 8], "big") % (2**31 - 2) + 1 for k in (0, 8, 16)])
+    while True:
+        high, low = divmod(number, 2**bits)
+        for a, b, c in keys:
+            t = (low * a + b) % (2**31 - 1)
+            t = (t * t + c) % (2**31 - 1)
+            high, low = low, high ^ ((t ^ (t >> 13)) % 2**bits)
+        number = high * 2**bits + low
+        if number < total:
+            return number
+
+
+@pytest.mark.parametrize("total", [2, 3, 5, 17, 64, 65, 1000])
+def test_permutation_by_plain_integers(total):
+    got = feistel(np.arange(total, dtype=np.uint64), total).tolist()
+    assert got == [plain_place(i, total, SEED, ROUNDS) for i in range(total)]
+
+
+def test_places_by_a_plain_sort(spark):
+    """Rows sorted in Python along id (null first), CRC-32 and size; where those are equal, places are a set."""
+    data = texts() + [(i % 40, f"text {i % 30}") for i in range(200)]
+    key = lambda i, t: (i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8)
+    expected = {}
+    for number, (i, t) in enumerate(sorted(data, key=lambda r: key(*r))):
+        place = plain_place(number, len(data), SEED, ROUNDS)
+        expected.setdefault(key(i, t), []).append((place % 7, place // 7))
+    found = {}
+    for r in assign_shards(docs(spark, data), shards=7).collect():
+        at = (r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
+        found.setdefault(at, []).append((r["shard"], r["slot"]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from linkweave.llm.toxicity import (
-    HIDDEN, WINDOW, SampleBounds, _forward_backward, fit, held_out, labelled_sample, tokens_of, toxicity_report, windows_of, without_toxic,
+    GRAM_DIM, GRAMS, HIDDEN, WINDOW, WORD_DIM, SampleBounds, _forward_backward, fit, held_out, labelled_sample, tokens_of, toxicity_report, windows_of, without_toxic,
 )
 from tests.llm.samples import docs, prose, texts
 
@@ -103,3 +103,54 @@ def test_one_class_and_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert len(toxicity_report(docs(spark), labels).collect()) == len(texts())
     assert toxicity_report(docs(spark, []), labels).collect() == []
+
+
+def plain_score(model, text):
+    """The score by loops over tokens and cells, from the weights and the rules alone."""
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def inputs(token):
+        vector = np.zeros(WORD_DIM + GRAM_DIM)
+        if token is None:
+            return w["bx"]
+        vector[:WORD_DIM] = w["words"][model.words.get(token, 0)]
+        cells, grams = bytes([2]) + token + bytes([3]), []
+        for n in (3, 4, 5):
+            for i in range(len(cells) - n + 1):
+                h = 0
+                for c in cells[i:i + n]:
+                    h = (h * 2654435761 + c + n) % 2**32
+                h = ((h ^ (h >> 15)) * 2246822519) % 2**32 >> 19
+                grams.append(h % (GRAMS - 1) + 1)
+        vector[WORD_DIM:] = sum((w["grams"][g] for g in grams), np.zeros(GRAM_DIM)) / max(len(grams), 1)
+        return vector @ w["wx"] + w["bx"]
+
+    tokens = tokens_of(text)
+    logits = []
+    for start in windows_of(len(tokens)):
+        part = tokens[start:start + WINDOW]
+        part = part + [None] * (WINDOW - len(part))
+        xs, sides = [inputs(t) for t in part], []
+        for d in (0, 1):
+            h, states = np.zeros(HIDDEN), [None] * WINDOW
+            for t in reversed(range(WINDOW)) if d else range(WINDOW):
+                x, a = xs[t][d * 3 * HIDDEN:(d + 1) * 3 * HIDDEN], h @ w[f"u{d}"]
+                z, r = sigmoid(x[:HIDDEN] + a[:HIDDEN]), sigmoid(x[HIDDEN:2 * HIDDEN] + a[HIDDEN:2 * HIDDEN])
+                c = np.tanh(x[2 * HIDDEN:] + r * a[2 * HIDDEN:])
+                h = z * h + (1 - z) * c
+                states[t] = h
+            sides.append(states)
+        both = [np.concatenate([f, b]) for f, b in zip(*sides)]
+        real = [t for t in range(WINDOW) if part[t] is not None] or list(range(WINDOW))
+        share = np.exp([both[t] @ w["attend"] for t in real])
+        pooled = sum(s * both[t] for s, t in zip(share / share.sum(), real))
+        logits.append(pooled @ w["out"] + w["b"][0])
+    return sigmoid(max(logits) + model.shift)
+
+
+def test_scores_as_a_plain_loop():
+    train = corpus(200, 3)
+    model = fit([t for _, t, _ in train], [y for *_, y in train], epochs=3)
+    given = [t for _, t in texts() if len(t or "") < 5000] + [t for _, t, _ in corpus(20, 4)] + [prose(98, 33), prose(97, 32), "a", "-"]
+    assert np.allclose(model.score(given), [plain_score(model, t) for t in given], atol=2e-4)
