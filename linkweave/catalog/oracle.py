@@ -777,6 +777,10 @@ snippets AS (
   SELECT chain_id, 'fixtures/sub/more.sql', '--! include ../base.sql' || chr(10) || 'select :SCHEMA_NAME.x'
   FROM candidates WHERE chain_id % 4 <> 1)"""
 ORACLE["scanned_candidates"] = _with(_CANDIDATES, select="SELECT chain_id, body FROM candidates")
+ORACLE["watched_candidates"] = _with(_CANDIDATES, select="""
+SELECT chain_id, 1 AS state, body FROM candidates
+UNION ALL SELECT chain_id, 2, CASE WHEN chain_id % 3 = 1 THEN '-- edited' || chr(10) || body ELSE '' END
+FROM candidates WHERE chain_id % 3 > 0""")
 ORACLE["scanned_snippets"] = _with(_CANDIDATES, _SNIPPETS, select="SELECT chain_id, path, text FROM snippets")
 ORACLE["scanned_stamps"] = _with(_LOG, _CANDIDATES, _SNIPPETS, select=f"""
 SELECT path, octet_length(encode(text))::BIGINT AS size, true AS has_time FROM (

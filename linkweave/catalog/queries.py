@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkweave.catalog import inputs as given
 from linkweave.functions.headers import candidate_error, parse_change, render_change
@@ -29,6 +29,7 @@ from linkweave.sources.tables import applied_key_violations, current, put_candid
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply, stream_change_files
 from linkweave.streaming.common import DEFAULT_INTERVAL, triggered
 from linkweave.streaming.detect import ChangeDetector
+from linkweave.streaming.watch import FileWatcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -263,6 +264,30 @@ def streamed_change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_changes(spark.read.parquet(out))
 
 
+@query
+def watched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state of the candidates' files: as they were made, then some edited and some emptied, between polls."""
+    root, out, roots = (fresh_path(spark, label) for label in ("watched", "watch", "roots"))
+    uri = f"file://{root}" if root.startswith("/") else root
+    path = F.concat_ws("/", F.col("chain_id").cast("string"), F.lit("current.sql")).alias("path")
+    candidates = given.stored(given.conversation_candidates(spark, sf_dir))
+    candidates.select(F.concat_ws("/", F.lit(uri), F.col("chain_id").cast("string")).alias("root")).write.parquet(roots)
+    watcher = FileWatcher(out, roots if "://" in roots else f"file://{roots}")
+
+    def poll(rows: DataFrame) -> None:
+        files.export_files(rows.select(path, F.col("body").alias("text")), uri)
+        watcher.start(spark, f"{out}/checkpoint", available_now=True).awaitTermination()
+
+    poll(candidates)
+    edited = F.when(F.col("chain_id") % 3 == 1, F.concat(F.lit("-- edited\n"), "body")).otherwise("")
+    poll(candidates.where("chain_id % 3 > 0").withColumn("body", edited))
+    return watcher.files(spark).select(
+        F.regexp_extract("path", r"/([0-9]+)/current\.sql\z", 1).cast("bigint").alias("chain_id"),
+        F.row_number().over(Window.partitionBy("path").orderBy("tick")).alias("state"),
+        F.col("content").cast("string").alias("body"),
+    )
+
+
 @query
 def change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written as one table of rendered texts and parsed back."""
