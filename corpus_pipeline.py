@@ -24,22 +24,27 @@ from linkweave.session import cut_lineage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows below the cut. Null and empty texts score like padding; without labelled rows nothing is learned and a constant decides."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group. A text of fewer than five words is one shingle; texts without words are in no group and stay."""
     return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any occurrence; null and empty texts and items have no words, so they stay and match nothing."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of whole rows, repeated ids and null sources too; an empty table gives an empty mix."""
     return mixed_copies(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A place for every row, equal ones too; null texts count as empty."""
     return assign_shards(docs)
 
 
