@@ -768,7 +768,7 @@ FROM changes GROUP BY chain_id, key""")
 
 _SCANNED = _with(_LOG, select="""
 SELECT chain_id, version, filename, previous_hash, hash, body, CAST(NULL AS VARCHAR) AS error_code FROM log""")
-for _name in ("scanned_changes", "streamed_change_files", "change_table"):
+for _name in ("scanned_changes", "streamed_change_files", "change_table", "committed_files"):
     ORACLE[_name] = _SCANNED
 _SNIPPETS = """
 snippets AS (

@@ -24,6 +24,7 @@ from linkweave.plans.compile import compile_scripts as compile_candidates
 from linkweave.schemas import APPLIED_LOG, CANDIDATES
 from linkweave.session import fresh_path
 from linkweave.sources import files, tables
+from linkweave.sources.committed import commit_changes
 from linkweave.sources.files import parse_changes
 from linkweave.sources.tables import applied_key_violations, current, put_candidates, read_bindings
 from linkweave.streaming.apply import CHANGE_EVENTS, ContinuousApply, stream_change_files
@@ -264,6 +265,16 @@ def streamed_change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_changes(spark.read.parquet(out))
 
 
+@query
+def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log committed as files in two commits, the second of which repeats part of the first, and scanned."""
+    root, log = fresh_path(spark, "committed"), given.stored(given.conversation_log(spark, sf_dir))
+    root = f"file://{root}" if root.startswith("/") else root
+    commit_changes(log.where("version <= 4"), root)
+    commit_changes(log.where("version >= 3"), root)
+    return parse_changes(files.scan_changes(spark, root))
+
+
 @query
 def watched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every state of the candidates' files: as they were made, then some edited and some emptied, between polls."""
