@@ -35,7 +35,8 @@ class ChangeDetector:
     ``lateness`` is what it may lag behind the latest one of earlier batches (an SQL expression like
     ``INTERVAL 2 HOURS`` or ``10``); rows farther behind are dropped and counted. Without it every row is
     taken, and all rows are kept. ``expiry`` is of the same kind: a key whose last row is older than both together counts as
-    new again. Rows without a time come first and are never late.
+    new again. Rows without a time come first and are never late. A row at a place of its key that an earlier batch
+    has taken is dropped, so a row that is delivered again does no harm.
     """
 
     root: str
@@ -70,7 +71,10 @@ class ChangeDetector:
             seen, F.count(F.when(on_time, 1)).alias("rows"), F.count(F.when(~on_time, 1)).alias("late"),
             F.max(self._time()).alias("latest"),
         )
-        rows.add(taken.where(on_time), batch_id)
+        fresh = taken.where(on_time)
+        if held:
+            fresh = self._matching(fresh, rows.before(spark, batch_id), [*self.keys, *self.order], "left_anti")
+        rows.add(fresh, batch_id)
         found = seen.get
         times = [t for t in (latest, found["latest"]) if t is not None]
         self._note(spark, batch.schema, batch_id, (max(times, default=None), held + found["rows"], found["late"]))
@@ -78,8 +82,8 @@ class ChangeDetector:
         names = rows.schema.fieldNames()
         new = rows.added(spark, batch_id).select(*names)
         if held:
-            sides = self._touched(rows.before(spark, batch_id), new)
-            sides = sides.select(*names, F.explode(F.array(F.lit(True), F.lit(False))).alias("_with"))
+            kept = self._matching(rows.before(spark, batch_id), new, self.keys, "left_semi")
+            sides = kept.select(*names, F.explode(F.array(F.lit(True), F.lit(False))).alias("_with"))
             sides = sides.unionByName(new.withColumn("_with", F.lit(True)))
         else:
             sides = new.withColumn("_with", F.lit(True))
@@ -127,11 +131,12 @@ class ChangeDetector:
         """A Python time without a zone would count as one of the session's zone."""
         return F.lit(str(value) if value is not None and isinstance(kind, TimestampNTZType) else value).cast(kind)
 
-    def _touched(self, kept: DataFrame, new: DataFrame) -> DataFrame:
-        """Kept rows of the keys of ``new``, null keys too."""
-        touched = new.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])
-        return kept.join(touched, same, "left_semi")
+    @staticmethod
+    def _matching(rows: DataFrame, other: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+        """``rows`` with, or without, a row in ``other`` of the same ``columns``; null is equal to null."""
+        there = other.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct()
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+        return rows.join(there, same, how)
 
     def _open(self, rows: DataFrame, horizon: Column | None) -> DataFrame:
         """Rows that may still get a neighbour: those from the horizon on, and the last one of each key before it."""

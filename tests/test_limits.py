@@ -56,7 +56,7 @@ def test_unbound_name_stops_at_the_good_prefix(spark):
 
 
 def _detect(spark, kind, batches):
-    detector = ChangeDetector(fresh_path(spark, "late"), ["k"], ["ts"], "s", F.lit(0), fold_every=2)
+    detector = ChangeDetector(fresh_path(spark, "late"), ["k"], ["ts"], "s", "0", fold_every=2)
     schema = f"k bigint, ts bigint, s {kind}"
     for n, rows in enumerate(batches):
         detector.process(spark.createDataFrame([(1, *r) for r in rows], schema), n)
