@@ -787,3 +787,4 @@ SELECT path, octet_length(encode(text))::BIGINT AS size, true AS has_time FROM (
   SELECT chain_id || '/committed/' || filename AS path, {_RENDERED} AS text FROM log
   UNION ALL SELECT chain_id || '/current.sql', body FROM candidates
   UNION ALL SELECT chain_id || '/' || path, text FROM snippets)""")
+ORACLE["stamps_of_projects"] = ORACLE["scanned_stamps"]

@@ -255,6 +255,17 @@ def scanned_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.select(inside.alias("path"), "size", (F.col("modified_ms") > 0).alias("has_time"))
 
 
+@query
+def stamps_of_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As scanned_stamps, with a table of roots: every project folder is one, some are named twice."""
+    root = _exported(spark, sf_dir)
+    named = given.conversation_log(spark, sf_dir).select("chain_id").union(given.conversation_candidates(spark, sf_dir).select("chain_id"))
+    named = named.union(given.conversation_snippets(spark, sf_dir).select("chain_id"))
+    stamps = files.scan_stamps_of(named.select(F.concat_ws("/", F.lit(root), F.col("chain_id").cast("string")).alias("root")), 1)
+    inside = F.regexp_extract("path", r"/linkweave-projects-[^/]*/(.*)\z", 1)
+    return stamps.select(inside.alias("path"), "size", (F.col("modified_ms") > 0).alias("has_time"))
+
+
 @query
 def streamed_change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change files of the projects as a stream delivers them."""

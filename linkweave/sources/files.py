@@ -1,11 +1,10 @@
 """Folders of projects: ``<root>/<chain_id>/{committed/*.sql, current.sql, fixtures/**}``.
 
-Spark lists and reads the files; each file is one row, its text whole.
+Tasks list and read the files; each file is one row, its text whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,51 +17,38 @@ from linkweave.functions.text import parse_version, version_filename
 from linkweave.operators.violations import violation_rows
 from linkweave.schemas import CANDIDATES, SNIPPETS, STAMPS
 from linkweave.sources.listing import (
-    FILES, below, empty_files, folder_faults, project_folders,
+    folder_faults, project_files, project_folders, read_contents, stamps_of_roots,
 )
 
+
+_FOUND = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def _files(spark: SparkSession, pattern: str, **options: str) -> DataFrame:
     try:
         return spark.read.format("binaryFile").options(**options).load(pattern)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], FILES)
+            return spark.createDataFrame([], _FOUND)
         raise
 
 
-def _project_files(spark: SparkSession, root: str, name: str, **options: str) -> DataFrame:
-    """Files of ``<root>/*/<name>``, empty ones with them."""
-    folders = below(project_folders(spark, root), name)
-    recursive = options.get("recursiveFileLookup") == "true"
-    return _files(spark, f"{root}/*/{name}", **options).unionByName(empty_files(folders, recursive))
-
-
-def _inside(root: str) -> str:
-    """A pattern for paths right below ``root`` as Spark prints them: scheme, authority, root."""
-    path = re.sub(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
-    return rf"\A(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/]*)?\Q{path}\E/"
-
-
-def _chain_id(root: str, folder: str) -> Column:
-    """The number of the project folder; null where it is no number that can be an id."""
-    found = F.regexp_extract("path", rf"{_inside(root)}([0-9]+)/{folder}(?:/|\z)", 1)
-    return found.try_cast("bigint")
-
-
 def _text() -> list[Column]:
     """``text``, null where the bytes are not UTF-8."""
     text = F.col("content").cast("string")
     return [F.when(F.is_valid_utf8(text), text).alias("text")]
 
 
+def _project_texts(spark: SparkSession, root: str, name: str, **options) -> DataFrame:
+    """``chain_id, inside, text`` of the files of ``name`` in every project."""
+    found = read_contents(project_files(project_folders(spark, root), name, **options))
+    return found.select("chain_id", "inside", *_text())
+
+
 def scan_changes(spark: SparkSession, root: str) -> DataFrame:
     """Committed files ``(chain_id, filename, text)``; sub-folders are not entered."""
-    found = _project_files(spark, root, "committed", pathGlobFilter="*.sql")
-    return found.where(F.col("path").endswith(".sql")).select(
-        _chain_id(root, "committed").alias("chain_id"),
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        *_text(),
-    ).where(F.col("chain_id").isNotNull())
+    found = _project_texts(spark, root, "committed", suffix=".sql")
+    return found.select("chain_id", F.element_at(F.split("inside", "/"), -1).alias("filename"), "text")
 
 
 def parse_changes(files: DataFrame) -> DataFrame:
@@ -161,13 +147,8 @@ def read_written_changes(spark: SparkSession, out: str) -> DataFrame:
 
 def read_candidates(spark: SparkSession, root: str) -> DataFrame:
     """The candidate of each chain, whole."""
-    return (
-        _project_files(spark, root, "current.sql")
-        .select(_chain_id(root, "current.sql").alias("chain_id"), *_text())
-        .where(F.col("chain_id").isNotNull())
-        .select("chain_id", F.col("text").alias("body"))
-        .to(CANDIDATES)
-    )
+    found = _project_texts(spark, root, "current.sql")
+    return found.where(F.col("inside") == "current.sql").select("chain_id", F.col("text").alias("body")).to(CANDIDATES)
 
 
 def folder_violations(spark: SparkSession, root: str) -> DataFrame:
@@ -182,26 +163,32 @@ def folder_violations(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_snippets(spark: SparkSession, root: str) -> DataFrame:
     """Fragments below ``fixtures``, with their path inside the project."""
-    return (
-        _project_files(spark, root, "fixtures", recursiveFileLookup="true")
-        .select(
-            _chain_id(root, "fixtures").alias("chain_id"),
-            F.regexp_extract("path", rf"{_inside(root)}[0-9]+/(fixtures/.*)\z", 1).alias("path"),
-            *_text(),
-        )
-        .where(F.col("chain_id").isNotNull())
-        .to(SNIPPETS)
-    )
+    found = _project_texts(spark, root, "fixtures", recursive=True)
+    return found.where(F.col("inside").startswith("fixtures/")).select("chain_id", F.col("inside").alias("path"), "text").to(SNIPPETS)
 
 
 def scan_stamps(spark: SparkSession, roots: list[str], snapshot_id: int) -> DataFrame:
-    """Path, change time and size of all files below ``roots``; contents are not read."""
-    found = empty_files(spark.createDataFrame([(r,) for r in roots], "folder string"), True)
+    """Path, change time and size of all files below a few ``roots``; contents are not read. See ``scan_stamps_of``."""
+    listed = stamps_of_roots(spark.createDataFrame([(r,) for r in roots], "root string"))
+    printed = F.when(F.col("path").startswith("/"), F.concat(F.lit("file:"), "path")).otherwise(F.col("path"))
+    found = listed.where("size = 0").select(printed.alias("path"), "modified_ms", "size")
     for root in roots:
-        found = found.unionByName(_files(spark, root, recursiveFileLookup="true"))
-    return found.select(
-        F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
-        "path",
-        F.unix_millis("modificationTime").alias("modified_ms"),
-        F.col("length").alias("size"),
-    ).to(STAMPS)
+        full = _files(spark, root, recursiveFileLookup="true").where("length > 0")
+        found = found.unionByName(
+            full.select("path", F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size"))
+        )
+    return _as_stamps(found, snapshot_id)
+
+
+def scan_stamps_of(roots: DataFrame, snapshot_id: int) -> DataFrame:
+    """The same below every ``root`` of a table, listed by tasks: one plan for any number of roots.
+
+    Null roots are passed over, roots without files give no rows, repeated roots count once; a file below two
+    roots has one row. Symbolic links are not followed. Other columns are not read.
+    """
+    listed = stamps_of_roots(roots).groupBy("path").agg(F.max("modified_ms").alias("modified_ms"), F.max_by("size", "modified_ms").alias("size"))
+    return _as_stamps(listed, snapshot_id)
+
+
+def _as_stamps(found: DataFrame, snapshot_id: int) -> DataFrame:
+    return found.select(F.lit(snapshot_id).cast("bigint").alias("snapshot_id"), "path", "modified_ms", "size").to(STAMPS)

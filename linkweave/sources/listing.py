@@ -1,67 +1,110 @@
-"""What Spark's file sources leave out: empty files, and folders that should or should not be.
+"""Projects and their files, listed and read by tasks.
 
-Spark skips files of length zero, yet an empty change, candidate or fragment means
-something here. The driver lists the project folders, one name each, as Spark does for a
-glob; the tasks look inside them. No content is read.
+The driver knows the root and nothing below it: one task lists the root and passes the project folders on as
+rows, others look inside the folders, and others again read the files they found, dealt out one by one, so that a project
+with very many files is read by all. Plans have the same size however many projects there are. Empty files
+are files like others: an empty change, candidate or fragment means something here.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-FILES = "path string, modificationTime timestamp, length bigint, content binary"
+FOLDERS = "chain_id bigint, folder string"
+LISTED = "chain_id bigint, folder string, inside string"
+CONTENTS = "chain_id bigint, inside string, content binary"
+_ROWS = 10_000  # of a batch of names
+_BYTES = 32 << 20  # of a batch of contents, but for one larger file
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def _spark_path(uri: str, base: str, path: str) -> str:
-    """``path`` below ``base`` the way Spark's sources print it for ``uri``."""
-    scheme, mark, _ = uri.partition("://")
-    if not mark or scheme == "file":
-        return "file:" + path
-    return uri.rstrip("/") + path[len(base.rstrip("/")):]
+def _batches(rows: Iterator[tuple], names: list[str], most: int = _ROWS) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64() if n == "chain_id" else pa.string() for n in names]
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+
+def _parts(spark: SparkSession) -> int:
+    """Tasks of a listing; a number of its own, since adaptive execution would put short names into one task."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def project_folders(spark: SparkSession, root: str) -> DataFrame:
-    """``(chain_id, folder)`` for every numbered folder of ``root``."""
-    system, base = _open(root)
-    found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    names = [info.base_name for info in found if info.type == fs.FileType.Directory]
-    rows = [(int(name), f"{root.rstrip('/')}/{name}") for name in names if name.isascii() and name.isdecimal() and int(name) < 2**63]
-    folders = spark.createDataFrame(rows, "chain_id bigint, folder string")
-    return folders.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
+    """``(chain_id, folder)`` for every numbered folder of ``root``; none if there is no such folder."""
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("root").to_pylist():
+                system, base = _open(uri)
+                found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+                named = ((i.base_name, f"{uri.rstrip('/')}/{i.base_name}") for i in found if i.type == fs.FileType.Directory)
+                rows = ((int(n), f) for n, f in named if n.isascii() and n.isdecimal() and int(n) < 2**63)
+                yield from _batches(rows, ["chain_id", "folder"])
 
-def empty_files(folders: DataFrame, recursive: bool) -> DataFrame:
-    """Files of length zero in (or, if ``recursive``, below) each ``folder``."""
+    roots = spark.createDataFrame([(root,)], "root string").coalesce(1)
+    return roots.mapInArrow(look, FOLDERS).repartition(_parts(spark), "folder")
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def project_files(folders: DataFrame, name: str, suffix: str = "", recursive: bool = False) -> DataFrame:
+    """``(chain_id, folder, inside)``: the files of ``name`` in each project, or ``name`` itself if it is a file.
+
+    ``inside`` is the path below the project. A name that is all suffix does not have it.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for chain_id, uri in zip(batch.column("chain_id").to_pylist(), batch.column("folder").to_pylist()):
+                    system, base = _open(uri)
+                    start = f"{base.rstrip('/')}/{name}"
+                    found = [system.get_file_info(start)]
+                    if found[0].type == fs.FileType.Directory:
+                        found = system.get_file_info(fs.FileSelector(start, allow_not_found=True, recursive=recursive))
+                    for info in found:
+                        has = info.base_name.endswith(suffix) and info.base_name != suffix
+                        if info.type == fs.FileType.File and has:
+                            yield chain_id, uri, info.path[len(base.rstrip("/")) + 1:]
+
+        yield from _batches(rows(), ["chain_id", "folder", "inside"])
+
+    return folders.mapInArrow(look, LISTED)
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """``(chain_id, inside, content)`` of listed files; a file that is gone by then ends the job."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, size = ["chain_id", "inside", "content"], [], 0
+        types = [pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            rows = []
-            for uri in batch["folder"]:
+            columns = [batch.column(c).to_pylist() for c in ("chain_id", "folder", "inside")]
+            for chain_id, uri, inside in zip(*columns):
                 system, base = _open(uri)
-                if system.get_file_info(base).type == fs.FileType.File:
-                    infos = [system.get_file_info(base)]
-                else:
-                    selector = fs.FileSelector(base, allow_not_found=True, recursive=recursive)
-                    infos = system.get_file_info(selector)
-                rows += [
-                    (_spark_path(uri, base, info.path), info.mtime, 0, b"")
-                    for info in infos
-                    if info.type == fs.FileType.File and info.size == 0
-                    and not info.base_name.startswith((".", "_"))
-                ]
-            frame = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
-            frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True)
-            yield frame.astype({"length": "int64"})
-
-    return folders.select("folder").mapInPandas(look, FILES)
+                with system.open_input_stream(f"{base.rstrip('/')}/{inside}") as data:
+                    held.append((chain_id, inside, data.readall()))
+                size += len(held[-1][2])
+                if size >= _BYTES or len(held) == _ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+    return listed.repartition(_parts(listed.sparkSession), "folder", "inside").mapInArrow(read, CONTENTS)
 
 
 def folder_faults(spark: SparkSession, root: str) -> DataFrame:
@@ -84,6 +127,41 @@ def folder_faults(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def below(folders: DataFrame, name: str) -> DataFrame:
-    """The same projects, looking at their ``name`` instead."""
-    return folders.select("chain_id", F.concat("folder", F.lit(f"/{name}")).alias("folder"))
+def file_stamps(root: str) -> Iterator[tuple[str, int, int]]:
+    """Path, change time in milliseconds and size of the files below ``root``, or of ``root`` if it is one."""
+    system, base = _open(root)
+    if isinstance(system, fs.LocalFileSystem):
+        yield from _local_stamps(base)
+        return
+    info = system.get_file_info(base)
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True))
+    for info in found:
+        if info.type == fs.FileType.File:
+            yield root.rstrip("/") + info.path[len(base.rstrip("/")):], info.mtime_ns // 1_000_000, info.size
+
+
+def _local_stamps(base: str) -> Iterator[tuple[str, int, int]]:
+    waiting = [base]
+    while waiting:
+        path = waiting.pop()
+        if os.path.islink(path) or not os.path.exists(path):
+            continue
+        if os.path.isdir(path):
+            waiting.extend(entry.path for entry in os.scandir(path))
+            continue
+        seen = os.stat(path)
+        yield path, seen.st_mtime_ns // 1_000_000, seen.st_size
+
+
+def stamps_of_roots(roots: DataFrame) -> DataFrame:
+    """``(path, modified_ms, size)`` of the files below each ``root``, which a table names; links are not followed."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for root in batch["root"]:
+                yield pd.DataFrame(file_stamps(root), columns=["path", "modified_ms", "size"]).astype(
+                    {"path": "object", "modified_ms": "int64", "size": "int64"}
+                )
+
+    named = roots.select("root").where("root is not null").distinct().repartition(_parts(roots.sparkSession), "root")
+    return named.mapInPandas(look, "path string, modified_ms bigint, size bigint")

@@ -9,7 +9,6 @@ up when it is new or its stamp differs, once per distinct state, and reads it th
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from linkweave.session import scratch
+from linkweave.sources.listing import file_stamps
 from linkweave.streaming.common import DEFAULT_INTERVAL, FOLD_EVERY, read_batches, write_batch
 from linkweave.streaming.detect import ChangeDetector
 
@@ -79,32 +79,6 @@ class _StampReader(DataSourceStreamReader):
                 yield root, path, partition.tick, modified, size
 
 
-def file_stamps(root: str) -> Iterator[tuple[str, int, int]]:
-    """Path, change time in milliseconds and size of the files below ``root``, or of ``root`` if it is one."""
-    system, base = fs.FileSystem.from_uri(root)
-    if isinstance(system, fs.LocalFileSystem):
-        yield from _local_stamps(base)
-        return
-    info = system.get_file_info(base)
-    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True))
-    for info in found:
-        if info.type == fs.FileType.File:
-            yield root.rstrip("/") + info.path[len(base.rstrip("/")):], info.mtime_ns // 1_000_000, info.size
-
-
-def _local_stamps(base: str) -> Iterator[tuple[str, int, int]]:
-    waiting = [base]
-    while waiting:
-        path = waiting.pop()
-        if os.path.islink(path) or not os.path.exists(path):
-            continue
-        if os.path.isdir(path):
-            waiting.extend(entry.path for entry in os.scandir(path))
-            continue
-        seen = os.stat(path)
-        yield path, seen.st_mtime_ns // 1_000_000, seen.st_size
-
-
 def stream_stamps(spark: SparkSession, roots: str) -> DataFrame:
     """Stamps of all files below the roots in the Parquet table ``roots``, polled once per micro-batch."""
     spark.dataSource.register(StampSource)
