@@ -19,6 +19,8 @@ block holds a bounded number of them. It is a semi join, so no pairs come out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkweave.session import cut_lineage
@@ -45,17 +47,40 @@ KINDS = ("assign", "access", "hex", "pair_secret", "pair_endpoint")
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once; what a lambda takes from outside is evaluated for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_spans(text: Column, pattern: str, group: int = 0, when: str | None = None) -> Column:
     """Leftmost non-overlapping matches: start and end in characters, and the group's text.
 
-    The gaps between the matches and the matches themselves alternate, so their lengths add
-    up to the positions. ``when`` is a cheaper pattern without which a text has no match.
+    The gaps between the matches and the matches themselves alternate, so their lengths add up to the positions.
+    They are added up in blocks, the number of matches to the power of 1/3 in each: first where the blocks start, then
+    the spans of every block by itself. An array that grows is copied at every step, and none grows
+    beyond a block or the number of blocks. ``when`` is a cheaper pattern without which a text has no match.
     """
-    gaps = F.split(text, pattern, -1)
+    width = lambda x: F.length(x["gap"]) + F.length(x["hit"])
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("hit"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("found"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+
+    def steps(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        return F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), (hits if values is None else values).alias("value"))
+
+    def blocks(all_steps: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(all_steps))).cast("int"))
+        last = F.greatest(F.lit(0), F.ceil(F.size(all_steps) / size).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_steps, k * size + 1, size))
+
+    def starts(dealt: Column) -> Column:
+        first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found"))
+        words = lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda n, x: n + width(x))
+        return F.aggregate(
+            F.transform(dealt, words),
+            first,
+            lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["found"], F.array(done["at"])).alias("found")),
+        )["found"]
 
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + F.length(x["gap"])
@@ -63,7 +88,13 @@ def find_spans(text: Column, pattern: str, group: int = 0, when: str | None = No
         span = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["value"].alias("value"))
         return F.struct(end.cast("bigint").alias("at"), F.concat(done["found"], F.array(span)).alias("found"))
 
-    found = F.aggregate(steps, start, step)["found"]
+    def spans(dealt: Column) -> Column:
+        inside = lambda block: F.aggregate(
+            block["steps"], F.struct(block["start"].alias("at"), F.array().cast(_SPANS).alias("found")), step
+        )["found"]
+        return F.flatten(F.transform(F.arrays_zip(dealt.alias("steps"), starts(dealt).alias("start")), inside))
+
+    found = _let(_let(_let(whole, steps), blocks), spans)
     return F.when(F.coalesce(text.rlike(when or pattern), F.lit(False)), found).otherwise(F.array().cast(_SPANS))
 
 
@@ -98,6 +129,19 @@ def _near(weak: DataFrame, strong: DataFrame, scope: int) -> DataFrame:
     return here.join(there, same & close, "left_semi").select("row", "start", "end").distinct()
 
 
+def _apart(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of ``spans`` that share no character with a span of ``others``, by blocks of ``SCOPE`` characters."""
+    block = lambda position: F.floor(position / SCOPE).cast("bigint")
+    blocks = lambda: F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1)))
+    there = others.withColumn("block", blocks()).select(
+        F.col("row").alias("at"), F.col("start").alias("from"), F.col("end").alias("to"), F.col("block").alias("near")
+    )
+    same = (F.col("row") == F.col("at")) & (F.col("block") == F.col("near"))
+    meet = (F.col("from") < F.col("end")) & (F.col("start") < F.col("to"))
+    met = spans.withColumn("block", blocks()).join(there, same & meet, "left_semi").select("row", "start", "end")
+    return spans.join(met, ["row", "start", "end"], "left_anti")
+
+
 def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row, whole texts.
 
@@ -108,7 +152,6 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_enough = lambda spans, n: F.filter(spans, lambda s: F.length(s["value"]) >= n)
     mixed = lambda s: (F.length(s["value"]) == 40) & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]")
-    apart = lambda s: ~F.exists("assign", lambda a: (a["start"] < s["end"]) & (s["start"] < a["end"]))
     has_access = F.size("access") > 0
     nothing = F.array().cast(_SPANS)
     found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).select(
@@ -119,24 +162,26 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
         find_spans(F.col("text"), HEX, when="[0-9a-f]{32}").alias("hex"),
     )
     narrow = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    keyed = F.filter(find_spans(F.col("text"), KEYED), lambda s: mixed(s) & apart(s))
-    secret = F.concat(F.filter(find_spans(F.col("text"), SECRET), mixed), keyed)
+    secret = F.filter(find_spans(F.col("text"), SECRET), mixed)
+    keyed = F.filter(find_spans(F.col("text"), KEYED), mixed)
     stored = cut_lineage(
         found.select(
             "doc_id",
             F.concat_ws(":", "doc_id", F.xxhash64("text"), F.hash("text"), F.length("text")).alias("row"),
             *[narrow(F.col(k)).alias(k) for k in ("assign", "access", "hex")],
             narrow(F.when(has_access, secret).otherwise(nothing)).alias("secret"),
+            narrow(F.when(has_access, keyed).otherwise(nothing)).alias("keyed"),
             narrow(F.when(has_access, find_spans(F.col("text"), ENDPOINT, when="https?://")).otherwise(nothing)).alias("endpoint"),
         ),
         "spans",
     )
-    weak = stored.where((F.size("access") > 0) & (F.size("secret") + F.size("endpoint") > 0))
-    weak = weak.dropDuplicates(["row"]).select("row", "access", "assign", "secret", "endpoint")
-    access = _parts(weak, "access")
-    secret = _near(_parts(weak, "secret"), access, scope)
+    weak = stored.where((F.size("access") > 0) & (F.size("secret") + F.size("keyed") + F.size("endpoint") > 0))
+    weak = weak.dropDuplicates(["row"]).select("row", "access", "assign", "secret", "keyed", "endpoint")
+    access, assign = _parts(weak, "access"), _parts(weak, "assign")
+    candidates = _parts(weak, "secret").unionByName(_apart(_parts(weak, "keyed"), assign))
+    secret = _near(candidates, access, scope)
     endpoint = _near(_parts(weak, "endpoint"), access, scope)
-    endpoint = _near(endpoint, _parts(weak, "assign").unionByName(_parts(weak, "secret")), scope)
+    endpoint = _near(endpoint, assign.unionByName(candidates), scope)
     kind = lambda name: F.lit(KINDS.index(name)).alias("kind")
     linked = (
         secret.select("row", F.struct("start", kind("pair_secret"), "end").alias("s"))

@@ -59,6 +59,18 @@ def test_against_brute_force(spark):
     assert rows(find_secrets(docs(spark, data)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == expected
 
 
+def test_texts_with_very_many_matches(spark):
+    digest = lambda i: hashlib.sha256(b"%d" % i).hexdigest()[:32 + i % 9]
+    data = [(n, "é".join(f"{'é' * (i % 3)}{digest(i)} " for i in range(n))) for n in (1, 15, 16, 17, 256, 4097, 100_000)]
+    data += [(7, f"{ACCESS}\n" + "\n".join(f"token={WEAK}x{i} KEY={WEAK} https://a.b/{i}" for i in range(3000)))]
+    found = {r["doc_id"]: (r["n_hex"], r["spans"]) for r in find_secrets(docs(spark, data)).collect()}
+    for i, text in data[:-1]:
+        spans = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{32,}", text)]
+        assert found[i] == (i, ",".join(spans))
+    pairs = [s for s in found[7][1].split(",") if s.startswith("pair")]
+    assert len(pairs) > 5 and all(int(s.split(":")[1]) <= SCOPE + len(ACCESS) for s in pairs)
+
+
 def test_weak_parts_need_their_complement(spark):
     spans = {r["doc_id"]: r["spans"] for r in find_secrets(docs(spark, CASES)).collect()}
     assert "pair_secret" in spans[200] and "pair_endpoint" in spans[200]
