@@ -12,7 +12,7 @@ is one number, so q is monotone in u and the order is simple random order by u.
 
 The border is found without sorting a source: ranks, mapped to (0, 1), are counted in 4096
 buckets, the bucket on the border is counted in 4096 parts again, and only the rows of one
-such part are put in order. What joins back to the documents is one row per source.
+such part are put in order, equal rows as one. What joins back to the documents is one row per source.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def fixed_uniform(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in (0, 1) from the id and the seed; one for all rows without an id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def fixed_uniform(doc_id: Column, text_hash: Column, seed: int = SEED) -> Column:
+    """A number in (0, 1) from the id and the seed; without an id from the text, so that such rows do not share one."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), text_hash.cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), named))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + 0.5) / float(2**48)
 
 
@@ -45,12 +46,13 @@ def _ranked(docs: DataFrame, id_col: str, source_col: str, text_col: str, names:
     """``docs`` with what a decision needs: no_source, source_key, size, u, text_hash (as ``names``)."""
     no_source, source_key, size, u, text_hash = names
     source = F.col(source_col).cast("string")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.withColumns({
         no_source: source.isNull(),
         source_key: F.coalesce(source, F.lit("")),
         size: word_count(text_col),
-        u: fixed_uniform(F.col(id_col), seed),
-        text_hash: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        u: fixed_uniform(F.col(id_col), hashed, seed),
+        text_hash: hashed,
     })
 
 
@@ -126,12 +128,16 @@ def source_cuts(
         .withColumn("bucket", F.floor(F.col("v") * (BUCKETS * BUCKETS)))
     )
     second = cut_lineage(on_border(inner), "border")
-    last = inner.join(second, [*key, "bucket"])
+    # Rows equal in id and text are taken or left together, so they are one row here, however many there are.
+    equal = ["v", "u", "doc_id", "size", "text_hash"]
+    last = inner.join(second, [*key, "bucket"]).groupBy(*key, *equal).agg(
+        F.sum("size").alias("together"), F.first("missing").alias("missing"), F.first("words_before").alias("words_before")
+    )
     rank = F.struct("v", "u", "doc_id", "size", "text_hash")
-    within = Window.partitionBy(*key).orderBy("v", "u", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*key).orderBy(*equal).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("words_before") + F.col("upto")
-    nearer = (upto - F.col("missing")) <= (F.col("missing") - (upto - F.col("size")))
-    last = last.withColumn("upto", F.sum("size").over(within))
+    nearer = (upto - F.col("missing")) <= (F.col("missing") - (upto - F.col("together")))
+    last = last.withColumn("upto", F.sum("together").over(within))
     cuts = last.groupBy(*key).agg(F.max(F.when(nearer, rank)).alias("cut"))
     # Nothing taken in the last part: all ranks below its start still are.
     starts = second.select(*key, (F.col("bucket") / float(BUCKETS * BUCKETS)).alias("start"))

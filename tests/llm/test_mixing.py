@@ -67,3 +67,17 @@ def test_copies_are_the_mix(spark):
 def test_empty_and_wordless_tables(spark):
     assert mix_report(docs(spark, [])).collect() == [] and mixed_copies(docs(spark, [])).collect() == []
     assert rows(mix_report(docs(spark, [(1, None), (2, " ")])), "size", "target", "taken") == [(0, 0.0, 0), (0, 0.0, 0)]
+
+
+def test_rows_without_id_are_not_one_block(spark):
+    """Targets are met by single rows where no row has an id; copies of one text go together."""
+    given = docs(spark, [(None, prose(i, 20 + i % 30)) for i in range(300)] + [(None, prose(1000, 10))] * 200)
+    from pyspark.sql import functions as F
+
+    given = given.withColumn("source", F.when(F.pmod(F.xxhash64("text"), F.lit(3)) == 0, "a").otherwise("b"))
+    found = mix_report(given).collect()
+    for size in {r["source_size"] for r in found}:
+        rows_of = [r for r in found if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in rows_of) - rows_of[0]["target"]) <= 200 * 10
+        assert len({r["taken"] // r["size"] for r in rows_of}) == 2
+    assert len({r["taken"] for r in found if r["size"] == 10}) == 1
