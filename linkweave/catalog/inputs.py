@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from linkweave.functions.text import parse_version, version_filename
+from linkweave.functions.text import packed, parse_version, unpacked, version_filename
 from linkweave.operators.chain import build_chain
 from linkweave.operators.ordered import with_order
 from linkweave.operators.state import STATE_KEY
@@ -336,10 +336,11 @@ def event_applied(spark: SparkSession, sf_dir: str, log: DataFrame) -> DataFrame
         F.explode(F.sequence(F.lit(1), F.col("prefix").cast("int"))).alias("version"),
     )
     altered = (F.col("chain_id") % 10 == 3) & (F.col("slot") == 0) & (F.col("version") == 1)
-    return planned.join(
-        log.select("chain_id", "version", "filename", "hash", "previous_hash"),
+    # The written out versions are many more than Spark takes them for: no broadcast.
+    return unpacked(planned.hint("merge").join(
+        packed(log.select("chain_id", "version", "filename", "hash", "previous_hash")),
         ["chain_id", "version"],
-    ).select(
+    )).select(
         "target_id", "chain_id", "filename",
         F.when(altered, F.lit("b" * 64)).otherwise(F.col("hash")).alias("hash"),
         "previous_hash",
@@ -377,12 +378,12 @@ def altered_state(state: DataFrame) -> DataFrame:
 
 
 def event_state(spark: SparkSession, sf_dir: str, effects: DataFrame) -> DataFrame:
-    """The state the applied changes left behind."""
+    """The state the applied changes left behind; the effects are too many to be broadcast, whatever their files compress to."""
     written = (
         _event_slots(spark, sf_dir)
         .where("prefix > 0")
         .select("target_id", "chain_id", "prefix")
-        .join(effects, "chain_id")
+        .join(effects.hint("merge"), "chain_id")
         .where("version <= prefix")
     )
     return written.groupBy(*STATE_KEY).agg(

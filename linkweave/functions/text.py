@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the code points that count as white space at the edges of a body.
 WHITE_SPACE = "".join(
@@ -20,6 +20,13 @@ HASH_SHAPE = r"\A[0-9a-fA-F]{64}\z"
 FILENAME_SHAPE = r"\A[0-9]{6}\.sql\z"
 IDENTIFIER_SHAPE = r"\A[_A-Za-z][_A-Za-z0-9]*\z"
 BINDING_NAME_SHAPE = r"\A[_A-Z][_A-Z0-9]*\z"
+_DIGEST_SHAPE = r"\A[0-9a-f]{64}\z"
+_DIGEST_BYTES = 32
+# Stands before any other text where digests travel as bytes, so that it is longer than a digest.
+_NO_DIGEST = bytes(_DIGEST_BYTES + 1)
+
+# The hashes of a change; two thirds of a narrow row, and hexadecimal digits do not compress.
+DIGESTS = ("hash", "previous_hash")
 
 
 def _col(column: Column | str) -> Column:
@@ -71,6 +78,26 @@ def is_valid_hash(column: Column | str) -> Column:
     return _col(column).rlike(HASH_SHAPE)
 
 
+def packed(df: DataFrame, columns: Sequence[str] = DIGESTS) -> DataFrame:
+    """``df`` with digests as their 32 bytes, half of what the digits take in a shuffle.
+
+    Any other text becomes longer bytes, so packed values are equal where the texts are, and ``unpacked`` gives every text back.
+    """
+    def pack(text: Column) -> Column:
+        return F.when(text.rlike(_DIGEST_SHAPE), F.unhex(text)).otherwise(F.concat(F.lit(_NO_DIGEST), text.cast("binary")))
+
+    return df.withColumns({c: pack(F.col(c)) for c in columns})
+
+
+def unpacked(df: DataFrame, columns: Sequence[str] = DIGESTS) -> DataFrame:
+    """The texts that ``packed`` was given."""
+    def unpack(data: Column) -> Column:
+        other = F.substring(data, len(_NO_DIGEST) + 1, 2**31 - 1).cast("string")
+        return F.when(F.length(data) == _DIGEST_BYTES, F.lower(F.hex(data))).otherwise(other)
+
+    return df.withColumns({c: unpack(F.col(c)) for c in columns})
+
+
 def parse_version(filename: Column | str) -> Column:
     """The number in ``NNNNNN.sql``; null for any other name."""
     name = _col(filename)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linkweave.functions.text import hash_matches, normalize, version_filename
+from linkweave.functions.text import DIGESTS, hash_matches, normalize, version_filename
 from linkweave.operators.ordered import with_order
 from linkweave.schemas import MAX_VERSION
 
@@ -140,7 +140,7 @@ def positioned(
 ) -> DataFrame:
     """Changes in file-name order with their position and the hash of the one before."""
     return with_order(
-        changes, ["chain_id"], ["filename", "hash"], ["hash"], weight, counted_from
+        changes, ["chain_id"], ["filename", "hash"], ["hash"], weight, counted_from, digests=DIGESTS
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from linkweave.functions.text import DIGESTS, packed, unpacked
 from linkweave.operators.ordered import with_order
 from linkweave.session import cut_lineage
 
@@ -15,29 +16,31 @@ def compare_histories(changes: DataFrame, applied: DataFrame) -> DataFrame:
     is equal; ``copies`` says how often the row is recorded.
 
     Equality of the nullable previous hash is tested in the projection; the join itself
-    is a plain equi-join on narrow columns, which AQE can split where a chain has very
+    is a plain equi-join on narrow columns, hashes as bytes, which AQE can split where a chain has very
     many targets.
     """
     rows = applied.select(*TARGET, "filename", "hash", "previous_hash")
     placed = with_order(
-        rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")),
+        unpacked(packed(rows).groupBy(*rows.columns).agg(F.count("*").alias("copies"))),
         TARGET,
         ["filename", "hash"],
         weight="copies",
         counted_from=rows,
+        digests=DIGESTS,
     )
-    committed = changes.select(
+    committed = packed(changes).select(
         "chain_id",
         F.col("version").cast("bigint").alias("position"),
         F.struct("filename", "hash", "previous_hash").alias("committed"),
     )
     ours = F.struct("filename", "hash", "previous_hash")
-    return (
-        placed.join(committed, ["chain_id", "position"], "left")
+    compared = (
+        packed(placed).join(committed, ["chain_id", "position"], "left")
         .withColumn("known", F.col("committed").isNotNull())
         .withColumn("same", ours.eqNullSafe(F.col("committed")))
         .drop("committed")
     )
+    return unpacked(compared)
 
 
 def chain_totals(changes: DataFrame) -> DataFrame:
@@ -116,6 +119,8 @@ def pending_after(changes: DataFrame, progress: DataFrame) -> DataFrame:
 
     The missing versions are written out as numbers and then looked up by an equi-join,
     so only pending rows ever exist; changes a target already has are not paired with it.
+    Spark takes the written out numbers for as few as the targets they come from; the hint keeps
+    them from being broadcast.
     """
     missing = (
         progress.where(F.col("total_committed") > F.col("applied_count"))
@@ -129,10 +134,11 @@ def pending_after(changes: DataFrame, progress: DataFrame) -> DataFrame:
             ).alias("version"),
         )
     )
-    return missing.join(
-        changes.select("chain_id", "version", "filename", "hash", "previous_hash"),
+    found = missing.hint("merge").join(
+        packed(changes.select("chain_id", "version", "filename", "hash", "previous_hash")),
         ["chain_id", "version"],
-    ).select(*TARGET, "version", "filename", "hash", "previous_hash")
+    )
+    return unpacked(found).select(*TARGET, "version", "filename", "hash", "previous_hash")
 
 
 def pending_changes(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:

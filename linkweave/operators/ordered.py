@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linkweave.functions.text import packed, unpacked
 from linkweave.session import cut_and_count
 
 # Keys with more rows than this are cut into blocks.
@@ -41,6 +42,7 @@ def with_order(
     weight: str | None = None,
     counted_from: DataFrame | None = None,
     at_most: int | None = None,
+    digests: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``position`` (1-based) and, for each ``carry`` column, ``before_<column>``.
@@ -48,7 +50,8 @@ def with_order(
     ``before_*`` is null on the first row of a key. With ``weight``, a row stands for that many
     rows and ``position`` is the first place it takes; ``counted_from`` may then name the rows it
     was counted from, which saves counting twice. Keys are counted right away, unless the number
-    of all rows is known to be ``at_most`` one that no key can be hot with.
+    of all rows is known to be ``at_most`` one that no key can be hot with. ``digests`` are columns that
+    are shuffled as bytes; the window sees their texts.
     """
     keys, order = list(keys), list(order)
     size = F.col(weight) if weight else F.lit(1).cast("bigint")
@@ -59,6 +62,8 @@ def with_order(
 
     place = [*keys] if cuts is None else [*keys, "_block"]
     blocked = df if cuts is None else in_blocks(df, cuts, keys, order)
+    if digests:
+        blocked = unpacked(packed(blocked, digests).repartition(*place), digests)
     in_block = Window.partitionBy(*place).orderBy(*order)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in carry])

@@ -38,11 +38,12 @@ def pending_writes(effects: DataFrame, pending: DataFrame) -> DataFrame:
 
     All pending suffixes of a chain end at the same last change. So a key's last write in
     the chain is what a target gets if its version is pending there: the missing versions
-    meet the last writes by (chain, version), and only rows that are written come out.
+    meet the last writes by (chain, version), and only rows that are written come out. The pending rows
+    are dealt out by that already; the hint keeps the last writes off the driver.
     """
     return (
         pending.select(*TARGET, "version")
-        .join(last_writes(effects), ["chain_id", "version"])
+        .join(last_writes(effects).hint("merge"), ["chain_id", "version"])
         .select(*STATE_KEY, "version", "value")
     )
 

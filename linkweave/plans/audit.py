@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linkweave.functions.text import parse_version
+from linkweave.functions.text import packed, parse_version, unpacked
 from linkweave.operators.chain import (
     bad_genesis, broken_link, not_contiguous, positioned, verify_links,
 )
@@ -29,7 +29,7 @@ def log_violations(changes: DataFrame) -> DataFrame:
         "hash_ok",
         parse_version("filename").alias("version"),
     )
-    narrow = checked.groupBy(*checked.columns).agg(F.count("*").alias("copies"))
+    narrow = unpacked(packed(checked).groupBy(*checked.columns).agg(F.count("*").alias("copies")))
     position, version = F.col("position"), F.col("version")
     previous, before = F.col("previous_hash"), F.col("before_hash")
 

@@ -105,7 +105,8 @@ def apply_pending(
     else:
         pending, progress = _up_to_unbound(changes, pending, progress, bindings)
         whole = pending.where("not stopped")
-        part = pending.where("stopped").join(effects, ["chain_id", "version"])
+        # The effects are as many as the changes, whatever their files compress to: no broadcast.
+        part = pending.where("stopped").join(effects.hint("merge"), ["chain_id", "version"])
         cut_off = part.groupBy(*TARGET, "key").agg(
             F.max("version").alias("version"), F.max_by("value", "version").alias("value")
         )

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.operators.chain import build_chain
-from linkweave.operators.state import evolve_union
+from linkweave.operators.history import pending_after
+from linkweave.operators.state import evolve_union, pending_writes
 from linkweave.plans import lifecycle
 from linkweave.schemas import BINDINGS, CANDIDATES, CHANGE_LOG, EFFECTS, SNIPPETS, STATE, TARGETS
 from linkweave.functions.headers import render_change
@@ -208,3 +209,19 @@ def test_candidates_run_only_if_they_compile(spark, log):
             done, writes, frame(spark, [(1, body)], CANDIDATES), empty(spark, SNIPPETS), frame(spark, [(1, "S", "x")], BINDINGS))
         values = {(r.chain_id, r.key): r.value for r in got.collect()}
         assert values == {(1, "a"): 9.0 if runs else 1.0, (2, "a"): 4.0}
+
+
+def test_written_out_versions_are_not_broadcast(spark, tmp_path):
+    """A stored table of few targets is small, the versions that are written out of it need not be."""
+    bodies = spark.range(20).select(F.col("id").alias("chain_id"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("version"), F.lit("x").alias("body"))
+    build_chain(bodies).write.parquet(f"{tmp_path}/log")
+    spark.range(20).selectExpr("id + 100 target_id", "id chain_id", "id applied_count", "50L total_committed").write.parquet(f"{tmp_path}/progress")
+    log, progress = spark.read.parquet(f"{tmp_path}/log"), spark.read.parquet(f"{tmp_path}/progress")
+    pending = pending_after(log, progress)
+    effects = log.select("chain_id", "version", F.lit("k").alias("key"), F.lit(1.0).alias("value"))
+    for found in (pending, pending_writes(effects, pending)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert pending.count() == 20 * 50 - 190 and pending_writes(effects, pending).count() == 20
+    expected = {(c, v, h) for c, v, h in log.select("chain_id", "version", "hash").collect() if v > c}
+    assert {(r.chain_id, r.version, r.hash) for r in pending.collect()} == expected

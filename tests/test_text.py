@@ -69,3 +69,13 @@ def test_status_code(spark):
 
 def test_has_changes_counts_comments(column):
     assert column([" \n", "-- note", ""], T.has_changes("x")) == [False, True, False]
+
+
+def test_packed_digests_come_back(spark):
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest[:63], digest + "0", digest + "\n", digest[:63] + "g", "", "x" * 31, "\0" * 33, "é", None]
+    texts += [bytes.fromhex(digest).decode("latin-1"), "a" * 64, "f" * 64]
+    rows = spark.createDataFrame([(i, t, texts[-i]) for i, t in enumerate(texts)], "i int, hash string, previous_hash string")
+    assert sorted(map(repr, T.unpacked(T.packed(rows)).collect())) == sorted(map(repr, rows.collect()))
+    assert T.packed(rows).select("hash").distinct().count() == len(texts)
+    assert T.packed(rows).where("length(hash) = 32").count() == 3
