@@ -93,7 +93,7 @@ def block_cuts(
     hot, n = cut_and_count(hot.select(*keys), "hot-keys")
     if not n:
         return None
-    drawn = rows.join(_hinted(hot, n), [*keys]).where(F.rand(11) * hot_rows < DRAWN * BLOCKS)
+    drawn = rows.join(broadcast_if_small(hot, n), [*keys]).where(F.rand(11) * hot_rows < DRAWN * BLOCKS)
     sample = F.array_sort(F.collect_set(F.struct(*order)))
     cuts = F.filter(sample, lambda _, i: i % DRAWN == DRAWN - 1)
     return cut_and_count(drawn.groupBy(*keys).agg(cuts.alias("_cuts")).where(F.size("_cuts") > 0), "cuts")[0]
@@ -103,7 +103,7 @@ def in_blocks(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], order: Sequ
     """``rows`` with ``_block``: the number of cuts at or before a row's place, null for keys without cuts."""
     bits = F.ceil(F.log2(F.size("_cuts") + F.lit(1.0))).cast("int")
     steps = cuts.select(*keys, "_cuts", F.sequence(F.lit(1), bits).alias("_steps"))
-    joined = rows.join(_hinted(steps, _total_cuts(cuts)), [*keys], "left")
+    joined = rows.join(broadcast_if_small(steps, _total_cuts(cuts)), [*keys], "left")
     block = F.when(F.col("_cuts").isNotNull(), _bisect(F.col("_cuts"), F.col("_steps"), F.struct(*order)))
     return joined.select(*rows.columns, block.alias("_block"))
 
@@ -153,6 +153,6 @@ def _total_cuts(cuts: DataFrame) -> int:
     return cuts.agg(F.coalesce(F.sum(F.size("_cuts")), F.lit(0))).first()[0]
 
 
-def _hinted(df: DataFrame, entries: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, entries: int) -> DataFrame:
     """A broadcast hint where the counted entries are small enough, else as it is, for AQE to decide."""
     return F.broadcast(df) if entries * _CUT_BYTES <= BROADCAST_BYTES else df

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from linkweave.operators.ordered import with_order
+from linkweave.operators.ordered import broadcast_if_small, with_order
+from linkweave.session import cut_and_count
 
 STAMP = ["path", "modified_ms", "size"]
 
@@ -69,14 +70,15 @@ def snapshot_changes(stamps: DataFrame) -> DataFrame:
 
     A stamp counts for its own snapshot and against the next one, so what does not cancel
     out is what came or went; one aggregation by stamp decides the whole sequence. The list
-    of snapshot ids is as long as the sequence. The first snapshot differs from nothing.
+    of snapshot ids is as long as the sequence; stamps meet it where they are read, since dealt out by
+    snapshot there would be no more tasks than snapshots. The first snapshot differs from nothing.
     """
     ids = stamps.select("snapshot_id").distinct()
     order = Window.orderBy("snapshot_id")  # of one row per snapshot
-    steps = ids.select("snapshot_id", F.lead("snapshot_id").over(order).alias("_next"))
+    steps, n = cut_and_count(ids.select("snapshot_id", F.lead("snapshot_id").over(order).alias("_next")), "steps")
     own = F.struct(F.col("snapshot_id").alias("at"), F.lit(1).alias("sign"))
     following = F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("at"), F.lit(-1).alias("sign")))
-    signed = stamps.join(steps, "snapshot_id").select(
+    signed = stamps.join(broadcast_if_small(steps, n), "snapshot_id").select(
         *STAMP, F.inline(F.array_compact(F.array(own, following)))
     )
     balances = signed.groupBy("at", *STAMP).agg(F.sum("sign").alias("balance")).where("balance <> 0")

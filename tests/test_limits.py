@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import version_filename
+from linkweave.operators.snapshots import snapshot_changes
 from linkweave.operators import chain, history, includes, scripts, snapshots
 from linkweave.operators.state import pending_writes
 from linkweave.plans.audit import log_violations
@@ -179,3 +180,17 @@ def _stored(spark, df):
     path = fresh_path(spark, "targets")
     df.write.parquet(path)
     return path
+
+
+def test_snapshots_are_not_dealt_out_by_their_number(spark, tmp_path):
+    """Three snapshots of many stamps: no shuffle that has three tasks' worth of keys carries the stamps."""
+    stamps = spark.range(3000).selectExpr("id % 3 + 1 snapshot_id", "concat('a/', id div 3) path", "1L modified_ms", "if(id = 5, 2L, 1L) size")
+    stamps.write.parquet(f"{tmp_path}/stamps")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the stamps' files are large
+        found = snapshot_changes(spark.read.parquet(f"{tmp_path}/stamps"))
+        assert "hashpartitioning(snapshot_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == [(1, 1000, 0), (3, 1, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
