@@ -9,30 +9,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linkweave.functions.headers import parse_change, render_change
 from linkweave.functions.text import parse_version, version_filename
 from linkweave.operators.violations import violation_rows
 from linkweave.schemas import CANDIDATES, SNIPPETS, STAMPS
+from linkweave.session import cut_lineage
 from linkweave.sources.listing import (
-    folder_faults, project_files, project_folders, read_contents, stamps_of_roots,
+    folder_faults, project_files, project_folders, read_contents, stamps_below, stamps_of_roots, tops_of_roots,
 )
 
 
-_FOUND = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def _files(spark: SparkSession, pattern: str, **options: str) -> DataFrame:
-    try:
-        return spark.read.format("binaryFile").options(**options).load(pattern)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], _FOUND)
-        raise
-
-
 def _text() -> list[Column]:
     """``text``, null where the bytes are not UTF-8."""
     text = F.col("content").cast("string")
@@ -168,16 +156,16 @@ def scan_snippets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_stamps(spark: SparkSession, roots: list[str], snapshot_id: int) -> DataFrame:
-    """Path, change time and size of all files below a few ``roots``; contents are not read. See ``scan_stamps_of``."""
-    listed = stamps_of_roots(spark.createDataFrame([(r,) for r in roots], "root string"))
+    """Path, change time and size of all files below a few ``roots``; contents are not read. See ``scan_stamps_of``.
+
+    Tasks list, as there, but what Spark's file sources pass over has no row unless it is empty, links are followed to files
+    that are not, and a root that is named again gives these again. What is right in the roots is stored, so it is listed once.
+    """
+    named = [(root, root not in roots[:i]) for i, root in enumerate(roots)]
+    tops = cut_lineage(tops_of_roots(spark.createDataFrame(named, "root string, first boolean")), "tops")
     printed = F.when(F.col("path").startswith("/"), F.concat(F.lit("file:"), "path")).otherwise(F.col("path"))
-    found = listed.where("size = 0").select(printed.alias("path"), "modified_ms", "size")
-    for root in roots:
-        full = _files(spark, root, recursiveFileLookup="true").where("length > 0")
-        found = found.unionByName(
-            full.select("path", F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size"))
-        )
-    return _as_stamps(found, snapshot_id)
+    found = stamps_below(tops).where("(size > 0 and not hidden) or (size = 0 and first and not linked)")
+    return _as_stamps(found.select(printed.alias("path"), "modified_ms", "size"), snapshot_id)
 
 
 def scan_stamps_of(roots: DataFrame, snapshot_id: int) -> DataFrame:

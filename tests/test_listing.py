@@ -2,7 +2,7 @@ import os
 import re
 
 from linkweave.sources import files
-from linkweave.sources.listing import project_files, project_folders, read_contents
+from linkweave.sources.listing import project_files, project_folders, read_contents, stamps_below, tops_of_roots
 
 
 def plan(df):
@@ -62,3 +62,30 @@ def test_stamps_of_a_table_of_roots(spark, tmp_path):
     found = sorted((r.snapshot_id, r.path, r["size"]) for r in files.scan_stamps_of(roots, 9).collect())
     assert found == [(9, f"{tmp_path}/a/1.sql", 2), (9, f"{tmp_path}/a/deep/2.sql", 0)]
     assert files.scan_stamps_of(roots.where("path > 3"), 9).isEmpty()
+
+
+def test_stamps_are_listed_by_tasks_and_as_before(spark, tmp_path):
+    """No file is known to the plan; hidden names, links, empty files and roots named twice count as Spark's file source counts them."""
+    for i in range(300):
+        put(tmp_path, f"{i}/committed/000001.sql", b"%d" % i)
+    for name in ("5/.hidden", "5/_x/deep.sql", "5/_a=b", "5/_metadata", "5/_metadata.d/y", "5/x._COPYING_"):
+        put(tmp_path, name)
+    for name in ("5/_x/empty", "top", "6/ä b%20"):
+        put(tmp_path, name, b"" if name == "5/_x/empty" else b"yy")
+    os.symlink(tmp_path / "7", tmp_path / "linked")
+    os.symlink(tmp_path / "5/_x/empty", tmp_path / "5/nothing")
+    roots = [str(tmp_path), str(tmp_path), f"{tmp_path}/none"]
+    stamps = files.scan_stamps(spark, roots, 1)
+    assert "binaryFile" not in plan(stamps)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).where("length > 0")
+    expected = [(r.path, int(r.modificationTime.timestamp() * 1000 + 0.5), r.length) for r in read.select("path", "modificationTime", "length").collect()]
+    found = [(r.path, r.modified_ms, r["size"]) for r in stamps.collect()]
+    assert sorted(r[::2] for r in found if r[2]) == sorted(r[::2] for r in 2 * expected) and len(expected) == 305
+    assert {r[:2] for r in found if r[2]} == {r[:2] for r in expected}
+    assert [(r[0], r[2]) for r in found if not r[2]] == [(f"file:{tmp_path}/5/_x/empty", 0)]
+    from pyspark.sql import functions as F
+
+    below = files.scan_stamps_of(spark.createDataFrame([(str(tmp_path),)], "root string"), 1)
+    assert below.count() == 309 and "link" not in {r.path.rpartition("/")[2] for r in below.collect()}
+    tasks = stamps_below(tops_of_roots(spark.createDataFrame([(str(tmp_path), True)], "root string, first boolean")))
+    assert tasks.select(F.spark_partition_id()).distinct().count() > 4
