@@ -22,6 +22,7 @@ from linkweave.operators.ordered import with_order
 from linkweave.operators.state import STATE_KEY, last_writes
 from linkweave.schemas import APPLIED_LOG, CHANGE_LOG, EFFECTS, STATE, TARGETS
 from linkweave.session import cut_and_count, scratch
+from linkweave.streaming.arrivals import stream_change_files  # noqa: F401, its name here is older
 from linkweave.streaming.common import DEFAULT_INTERVAL, FOLD_EVERY, KeptTable, read_batches, triggered, write_batch
 
 # A change row with the key and value it writes (one row per written key).
@@ -29,23 +30,6 @@ CHANGE_EVENTS = StructType([*CHANGE_LOG.fields, EFFECTS["key"], EFFECTS["value"]
 _RECORDED = StructType([APPLIED_LOG[c] for c in [*TARGET, "filename", "hash", "previous_hash"]])
 
 
-def stream_change_files(spark: SparkSession, root: str) -> DataFrame:
-    """New committed files as they appear. Committed files never change, so that a
-    modified file is not delivered again does no harm; edits are for stamps to find."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    text = F.col("content").cast("string")
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(schema)
-        .option("pathGlobFilter", "*.sql")
-        .load(f"{root}/*/committed")
-        .select(
-            F.regexp_extract("path", r"/([0-9]+)/committed/[^/]*\z", 1).try_cast("bigint").alias("chain_id"),
-            F.element_at(F.split("path", "/"), -1).alias("filename"),
-            F.when(F.is_valid_utf8(text), text).alias("text"),
-        )
-        .where(F.col("chain_id").isNotNull())
-    )
 # One row per chain: links before and after the batch that ``touched`` it last, and what came of it.
 _HEADS = StructType([
     StructField("chain_id", LongType()),

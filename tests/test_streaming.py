@@ -222,3 +222,33 @@ def test_new_change_files_arrive_once(spark, tmp_path):
     assert [tuple(r)[:5] for r in log.collect()] == [(7, 1, "000001.sql", None, golden)]
     (folder / "000002.sql").write_text("x")
     assert {r.filename for r in run().collect()} == {"000001.sql", "000002.sql"}
+
+
+def test_change_files_are_listed_by_tasks_and_delivered_once(spark, tmp_path):
+    golden = "25f048318278a4e1670bffb6bdd9de29acec798dcb8e00bff69ac48ec3dfdb3c"
+
+    def put(name, text=f"--! Hash: {golden}\n\nselect 1;\n"):
+        (tmp_path / "p" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name).write_text(text)
+
+    def run():
+        stream = stream_change_files(spark, f"{tmp_path}/p")
+        plan = stream._jdf.queryExecution().analyzed().toString()
+        assert "linkweave_change_files" in plan and "binaryFile" not in plan
+        writer = stream.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        writer.format("parquet").start(f"{tmp_path}/seen").awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/seen").select("chain_id", "filename").collect())
+
+    for name in ("7/committed/.x.sql", "7/committed/_x.sql", "7/committed/a.SQL", "7/committed/deep/1.sql", "x7/committed/1.sql",
+                 "99999999999999999999/committed/1.sql", "8/committed", "9/current.sql", "007/committed/000001.sql"):
+        put(name)
+    put("7/committed/000002.sql", "")
+    for c in range(10, 60):
+        put(f"{c}/committed/000001.sql")
+    first = [(7, "000001.sql"), *((c, "000001.sql") for c in range(10, 60))]
+    assert run() == first
+    put("7/committed/000002.sql", "late text")  # was there before
+    put("7/committed/000001.sql")
+    put("11/committed/000002.sql", "x")
+    assert run() == sorted([*first, (7, "000001.sql"), (11, "000002.sql")])
+    assert run() == sorted([*first, (7, "000001.sql"), (11, "000002.sql")])
