@@ -194,3 +194,22 @@ def test_snapshots_are_not_dealt_out_by_their_number(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == [(1, 1000, 0), (3, 1, 1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_digests_are_shuffled_as_bytes(spark, tmp_path):
+    """Log checks and histories; rows of one file name still stand in the order of their hashes as texts."""
+    texts = ["0" * 64, "F" * 64, "f" * 64, "f" * 63, "", "zz", "Zz", "a" * 65, None, "9" * 64]
+    spark.createDataFrame(
+        [(1, 2, "000001.sql", t, texts[-i - 1]) for i, t in enumerate(texts)],
+        "chain_id long, target_id long, filename string, hash string, previous_hash string",
+    ).write.parquet(f"{tmp_path}/applied")
+    applied = spark.read.parquet(f"{tmp_path}/applied")
+    rows = [(1, v, "000001.sql", t, texts[-v - 1], "x\n") for v, t in list(enumerate(sorted(texts, key=lambda t: (t is not None, t)), 1))[:9]]
+    changes = spark.createDataFrame(rows, "chain_id long, version int, filename string, hash string, previous_hash string, body string")
+    compared = history.compare_histories(changes, applied)
+    found = sorted((r.position, r.hash, r.previous_hash) for r in compared.select("position", "hash", "previous_hash").collect() if r.hash)
+    order = sorted(texts, key=lambda t: (t is not None, t))
+    assert [(p, h) for p, h, _ in found] == [(p, h) for p, h in enumerate(order, 1) if h]
+    assert {(h, q) for _, h, q in found} == {(t, texts[-i - 1]) for i, t in enumerate(texts) if t}
+    for df in (compared, log_violations(changes)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("unhex(") >= 2
