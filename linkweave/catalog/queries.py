@@ -729,9 +729,9 @@ def change_points_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The event log and the effects of its changes."""
-    changes = given.stored(given.event_changes(spark, sf_dir))
-    return given.stored(chain.build_chain(changes)), given.event_effects(changes)
+    """The event log and the effects of its changes, out of one stored table."""
+    rows = given.stored(chain.build_chain(given.event_changes(spark, sf_dir), ["key", "value"]))
+    return rows.drop("key", "value"), given.event_effects(rows)
 
 
 def _replay(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,21 +16,23 @@ _CHAIN_LINKS = "chain_id bigint, version int, body string, previous_hash string,
 _CHAIN_HEADS = "chain_id bigint, links bigint, head_version int, head_hash string"
 
 
-def build_chain(changes: DataFrame) -> DataFrame:
-    """Hash ``(chain_id, version, body)`` rows into complete change rows.
+def build_chain(changes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Hash ``(chain_id, version, body)`` rows into complete change rows; ``carry`` names further columns to keep.
 
     Each hash needs the one before it, so one chain is sequential by definition and only
     chains run side by side. No chain is ever gathered: rows are shuffled once, sorted
     (spilling to disk if they must), and streamed past one running hash. Arrow hands the
     bodies over in batches and takes them back untouched.
     """
-    return _in_chain_order(changes).mapInArrow(_hash_links, _CHAIN_LINKS).select(
+    kept = [f"{field.name} {field.dataType.simpleString()}" for field in changes.select(*carry).schema]
+    return _in_chain_order(changes, carry).mapInArrow(_hash_links, ", ".join([_CHAIN_LINKS, *kept])).select(
         "chain_id",
         "version",
         version_filename("version").alias("filename"),
         "previous_hash",
         "hash",
         "body",
+        *carry,
     )
 
 
@@ -39,9 +41,9 @@ def fold_heads(changes: DataFrame) -> DataFrame:
     return _in_chain_order(changes).mapInArrow(_hash_heads, _CHAIN_HEADS)
 
 
-def _in_chain_order(changes: DataFrame) -> DataFrame:
+def _in_chain_order(changes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return (
-        changes.select("chain_id", "version", normalize("body").alias("body"))
+        changes.select("chain_id", "version", normalize("body").alias("body"), *carry)
         .repartition("chain_id")
         .sortWithinPartitions("chain_id", "version")
     )
@@ -68,8 +70,8 @@ def _running_hashes(
 def _hash_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, _, previous, hashes in _running_hashes(batches):
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(previous, pa.string()), pa.array(hashes, pa.string())],
-            names=["chain_id", "version", "body", "previous_hash", "hash"],
+            [*batch.columns[:3], pa.array(previous, pa.string()), pa.array(hashes, pa.string()), *batch.columns[3:]],
+            names=["chain_id", "version", "body", "previous_hash", "hash", *batch.schema.names[3:]],
         )
 
 
@@ -135,12 +137,10 @@ def verify_links(changes: DataFrame) -> DataFrame:
     return changes.withColumn("hash_ok", hash_matches("previous_hash", "hash", "body"))
 
 
-def positioned(
-    changes: DataFrame, weight: str | None = None, counted_from: DataFrame | None = None
-) -> DataFrame:
-    """Changes in file-name order with their position and the hash of the one before."""
+def positioned(changes: DataFrame, copies: str | None = None) -> DataFrame:
+    """Changes in file-name order with their position and the hash of the one before; with ``copies``, equal rows are one."""
     return with_order(
-        changes, ["chain_id"], ["filename", "hash"], ["hash"], weight, counted_from, digests=DIGESTS
+        changes, ["chain_id"], ["filename", "hash"], ["hash"], weight=copies, digests=DIGESTS, copies=copies
     )
 
 

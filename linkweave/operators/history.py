@@ -20,14 +20,7 @@ def compare_histories(changes: DataFrame, applied: DataFrame) -> DataFrame:
     many targets.
     """
     rows = applied.select(*TARGET, "filename", "hash", "previous_hash")
-    placed = with_order(
-        unpacked(packed(rows).groupBy(*rows.columns).agg(F.count("*").alias("copies"))),
-        TARGET,
-        ["filename", "hash"],
-        weight="copies",
-        counted_from=rows,
-        digests=DIGESTS,
-    )
+    placed = with_order(rows, TARGET, ["filename", "hash"], weight="copies", digests=DIGESTS, copies="copies")
     committed = packed(changes).select(
         "chain_id",
         F.col("version").cast("bigint").alias("position"),

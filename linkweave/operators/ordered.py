@@ -43,6 +43,7 @@ def with_order(
     counted_from: DataFrame | None = None,
     at_most: int | None = None,
     digests: Sequence[str] = (),
+    copies: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``position`` (1-based) and, for each ``carry`` column, ``before_<column>``.
@@ -51,24 +52,35 @@ def with_order(
     rows and ``position`` is the first place it takes; ``counted_from`` may then name the rows it
     was counted from, which saves counting twice. Keys are counted right away, unless the number
     of all rows is known to be ``at_most`` one that no key can be hot with. ``digests`` are columns that
-    are shuffled as bytes; the window sees their texts.
+    are shuffled as bytes; the window sees their texts. With ``copies``, equal rows become one, and that column, which
+    ``weight`` may name, says how many they were. They are counted where the window is, after the one shuffle that it needs;
+    only if a key is hot they are counted before it.
     """
+    columns = [*df.columns, *([copies] if copies else [])]
     keys, order = list(keys), list(order)
     size = F.col(weight) if weight else F.lit(1).cast("bigint")
     single = F.lit(1).cast("bigint")
     rows, row_size = (df, size) if counted_from is None else (counted_from, single)
     known_small = at_most is not None and at_most <= hot_rows
-    cuts = None if known_small else block_cuts(rows, keys, order, row_size, hot_rows)
-
+    cuts = None if known_small else block_cuts(rows, keys, order, single if copies else row_size, hot_rows)
+
+    if copies:
+        if weight == copies:
+            rows, row_size = df, single
+        moved = packed(df, digests) if cuts is not None else packed(df, digests).repartition(*keys)
+        counted = moved.groupBy(*df.columns).agg(F.count("*").alias(copies))
+        df = unpacked(counted, digests).select(*columns)
+        if weight != copies:
+            rows, row_size = df, size
     place = [*keys] if cuts is None else [*keys, "_block"]
     blocked = df if cuts is None else in_blocks(df, cuts, keys, order)
-    if digests:
+    if digests and not (copies and cuts is None):
         blocked = unpacked(packed(blocked, digests).repartition(*place), digests)
     in_block = Window.partitionBy(*place).orderBy(*order)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in carry])
     local = blocked.select(
-        *df.columns,
+        *columns,
         *place[len(keys):],
         F.sum(size).over(so_far).alias("_upto"),
         *([F.lag(carried).over(in_block).alias("_before")] if carry else []),
@@ -79,7 +91,7 @@ def with_order(
         position = position + F.coalesce(F.col("_offset"), F.lit(0))
         before = F.coalesce(before, F.col("_border")) if carry else before
     return local.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in columns],
         position.cast("bigint").alias("position"),
         *[before[c].alias(f"before_{c}") for c in carry],
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linkweave.functions.text import packed, parse_version, unpacked
+from linkweave.functions.text import parse_version
 from linkweave.operators.chain import (
     bad_genesis, broken_link, not_contiguous, positioned, verify_links,
 )
@@ -18,8 +18,7 @@ def log_violations(changes: DataFrame) -> DataFrame:
     """E01 and E13-E17 of a change log, one row per distinct change and fault.
 
     Bodies are hashed where they are read; only narrow columns and the verdict are
-    shuffled. Copies of a change are counted before that, so however many there are, they
-    travel and are placed as one row.
+    shuffled, once. Copies of a change are counted and placed as one row; where a chain is hot, before they travel.
     """
     checked = verify_links(changes).select(
         "chain_id",
@@ -29,7 +28,6 @@ def log_violations(changes: DataFrame) -> DataFrame:
         "hash_ok",
         parse_version("filename").alias("version"),
     )
-    narrow = unpacked(packed(checked).groupBy(*checked.columns).agg(F.count("*").alias("copies")))
     position, version = F.col("position"), F.col("version")
     previous, before = F.col("previous_hash"), F.col("before_hash")
 
@@ -46,7 +44,7 @@ def log_violations(changes: DataFrame) -> DataFrame:
         fault(broken_link(position, previous, before), "E16", before),
         fault(F.col("copies") > 1, "E17", F.col("copies")),
     )
-    found = positioned(narrow, "copies", checked).select(
+    found = positioned(checked, "copies").select(
         "chain_id", "version", "filename", F.explode(F.array_compact(faults)).alias("fault")
     )
     return violation_rows(

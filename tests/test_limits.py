@@ -213,3 +213,26 @@ def test_digests_are_shuffled_as_bytes(spark, tmp_path):
     assert {(h, q) for _, h, q in found} == {(t, texts[-i - 1]) for i, t in enumerate(texts) if t}
     for df in (compared, log_violations(changes)):
         assert df._jdf.queryExecution().executedPlan().toString().count("unhex(") >= 2
+
+
+def test_logs_and_histories_travel_once_to_be_placed(spark, tmp_path):
+    """Copies are counted where rows are placed: one shuffle of the log, one of the applied rows before they meet the log."""
+    log = cut_lineage(_log(spark, [(1, v, "b") for v in (1, 2, 3)]))
+    applied = cut_lineage(log.withColumn("target_id", F.lit(7).cast("bigint")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        exchanges = [
+            df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+            for df in (log_violations(log), history.compare_histories(log, applied.unionByName(applied)))
+        ]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert exchanges[0] == 1 and exchanges[1] <= 3
+
+
+def test_a_chain_is_built_with_more_columns(spark):
+    changes = spark.createDataFrame([(1, 2, "b", "k", 2.0), (1, 1, "a", None, None)], "chain_id long, version int, body string, key string, value double")
+    built = chain.build_chain(changes, ["key", "value"])
+    plain = chain.build_chain(changes)
+    assert sorted(built.drop("key", "value").collect()) == sorted(plain.collect()) and built.columns[-2:] == ["key", "value"]
+    assert {(r.version, r.key, r.value) for r in built.collect()} == {(1, None, None), (2, "k", 2.0)}

@@ -119,3 +119,17 @@ def test_without_hot_keys_there_is_one_shuffle(spark):
     rows = spark.range(1000).select((F.col("id") % 10).alias("k"), F.col("id").alias("n"))
     plan = with_order(rows, ["k"], ["n"], carry=["n"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3, 10_000])
+@pytest.mark.parametrize("weight", [None, "n"])
+def test_copies_are_one_row(spark, hot_rows, weight):
+    """Equal rows, null keys and hashes included, become one with their number, whether keys are hot or not."""
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 2, None]), f"{rng.randrange(9)}", rng.choice(["a" * 64, "F" * 64, "x", None])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k long, f string, h string")
+    ours = with_order(df, ["k"], ["f", "h"], ["h"], weight, digests=["h"], copies="n", hot_rows=hot_rows)
+    counted = df.groupBy("k", "f", "h").agg(F.count("*").alias("n"))
+    theirs = with_order(counted, ["k"], ["f", "h"], ["h"], weight, digests=["h"])
+    assert ours.columns == theirs.columns
+    assert sorted(map(repr, ours.collect())) == sorted(map(repr, theirs.collect()))
