@@ -15,7 +15,7 @@ from linkweave.functions.paths import include_refs as include_refs_of
 from linkweave.functions.templates import interpolate
 from linkweave.functions.text import (
     hash_matches, is_binding_name, is_identifier, is_valid_hash, link_hash, normalize, parse_version,
-    quote_ident,
+    packed, quote_ident, unpacked,
 )
 from linkweave.operators import chain, history, includes, scripts, snapshots, state, violations
 from linkweave.plans import lifecycle
@@ -847,20 +847,18 @@ def apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each chain arrives in ten parts of its length; every seventh change comes a part late, so that
     later ones wait for it, and every eleventh comes once more in the next part.
     """
-    changes = given.stored(given.event_changes(spark, sf_dir))
-    rows = chain.build_chain(changes).join(
-        changes.select("chain_id", "version", "key", "value"), ["chain_id", "version"]
-    )
-    rows = given.stored(rows.select(*CHANGE_EVENTS.fieldNames()))
-    lengths = rows.groupBy("chain_id").agg(F.count("*").alias("n"))
+    changes = given.event_changes(spark, sf_dir).where("chain_id is not null")
+    counted = changes.withColumn("n", F.count("*").over(Window.partitionBy("chain_id")))
+    rows = given.stored(chain.build_chain(counted, ["key", "value", "n"]))
     part = F.floor((F.col("version") - 1) * 10 / F.col("n"))
     late, again = F.when(F.col("version") % 7 == 0, 1).otherwise(0), F.when(F.col("version") % 11 == 0, part + 1)
     parts = F.array_compact(F.array(part + late, again))
-    arrivals = given.stored(rows.join(lengths, "chain_id").withColumn("part", F.explode(F.transform(parts, lambda p: F.least(p, F.lit(9))))))
+    arrivals = rows.withColumn("part", F.explode(F.transform(parts, lambda p: F.least(p, F.lit(9)))))
     source, root = fresh_path(spark, "changes"), fresh_path(spark, "apply")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(10):
-        arrivals.where(F.col("part") == k).select(*rows.columns).repartition(files).write.mode("append").parquet(source)
+        dealt = packed(arrivals.where(F.col("part") == k).select(*CHANGE_EVENTS.fieldNames())).repartition(files)
+        unpacked(dealt).write.mode("append").option("compression", "zstd").parquet(source)
     stream = spark.readStream.schema(CHANGE_EVENTS).option("maxFilesPerTrigger", files).parquet(source)
     targets = rows.select(F.col("chain_id").alias("target_id"), "chain_id").distinct()
     job = ContinuousApply(root, given.stored(targets))

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from linkweave.functions.text import hash_matches, parse_version
+from linkweave.functions.text import hash_matches, normalize, packed, parse_version, unpacked
 from linkweave.operators.history import TARGET
-from linkweave.operators.ordered import with_order
+from linkweave.operators.ordered import broadcast_if_small, with_order
 from linkweave.operators.state import STATE_KEY, last_writes
 from linkweave.schemas import APPLIED_LOG, CHANGE_LOG, EFFECTS, STATE, TARGETS
 from linkweave.session import cut_and_count, scratch
@@ -40,10 +40,30 @@ _HEADS = StructType([
     StructField("gap", BooleanType()),
     StructField("touched", LongType()),
 ])
-_WAITING = StructType([*CHANGE_EVENTS.fields, StructField("touched", LongType())])
+# What is left of an event when its body was read: if its hash holds, and the digest of a body that the hash does not name.
+_NARROW = StructType([
+    *[field for field in CHANGE_EVENTS.fields if field.name != "body"],
+    StructField("hash_ok", BooleanType()),
+    StructField("other_body", BinaryType()),
+])
+_MOVED_ON = "not gap and not broken and links > links_before"
 _SERVED = StructType([*TARGETS.fields, StructField("behind", BooleanType())])
 
 
+def _narrow(events: DataFrame) -> DataFrame:
+    """Events without their bodies; equal where the events are."""
+    ok = F.coalesce(hash_matches("previous_hash", "hash", "body"), F.lit(False))
+    named = ok & F.coalesce(normalize("body") == F.col("body"), F.lit(False))
+    other = F.when(~named, F.unhex(F.sha2("body", 256)))
+    return events.withColumns({"hash_ok": ok, "other_body": other}).select(*_NARROW.fieldNames())
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``chain_id, version`` and 32 bytes for all that a ``_narrow`` change has besides."""
+    rest = F.to_json(F.struct("filename", "previous_hash", "hash", "hash_ok", "other_body"))
+    return rows.select("chain_id", "version", F.unhex(F.sha2(rest, 256)).alias("mark"))
+
+
 def _newest_heads(rows: DataFrame) -> DataFrame:
     rest = [c for c in _HEADS.fieldNames() if c != "chain_id"]
     newest = F.max_by(F.struct(*rest), "touched").alias("_newest")
@@ -89,14 +109,17 @@ class ContinuousApply:
         with scratch(spark):
             pool, rows, stale = self._pool(spark, batch_id)
             conflicts = self._conflicts(spark, pool, batch_id) if stale else None
-            self._heads.add(self._judged(pool, rows, conflicts, batch_id), batch_id)
+            on = Observation()
+            judged = self._judged(pool, rows, conflicts, batch_id)
+            self._heads.add(judged.observe(on, F.count(F.when(F.expr(_MOVED_ON), 1)).alias("moved")), batch_id)
             heads = self._heads.added(spark, batch_id).drop("batch")
 
-            fresh = pool.where("version is null or version > links").select(*CHANGE_EVENTS.fieldNames())
-            waiting = heads.where("gap and not broken").select("chain_id", "touched")
-            self._waiting.add(fresh.join(waiting, "chain_id"), batch_id)
+            fresh = packed(pool.where("version is null or version > links"))
+            waiting = heads.where("gap and not broken").select("chain_id")
+            self._waiting.add(unpacked(fresh.where("new").join(waiting, "chain_id", "left_semi")), batch_id)
             moved = heads.where("not gap and not broken").select("chain_id", "links_before", "links")
-            linked = fresh.join(moved.where("links > links_before").select("chain_id"), "chain_id", "left_semi")
+            ahead = broadcast_if_small(heads.where(_MOVED_ON).select("chain_id"), on.get["moved"])
+            linked = fresh.join(ahead, "chain_id", "left_semi")
             self._writes.add(last_writes(linked.select(*EFFECTS.fieldNames())), batch_id)
 
             behind = self._serve(spark, moved.where("links > 0"), batch_id)
@@ -112,7 +135,7 @@ class ContinuousApply:
 
     @property
     def _waiting(self) -> KeptTable:
-        return KeptTable(f"{self.root}/kept/waiting", _WAITING, lambda rows: rows, self.fold_every)
+        return KeptTable(f"{self.root}/kept/waiting", _NARROW, lambda rows: rows, self.fold_every)
 
     @property
     def _writes(self) -> KeptTable:
@@ -124,18 +147,22 @@ class ContinuousApply:
 
     @staticmethod
     def _still_waiting(waiting: DataFrame, heads: DataFrame) -> DataFrame:
-        """Waiting rows are those of the batch that touched their chain last."""
-        return waiting.join(heads.where("gap and not broken").select("chain_id", "touched"), ["chain_id", "touched"], "left_semi")
+        """A row waits from the batch it came with until its chain is linked beyond it, or broken."""
+        ends = heads.where("gap and not broken").select("chain_id", "links")
+        return unpacked(packed(waiting).join(ends, "chain_id").where("version > links").drop("links"))
 
     def _pool(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, int, int]:
         """Rows that arrived or wait for chains that were touched, with the head of their chain; how many, and how many are of linked versions."""
-        arrived = read_batches(spark, f"{self.root}/arrived", CHANGE_EVENTS, batch_id, batch_id + 1).drop("batch")
+        arrived = _narrow(read_batches(spark, f"{self.root}/arrived", CHANGE_EVENTS, batch_id, batch_id + 1))
         touched = arrived.select("chain_id").distinct()
         heads = self._heads.before(spark, batch_id).join(touched, "chain_id", "left_semi")
-        waiting = self._still_waiting(self._waiting.before(spark, batch_id), heads)
-        rows = (
-            arrived.unionByName(waiting.select(*arrived.columns))
-            .join(heads.select("chain_id", "links", "head_hash", "broken"), "chain_id", "left")
+        waiting = self._waiting.before(spark, batch_id).select(*arrived.columns)
+        both = arrived.withColumn("new", F.lit(True)).unionByName(waiting.withColumn("new", F.lit(False)))
+        rows = unpacked(
+            packed(both)
+            .join(heads.select("chain_id", "links", "head_hash", "broken", "gap"), "chain_id", "left")
+            .where("new or (gap and not broken and version > links)")
+            .drop("gap")
             .withColumn("links", F.coalesce("links", F.lit(0)))
             .withColumn("broken", F.coalesce("broken", F.lit(False)))
         )
@@ -151,23 +178,28 @@ class ContinuousApply:
 
     def _conflicts(self, spark: SparkSession, pool: DataFrame, batch_id: int) -> DataFrame:
         """Chains with a change that differs from the linked one of its version."""
-        again = pool.where("version <= links and not broken").select(*CHANGE_LOG.fieldNames())
-        known = self._log(spark, batch_id, again.select("chain_id", "version").distinct())
+        again = _marked(pool.where("version <= links and not broken"))
+        arrived = _narrow(read_batches(spark, f"{self.root}/arrived", CHANGE_EVENTS, 0, batch_id))
+        known = _marked(arrived).join(again.select("chain_id", "version").distinct(), ["chain_id", "version"], "left_semi")
         return again.subtract(known).select("chain_id").distinct()
 
     def _judged(self, pool: DataFrame, rows: int, conflicts: DataFrame | None, batch_id: int) -> DataFrame:
         """Heads of the touched chains after this batch."""
         head = F.lower("head_hash")
         changes = pool.where("not broken and (version is null or version > links)")
-        checked = changes.select(*CHANGE_LOG.fieldNames(), "links", head.alias("head")).distinct().select(
-            "chain_id", "links", "head", "filename",
+        cased = (F.col("hash") != F.lower("hash")) | (F.col("previous_hash") != F.lower("previous_hash"))
+        checked = changes.select(
+            "chain_id", "links", head.alias("head"), "filename",
             parse_version("filename").eqNullSafe(F.col("version")).alias("named"),
             F.col("version").cast("bigint").alias("version"),
             F.lower("hash").alias("hash"),
             F.lower("previous_hash").alias("previous"),
-            F.coalesce(hash_matches("previous_hash", "hash", "body"), F.lit(False)).alias("hash_ok"),
+            "hash_ok", "other_body",
+            F.when(cased, F.concat_ws(":", "hash", "previous_hash")).alias("as_written"),
+        )
+        placed = with_order(
+            checked, ["chain_id"], ["filename", "hash"], ["hash"], at_most=rows, digests=["hash", "previous"], copies="copies"
         )
-        placed = with_order(checked, ["chain_id"], ["filename", "hash"], ["hash"], at_most=rows)
         place = F.col("links") + F.col("position")
         before = F.when(F.col("position") == 1, F.col("head")).otherwise(F.col("before_hash"))
         misfit = (F.col("version") < place) | ((F.col("version") == place) & ~F.col("previous").eqNullSafe(before))
@@ -218,7 +250,7 @@ class ContinuousApply:
         else:
             late = served.where("behind")
             wanted = late.select("chain_id").distinct()
-            past = self._log(spark, batch_id, wanted).select(*changes.columns).unionByName(
+            past = packed(self._log(spark, batch_id, wanted).select(*changes.columns)).unionByName(
                 changes.join(wanted, "chain_id", "left_semi")
             )
             applied = served.where("not behind").join(changes, "chain_id").select(*names).unionByName(
@@ -229,7 +261,7 @@ class ContinuousApply:
                 late.join(writes, "chain_id").select(*STATE.fieldNames())
             )
         write_batch(state.select(*STATE.fieldNames()), f"{self.root}/state", batch_id)
-        write_batch(applied.select(*names), f"{self.root}/applied", batch_id)
+        write_batch(unpacked(applied.select(*names)), f"{self.root}/applied", batch_id)
 
     def state(self, spark: SparkSession) -> DataFrame:
         """The state of all targets: of all writes to a key, the highest version counts."""

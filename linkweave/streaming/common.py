@@ -15,7 +15,7 @@ FOLD_EVERY = 16
 
 
 def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/batch={batch_id}")
 
 
 def read_batches(
