@@ -252,3 +252,15 @@ def test_change_files_are_listed_by_tasks_and_delivered_once(spark, tmp_path):
     put("11/committed/000002.sql", "x")
     assert run() == sorted([*first, (7, "000001.sql"), (11, "000002.sql")])
     assert run() == sorted([*first, (7, "000001.sql"), (11, "000002.sql")])
+
+
+def test_waiting_changes_are_written_once(spark, tmp_path):
+    """With the batch they come in and without their bodies, however long their chain waits; a base holds them too."""
+    events = events_of(spark, {1: 5})
+    targets = spark.createDataFrame([(10, 1)], TARGETS)
+    job = ContinuousApply(f"{tmp_path}/out", targets, fold_every=2)
+    for i, versions in enumerate([(1, 3), (5,), (2, 4)]):
+        job.process(spark.createDataFrame([events[1, v] for v in versions], CHANGE_EVENTS), i)
+    kept = [job._waiting.added(spark, i) for i in range(3)]
+    assert [sorted(r.version for r in rows.collect()) for rows in kept] == [[1, 3], [5], []] and "body" not in kept[0].columns
+    compare_with_apply(spark, job, list(events.values()), targets)
