@@ -735,7 +735,7 @@ def _event_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def _replay(
-    spark: SparkSession, sf_dir: str, log: DataFrame, effects: DataFrame
+    spark: SparkSession, sf_dir: str, log: DataFrame, effects: DataFrame, chains: DataFrame | None = None
 ) -> lifecycle.Applied:
     return lifecycle.apply_pending(
         log,
@@ -743,6 +743,7 @@ def _replay(
         given.event_state(spark, sf_dir, effects),
         given.event_applied(spark, sf_dir, log),
         given.event_targets(spark, sf_dir),
+        chains=chains,
     )
 
 
@@ -786,9 +787,10 @@ def apply_pending_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuild_vs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differs exactly where an altered history kept a target from being brought up."""
     log, effects = _event_history(spark, sf_dir)
-    rebuilt = lifecycle.rebuild(log, effects, given.event_targets(spark, sf_dir), force=True)
+    chains = lifecycle.checked_chains(log)
+    rebuilt = lifecycle.rebuild(log, effects, given.event_targets(spark, sf_dir), force=True, chains=chains)
     return lifecycle.rebuild_vs_incremental(
-        _replay(spark, sf_dir, log, effects).state, rebuilt.state
+        _replay(spark, sf_dir, log, effects, chains).state, rebuilt.state
     )
 
 

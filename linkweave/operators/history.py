@@ -15,23 +15,21 @@ def compare_histories(changes: DataFrame, applied: DataFrame) -> DataFrame:
     """Every distinct applied row with its position and whether the committed change there
     is equal; ``copies`` says how often the row is recorded.
 
-    Equality of the nullable previous hash is tested in the projection; the join itself
-    is a plain equi-join on narrow columns, hashes as bytes, which AQE can split where a chain has very
-    many targets.
+    Equality is that of one SHA-256 over the file name and both hashes, nulls included, so two hashes travel as
+    one, and as they are only where they are asked for. The join itself is a plain equi-join on narrow
+    columns, hashes as bytes, which AQE can split where a chain has very many targets.
     """
+    entry = F.unhex(F.sha2(F.to_json(F.struct("filename", "hash", "previous_hash")), 256))
     rows = applied.select(*TARGET, "filename", "hash", "previous_hash")
     placed = with_order(rows, TARGET, ["filename", "hash"], weight="copies", digests=DIGESTS, copies="copies")
-    committed = packed(changes).select(
-        "chain_id",
-        F.col("version").cast("bigint").alias("position"),
-        F.struct("filename", "hash", "previous_hash").alias("committed"),
+    committed = changes.select(
+        "chain_id", F.col("version").cast("bigint").alias("position"), entry.alias("committed")
     )
-    ours = F.struct("filename", "hash", "previous_hash")
     compared = (
-        packed(placed).join(committed, ["chain_id", "position"], "left")
+        packed(placed.withColumn("ours", entry)).join(committed, ["chain_id", "position"], "left")
         .withColumn("known", F.col("committed").isNotNull())
-        .withColumn("same", ours.eqNullSafe(F.col("committed")))
-        .drop("committed")
+        .withColumn("same", F.col("ours").eqNullSafe(F.col("committed")))
+        .drop("ours", "committed")
     )
     return unpacked(compared)
 

@@ -24,9 +24,12 @@ from linkweave.plans.compile import CANDIDATE_PATH, compile_scripts, expand_cand
 from linkweave.session import cut_lineage
 
 
-def gated_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -> DataFrame:
+def gated_progress(
+    changes: DataFrame, applied: DataFrame, targets: DataFrame, chains: DataFrame | None = None
+) -> DataFrame:
     """``target_progress`` with ``error_code`` also set where the chain itself is faulty."""
-    return target_progress(changes, applied, targets, _chains(changes)).select(
+    chains = checked_chains(changes) if chains is None else chains
+    return target_progress(changes, applied, targets, chains).select(
         *TARGET,
         "applied_count",
         "total_committed",
@@ -35,8 +38,11 @@ def gated_progress(changes: DataFrame, applied: DataFrame, targets: DataFrame) -
     )
 
 
-def _chains(changes: DataFrame, *more: DataFrame) -> DataFrame:
-    """One stored row per chain: its length, its first error, and the columns of ``more``."""
+def checked_chains(changes: DataFrame, *more: DataFrame) -> DataFrame:
+    """One stored row per chain: its length, its first error, and the columns of ``more``.
+
+    Plans over one log may be given this table as ``chains``, so that the log is checked once for all of them.
+    """
     rows = chain_totals(changes)
     for part in (_chain_errors(changes), *more):
         rows = rows.join(part, "chain_id", "full_outer")
@@ -55,7 +61,7 @@ def fleet_status(
 ) -> DataFrame:
     """Per target: pending changes, candidate changes, the two as a code, or the error."""
     changed = candidates.select("chain_id", has_changes("body").alias("candidate_has_changes"))
-    rows = target_progress(changes, applied, targets, _chains(changes, changed)).withColumn(
+    rows = target_progress(changes, applied, targets, checked_chains(changes, changed)).withColumn(
         "error_code", F.coalesce("chain_error", "error_code")
     )
     pending = F.col("total_committed") > F.col("applied_count")
@@ -89,6 +95,7 @@ def apply_pending(
     applied: DataFrame,
     targets: DataFrame,
     bindings: DataFrame | None = None,
+    chains: DataFrame | None = None,
 ) -> Applied:
     """Bring every sound target to the end of its chain; the others stay as they are.
 
@@ -97,7 +104,7 @@ def apply_pending(
     decided once and written down, so that the new state, the rows to record and the
     summary all speak of the same targets.
     """
-    progress = cut_lineage(gated_progress(changes, applied, targets), "progress")
+    progress = cut_lineage(gated_progress(changes, applied, targets, chains), "progress")
     sound = progress.where(F.col("error_code").isNull())
     pending = pending_after(changes, sound)
     if bindings is None:
@@ -156,14 +163,14 @@ def apply_summary(progress: DataFrame) -> DataFrame:
 
 
 def rebuild(
-    changes: DataFrame, effects: DataFrame, targets: DataFrame, force: bool = False
+    changes: DataFrame, effects: DataFrame, targets: DataFrame, force: bool = False, chains: DataFrame | None = None
 ) -> Applied:
     """State and applied rows from nothing. The log is checked before anything is given up."""
     if not force:
         raise ValueError("E51 a rebuild replaces the targets; confirm it with force=True")
     none_applied = cut_lineage(
         targets.select(*TARGET)
-        .join(_chains(changes), "chain_id", "left")
+        .join(checked_chains(changes) if chains is None else chains, "chain_id", "left")
         .select(
             *TARGET,
             F.lit(0).cast("bigint").alias("applied_count"),
