@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from linkweave.llm.common import SEPARATOR_CLASS, unused, words_of
+from linkweave.llm.common import SEPARATOR_CLASS, small_batches, unused, words_of
 from linkweave.session import cut_lineage
 
 WINDOW = 10
@@ -109,6 +109,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _search(rows: DataFrame, columns: list[str], text: str, hits: list[str], table: dict[str, list[str]], only_hits: bool) -> DataFrame:
     """Add ``hits`` (n_words, ranges, items) to the named columns; optionally only rows with hits."""
+    small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

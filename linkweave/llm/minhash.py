@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from linkweave.llm.common import (
-    SEPARATOR_CLASS, connected_components, groups_of, sized_broadcast, spread, unused, words_of,
+    SEPARATOR_CLASS, connected_components, groups_of, sized_broadcast, small_batches, spread, unused, words_of,
 )
 from linkweave.session import cut_and_count, cut_lineage
 
@@ -364,6 +364,7 @@ def near_duplicate_rows(docs: DataFrame, weights: str = "set", id_col: str = "do
     """Rows ``doc_id, k1, k2, class_key`` of ``docs``, and per ``class_key`` the group it is in:
     ``group_id`` (smallest id) with ``g1, g2`` (row key of the row that stays) and ``group_rows``."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = spread(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.select("doc_id", *row_keys("doc_id", "text"), "text")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from linkweave.llm.common import unused, words_of
+from linkweave.llm.common import small_batches, unused, words_of
 
 WINDOW, STRIDE = 32, 16
 WIDTH = 16  # bytes of a token
@@ -408,6 +408,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, bounds: SampleBounds = SampleBoun
 
 def with_scores(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with one more column: the score of the whole text (null and empty: that of padding)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,12 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from linkweave.llm.decontamination import contamination_report
-from linkweave.llm.minhash import near_duplicates
-from linkweave.llm.common import table
+from linkweave.llm.decontamination import contamination_report, without_benchmark
+from linkweave.llm.minhash import near_duplicates, without_near_duplicates
+from linkweave.llm.common import BATCH_BYTES, small_batches, table
+from linkweave.llm.toxicity import without_toxic
 from tests.llm.samples import docs, prose, texts
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +81,31 @@ def test_awkward_rows_and_clashing_columns_go_through(spark, tmp_path):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert kept and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 or len(slots) < 24
+
+
+def test_texts_are_handed_to_python_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1600).alias("text"))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    few = docs.limit(3)
+    operators = [
+        lambda: without_toxic(few, labels), lambda: without_near_duplicates(few), lambda: without_benchmark(few, items),
+    ]
+    try:
+        for operator in operators:
+            spark.conf.unset(setting)
+            operator()
+            handed = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in handed) == 3000 and max(r.bytes for r in handed) < 2 * BATCH_BYTES
+        for held, left in [("100000b", "100000b"), ("1m", "1m"), ("1g", str(BATCH_BYTES))]:
+            spark.conf.set(setting, held)
+            small_batches(spark)
+            assert spark.conf.get(setting).removesuffix("b") == left.removesuffix("b")
+    finally:
+        spark.conf.unset(setting)
